@@ -6,24 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, line_dedup
+from tidemark.llm import decontaminate, exact_dedup, langid, license_scan, line_dedup, packing, quality, simhash_dedup
 from tidemark.llm.common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"), license_scan.templates(spark))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_path(spark, f"{sf_dir}/documents.parquet")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_line_dedup": op4_line_dedup,
-        "op9_exact_dedup": op9_exact_dedup,
-    }
+    return {f.__name__: f for f in (op1_packing, op2_simhash_dedup, op3_langid, op4_line_dedup, op5_license_scan, op7_quality, op8_decontaminate, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {
+        "op4_line_dedup": line_dedup.SQL,
+        "op5_license_scan": license_scan.SQL,
+        "op8_decontaminate": decontaminate.SQL,
+        "op9_exact_dedup": exact_dedup.SQL,
+    }

@@ -38,6 +38,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it within lambdas (the optimizer would inline it there)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def alnum_words(c: Column) -> Column:
     """Lower-cased runs of letters and digits; null gives an empty array."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -45,3 +50,7 @@ def alnum_words(c: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(alnum_words(text), lambda w: F.xxhash64(w))

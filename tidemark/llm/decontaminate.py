@@ -16,46 +16,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alnum_words
+from tidemark.llm.common import let, word_hashes
 
 #: Offsets of the words that a seed looks at.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5), (0, 1, 4, 6), (0, 3, 5, 6))
+MASKS = ((0, 2, 3, 4), (0, 2, 5, 6))
 WINDOW, MIN_WORDS, SHARE = 15, 8, 0.8
 #: A benchmark of up to so many characters is broadcast; a larger one is joined by shuffles.
 BROADCAST_CHARS = 8_000_000
 
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(alnum_words(text), lambda w: F.xxhash64(w))
+def _seeds(texts: DataFrame, key: str) -> DataFrame:
+    """A row for each position and mask: key, pos, seed."""
 
+    def at(h: Column) -> Column:
+        return F.transform(h, lambda _, i: F.array(*[F.xxhash64(F.lit(k), *[F.get(h, i + o) for o in mask]) for k, mask in enumerate(MASKS)]))
 
-def _seeds(hashed: DataFrame, key: str) -> DataFrame:
-    """A row for each position and mask: key, pos, seed. The array of hashes stays inside one generated stage."""
-    at = hashed.where(F.size("h") > 0).select(key, "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("pos"))
-    seeds = F.array(*[F.xxhash64(F.lit(k), *[F.get("h", F.col("pos") + o) for o in mask]) for k, mask in enumerate(MASKS)])
-    return at.select(key, "pos", F.explode(seeds).alias("seed"))
+    return texts.select(key, F.posexplode(let(word_hashes(F.col("text")), at)).alias("pos", "seeds")).select(key, "pos", F.explode("seeds").alias("seed"))
 
 
 def best_overlap(doc: Column, item: Column, diagonal: Column) -> Column:
     """Most equal words in any window of the item laid on the document at a diagonal (position there minus here)."""
     size = F.size(item)
     width = F.least(F.lit(WINDOW), size)
-    same = F.transform(item, lambda w, t: (F.when(t + diagonal >= 0, F.get(doc, t + diagonal)) == w).eqNullSafe(F.lit(True)).cast("int"))
-    return F.array_max(F.transform(F.sequence(F.lit(1), size - width + 1), lambda s: F.aggregate(F.slice(same, s, width), F.lit(0), lambda a, x: a + x)))
+
+    def equal(d: Column) -> Column:
+        return F.transform(item, lambda w, t: F.coalesce(F.when(t + diagonal >= 0, F.get(d, t + diagonal)) == w, F.lit(False)).cast("int"))
+
+    def best(same: Column) -> Column:
+        return F.array_max(F.transform(F.sequence(F.lit(1), size - width + 1), lambda s: F.aggregate(F.slice(same, s, width), F.lit(0), lambda a, x: a + x)))
+
+    return let(let(doc, equal), best)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_words, window_words for each item that a document overlaps."""
     items = benchmark.select("item_id", "text").where("item_id is not null").distinct()
-    items = items.select("item_id", _word_hashes(F.col("text")).alias("h")).where(F.size("h") >= MIN_WORDS)
+    items = items.withColumn("item_h", word_hashes(F.col("text"))).where(F.size("item_h") >= MIN_WORDS)
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     small = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
     theirs = _seeds(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), "seed")
-    hashed = docs.where("doc_id is not null").select("doc_id", _word_hashes(F.col("text")).alias("h"))
-    hits = _seeds(hashed, "doc_id").join(small(theirs), "seed")
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    hits = _seeds(texts, "doc_id").join(small(theirs), "seed")
     pairs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(pairs, "doc_id").join(small(items.withColumnRenamed("h", "item_h")), "item_id")
-    judged = texts.select("doc_id", "item_id", F.least(F.lit(WINDOW), F.size("item_h")).alias("window_words"), best_overlap(_word_hashes(F.col("text")), F.col("item_h"), F.col("diagonal")).alias("matched"))
+    near = texts.join(pairs, "doc_id").join(small(items.select("item_id", "item_h")), "item_id")
+    judged = near.select("doc_id", "item_id", F.least(F.lit(WINDOW), F.size("item_h")).alias("window_words"), best_overlap(word_hashes(F.col("text")), F.col("item_h"), F.col("diagonal")).alias("matched"))
     found = judged.where(F.col("matched") >= F.ceil(F.col("window_words") * F.lit(SHARE)))
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched_words"), F.max("window_words").cast("long").alias("window_words"))
 
@@ -68,19 +72,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 #: The definition itself: every window of every item against every document, on a diagonal found by any equal word.
 SQL = r"""
 with dw as (
-  select distinct doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') as w
+  select distinct doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
   from documents where doc_id is not null),
 iw as (
-  select distinct item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') as w
+  select distinct item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
   from benchmark where item_id is not null),
 items as (select item_id, w, len(w) as n, least(15, len(w)) as width from iw where len(w) >= 8),
 d as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from dw),
 i as (select item_id, n, width, unnest(w) as word, generate_subscripts(w, 1) as pos from items),
-rare as (select word from i group by word having count(*) <= 5),
 same as (
   select d.doc_id, i.item_id, i.n, i.width, d.pos - i.pos as diagonal, i.pos
-  from d join i on d.word = i.word
-  where exists (select 1 from rare where rare.word = d.word) or true),
+  from d join i on d.word = i.word),
 near as (
   select doc_id, item_id, diagonal, width, pos,
          count(*) over (partition by doc_id, item_id, diagonal order by pos range between current row and 14 following) as matched,

@@ -1,6 +1,7 @@
 """Exact deduplication as a stream with keyed state that lives on disk and never expires.
 
-A file stream feeds a streaming aggregation over RocksDB state. The key is the SHA-256 digest and the length of the
+One stream turns the rows of new files into keys, so that texts are hashed once; a second stream over these keys feeds
+a streaming aggregation over RocksDB state. The key is the SHA-256 digest and the length of the
 normalised text; the value holds the stable identifier of the row that stays, the locator of its content (its file)
 and the number of rows seen. Later batches only update the keys they touch. Every row that hits an existing group is
 then compared byte by byte with the row that stays; a difference under one digest raises an error.
@@ -24,6 +25,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else each instance, however small, sets aside 4 MB of disk.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
@@ -32,19 +35,20 @@ def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), WS_CHARS, "")
 
 
-def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, chars, digest, norm_chars and the locator (file name) of each row of a file source."""
     norm = normalized(F.col("text"))
     return docs.select(
         "doc_id",
         F.coalesce(F.length("text"), F.lit(0)).alias("chars"),
         F.unhex(F.sha2(F.encode(norm, "UTF-8"), 256)).alias("digest"),
         F.length(norm).alias("norm_chars"),
-        *more,
+        F.col("_metadata.file_name").alias("locator"),
     )
 
 
-def stream_state(spark: SparkSession, path: str, checkpoint: str, out: str, **options: str) -> None:
-    """Reads the rows that are new since the last call with this checkpoint and appends the changed state rows to out.
+def run_streams(spark: SparkSession, path: str, base: str) -> None:
+    """Takes in the rows that are new since the last call with the same base: keys go to base/keys, changed state to base/groups.
 
     path: a folder of Parquet files, or a single file, with doc_id and text.
     """
@@ -53,18 +57,21 @@ def stream_state(spark: SparkSession, path: str, checkpoint: str, out: str, **op
     try:
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
-        source = spark.readStream.schema(schema).options(**options).parquet(path + "*")  # a glob also accepts a single file
-        state = keyed(source, F.col("_metadata.file_name").alias("locator")).groupBy("digest", "norm_chars").agg(
-            F.max(F.struct("chars", (-F.col("doc_id")).alias("neg_id"), "locator")).alias("best"), F.count(F.lit(1)).alias("n")
+        keys = keyed(spark.readStream.schema(schema).parquet(path + "*"))  # a glob accepts a single file, too
+        sink = keys.writeStream.format("parquet").option("path", f"{base}/keys").option("checkpointLocation", f"{base}/keys-log")
+        sink.trigger(availableNow=True).start().awaitTermination()
+        state = (
+            spark.readStream.schema(keys.schema)
+            .parquet(f"{base}/keys")
+            .groupBy("digest", "norm_chars")
+            .agg(F.max(F.struct("chars", (-F.col("doc_id")).alias("neg_id"), "locator")).alias("best"), F.count(F.lit(1)).alias("n"))
         )
-        query = (
-            state.writeStream.outputMode("update")
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}"))
-            .start()
-        )
-        query.awaitTermination()
+
+        def save(changed: DataFrame, batch: int) -> None:
+            changed.write.mode("overwrite").parquet(f"{base}/groups/batch={batch}")
+
+        sink = state.writeStream.outputMode("update").option("checkpointLocation", f"{base}/groups-log").foreachBatch(save)
+        sink.trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in old.items():
             if v is None:
@@ -73,34 +80,35 @@ def stream_state(spark: SparkSession, path: str, checkpoint: str, out: str, **op
                 spark.conf.set(k, v)
 
 
-def groups(spark: SparkSession, out: str) -> DataFrame:
+def groups(spark: SparkSession, base: str) -> DataFrame:
     """The last row of every key: digest, norm_chars, keep_id, locator, n. Written out, so that joins with it can split hot keys."""
-    last = spark.read.parquet(out).groupBy("digest", "norm_chars").agg(F.max_by(F.struct("best", "n"), "batch").alias("s"))
-    return materialize(last.select("digest", "norm_chars", (-F.col("s.best.neg_id")).alias("keep_id"), F.col("s.best.locator").alias("locator"), F.col("s.n").alias("n")))
+    last = spark.read.parquet(f"{base}/groups").groupBy("digest", "norm_chars").agg(F.max_by(F.struct("best", "n"), "batch").alias("s"))
+    return materialize(last.select("digest", "norm_chars", (-F.col("s.best.neg_id")).alias("keep_id"), F.col("s.best.locator").alias("holder_file"), F.col("s.n").alias("n")))
 
 
-def dedup_rows(docs: DataFrame, kept_rows: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256; rows that go have been compared in full with the row that stays."""
+def decide(docs: DataFrame, keys: DataFrame, kept_rows: DataFrame) -> DataFrame:
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256; rows that go have been compared in full with the row that stays."""
     on = ["digest", "norm_chars"]
+    rows = materialize(keys.join(kept_rows, on).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
     cols = ["doc_id", "keep_id", F.col("n").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256")]
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    first = keyed(docs).join(kept_rows, on).where(stays).select(*cols, F.lit(True).alias("kept"))
-    shared = keyed(docs, normalized(F.col("text")).alias("norm"), F.col("_metadata.file_name").alias("file")).join(kept_rows.where("n > 1"), on)
-    holder = shared.where(stays & (F.col("file") == F.col("locator"))).groupBy(*on).agg(F.first("norm").alias("held"))
-    goes = shared.where(~stays).join(materialize(holder), on)
+    shared = rows.where("n > 1").select("doc_id", *on, "keep_id", "n", "stays", (F.col("locator") == F.col("holder_file")).alias("here")).distinct()
+    texts = docs.select(F.col("doc_id").alias("_did"), "text").join(shared, F.col("_did").eqNullSafe(F.col("doc_id")))
+    texts = texts.withColumn("norm", normalized(F.col("text"))).where((F.length("norm") == F.col("norm_chars")) & (F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)) == F.col("digest")))
+    holders = materialize(texts.where("stays and here").groupBy(*on).agg(F.first("norm").alias("held")))
+    goes = texts.where("not stays").join(holders, on)
     checked = F.when(F.col("norm") == F.col("held"), F.lit(False)).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("boolean"))
-    return first.unionByName(goes.select(*cols, checked.alias("kept"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    stay = rows.where("stays").select(*cols, F.lit(True).alias("kept"))
+    return stay.unionByName(goes.select(*cols, checked.alias("kept"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def dedup_path(spark: SparkSession, path: str) -> DataFrame:
-    """All of a table at path: a stream over its files, then the decision for every row."""
-    base = shared_dir(spark)
-    stream_state(spark, path, f"{base}/state", f"{base}/groups")
+def dedup_path(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """The decision for every row of the table at path. base: a folder of earlier calls, to take in only what is new."""
     docs = spark.read.parquet(path)
-    rows = docs.select("doc_id", "text", "_metadata")
-    if spark.read.parquet(path).isEmpty():
+    if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
-    return dedup_rows(rows, groups(spark, f"{base}/groups"))
+    base = base or shared_dir(spark)
+    run_streams(spark, path, base)
+    return decide(docs, spark.read.parquet(f"{base}/keys"), groups(spark, base))
 
 
 SQL = r"""

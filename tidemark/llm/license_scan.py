@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import alnum_words
+from tidemark.llm.common import let, word_hashes
 
 SHINGLE, BANDS, SHARE = 5, 16, 0.8
 #: Bound on the units of all templates: their band values are literals of the plan.
@@ -43,17 +43,18 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(TEMPLATES.items()), "license_id string, template string")
 
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(alnum_words(text), lambda w: F.xxhash64(w))
+def _shingles(text: Column) -> Column:
+    """The hashes of a text's shingles, in order; empty for a text of fewer than SHINGLE words."""
 
+    def of(h: Column) -> Column:
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - SHINGLE + 1, F.lit(0))), lambda _, i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))
 
-def _shingle(h: Column, pos: Column) -> Column:
-    return F.xxhash64(*[F.get(h, pos + k) for k in range(SHINGLE)])
+    return let(word_hashes(text), of)
 
 
-def _shingles(h: Column) -> Column:
-    """All shingles of an array of at least SHINGLE word hashes."""
-    return F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: _shingle(h, i))
+def _windows(text: Column) -> Column:
+    """Each shingle with the next one, null behind the last."""
+    return let(_shingles(text), lambda s: F.transform(s, lambda a, i: F.struct(a.alias("a"), F.get(s, i + 1).alias("b"))))
 
 
 def _bands(a: Column, b: Column) -> list[Column]:
@@ -64,27 +65,24 @@ def _bands(a: Column, b: Column) -> list[Column]:
 def find_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, license_id, matched, total and containment for each template (license_id, template) that a text holds."""
     spark = docs.sparkSession
-    lists = known.select("license_id", _word_hashes(F.col("template")).alias("h")).where(F.size("h") >= SHINGLE)
-    lists = lists.select("license_id", F.array_distinct(_shingles(F.col("h"))).alias("t"), _shingles(F.col("h")).alias("s"))
-    units = lists.select("license_id", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(2))).alias("i"), "s")
-    units = units.select("license_id", F.posexplode(F.array(*_bands(F.get("s", F.col("i")), F.get("s", F.col("i") + 1)))).alias("band", "value"))
+    lists = known.select("license_id", F.array_distinct(_shingles(F.col("template"))).alias("t"), F.posexplode(_windows(F.col("template"))).alias("i", "w"))
+    units = lists.where("i % 2 = 0").select("license_id", F.posexplode(F.array(*_bands(F.col("w.a"), F.col("w.b")))).alias("band", "value"))
     rows = units.distinct().collect()  # of the templates, not of the documents
     if len(rows) > MAX_UNITS * BANDS:
         raise ValueError(f"the templates have more than {MAX_UNITS} units")
     values = [sorted({r["value"] for r in rows if r["band"] == k}) for k in range(BANDS)]
     retrieval = spark.createDataFrame([tuple(r) for r in rows], "license_id string, band int, value long")
 
-    hashed = docs.where("doc_id is not null").select("doc_id", _word_hashes(F.col("text")).alias("h")).where(F.size("h") >= SHINGLE)
-    at = hashed.select("doc_id", "h", F.explode(F.sequence(F.lit(0), F.size("h") - SHINGLE)).alias("i"))
-    two = at.select("doc_id", _shingle(F.col("h"), F.col("i")).alias("a"), F.when(F.col("i") + SHINGLE < F.size("h"), _shingle(F.col("h"), F.col("i") + 1)).alias("b"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    two = texts.select("doc_id", F.explode(_windows(F.col("text"))).alias("w")).select("doc_id", "w.a", "w.b")
     shares = F.lit(False)
     for k, band in enumerate(_bands(F.col("a"), F.col("b"))):
         shares = shares | band.isin(values[k])
     near = two.where(shares).select("doc_id", F.posexplode(F.array(*_bands(F.col("a"), F.col("b")))).alias("band", "value"))
     pairs = near.join(F.broadcast(retrieval), ["band", "value"]).select("doc_id", "license_id").distinct()
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(pairs, "doc_id").join(F.broadcast(lists.select("license_id", "t")), "license_id")
-    judged = texts.select("doc_id", "license_id", F.size("t").cast("long").alias("total"), F.size(F.array_intersect("t", _shingles(_word_hashes(F.col("text"))))).cast("long").alias("matched"))
+    whole = lists.where("i = 0").select("license_id", "t")
+    judged = texts.join(pairs, "doc_id").join(F.broadcast(whole), "license_id").select("doc_id", "license_id", F.size("t").cast("long").alias("total"), F.size(F.array_intersect("t", _shingles(F.col("text")))).cast("long").alias("matched"))
     found = judged.where(F.col("matched") >= F.col("total") * F.lit(SHARE)).groupBy("doc_id", "license_id", "total").agg(F.max("matched").alias("matched"))
     return found.select("doc_id", "license_id", "matched", "total", (F.col("matched") / F.col("total")).alias("containment"))
 
@@ -94,11 +92,11 @@ def _sql() -> str:
     return rf"""
 with known(license_id, template) as (values {rows}),
 words as (
-  select license_id as id, null::bigint as doc_id, list_filter(string_split_regex(lower(template), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') as w from known
+  select license_id as id, null::bigint as doc_id, list_filter(string_split_regex(lower(template), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as w from known
   union all
-  select null, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), x -> x <> '') from documents where doc_id is not null),
-at as (select id, doc_id, w, unnest(generate_series(1, len(w) - 4)) as i from words where len(w) >= 5),
-shingles as (select distinct id, doc_id, array_to_string(w[i:i+4], ' ') as s from at),
+  select null, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') from documents where doc_id is not null),
+starts as (select id, doc_id, w, unnest(generate_series(1, len(w) - 4)) as i from words where len(w) >= 5),
+shingles as (select distinct id, doc_id, array_to_string(w[i:i+4], ' ') as s from starts),
 totals as (select id, count(*) as total from shingles where id is not null group by id)
 select d.doc_id, t.id as license_id, count(*)::bigint as matched, max(n.total)::bigint as total, count(*) / max(n.total) as containment
 from shingles d join shingles t on d.s = t.s and d.doc_id is not null and t.id is not null join totals n on n.id = t.id

@@ -62,7 +62,8 @@ def _key(ids: np.ndarray) -> int:
         i = np.r_[i, i[-1:]]
     h = (i[:-2] * np.uint64(0x9E3779B97F4A7C15) + i[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + i[2:]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return int(((h.min() ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
+    least = h.min(keepdims=True) ^ np.uint64(0x5851F42D4C957F2D)
+    return int((least * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)[0])
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

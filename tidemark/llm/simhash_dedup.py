@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, partitions
@@ -49,7 +49,7 @@ def fingerprint(text: str | None) -> int:
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes)).view(np.int64)[0])
 
 
@@ -112,29 +112,27 @@ class Forest:
                 query, node = query[follow], self.child[way[follow]]
 
 
-def _labels(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest member of each position's component."""
+def _labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest member of each position's component; each block of pairs is merged and let go."""
     label = np.arange(n)
-    if not pairs:
-        return label
-    a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while not np.array_equal(new, hop := new[new]):
-            new = hop
-        if np.array_equal(new, label):
-            return label
-        label = new
+    for a, b in pairs:
+        while True:
+            a, b = label[a], label[b]
+            apart = a != b
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(label, hop := label[label]):
+                label = hop
+    return label
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, fp), sorted by both, to the spanning forests of the buckets' links."""
 
     def solve(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        label = _labels(len(prints), list(Forest(bucket, prints.view(np.uint64)).links(RADIUS)))
+        label = _labels(len(prints), Forest(bucket, prints.view(np.uint64)).links(RADIUS))
         tied = label != np.arange(len(label))
         return pa.RecordBatch.from_arrays([pa.array(prints[tied]), pa.array(prints[label[tied]])], names=["a", "b"])
 
@@ -153,19 +151,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(*(np.concatenate(x) for x in zip(*held)))
 
 
-def _block_keys(width: int, blocks: tuple[tuple[int, int], ...], taken: tuple[int, int] | None = None):
-    """Columns (block << width) | value of fp for each block."""
-    return [F.lit(k << width) + F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for k, (s, w) in enumerate(blocks)]
+def _block_keys() -> list[Column]:
+    """(block << 13) | value of fp for each block."""
+    return [F.lit(k << 13) + F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for k, (s, w) in enumerate(BLOCKS)]
 
 
 def _refined(k: int) -> list[tuple[int, int]]:
-    """The bits outside block k, in five blocks of contiguous runs (a run may be cut in two at the gap: then it is two)."""
+    """The bits outside block k, dealt into five groups."""
     shift, width = BLOCKS[k]
     free = [b for b in range(64) if not shift <= b < shift + width]
     return [free[i * len(free) // 5 : (i + 1) * len(free) // 5] for i in range(5)]
 
 
-def _refined_key(k: int, j: int):
+def _refined_key(k: int, j: int) -> Column:
     """The value of the j-th group of bits outside block k, as a column."""
     bits = _refined(k)[j]
     runs, value, at = [], F.lit(0).cast("long"), 0
@@ -182,7 +180,7 @@ def _refined_key(k: int, j: int):
 
 def buckets(prints: DataFrame, limit: int = BUCKET) -> DataFrame:
     """(bucket, fp): every two fingerprints within RADIUS meet in a bucket."""
-    coarse = prints.select("fp", F.explode(F.array(*_block_keys(13, BLOCKS))).alias("bucket"))
+    coarse = prints.select("fp", F.explode(F.array(*_block_keys())).alias("bucket"))
     crowded = coarse.groupBy("bucket").count().where(F.col("count") > limit).select("bucket")  # at most 5 * 2**13 rows
     rest = coarse.join(F.broadcast(crowded), "bucket", "left_anti").select("bucket", "fp")
     hot = coarse.join(F.broadcast(crowded), "bucket").withColumn("k", F.shiftright("bucket", 13).cast("int"))
