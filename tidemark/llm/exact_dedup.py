@@ -92,8 +92,10 @@ def decide(docs: DataFrame, keys: DataFrame, kept_rows: DataFrame) -> DataFrame:
     rows = materialize(keys.join(kept_rows, on).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id"))))
     cols = ["doc_id", "keep_id", F.col("n").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256")]
     shared = rows.where("n > 1").select("doc_id", *on, "keep_id", "n", "stays", (F.col("locator") == F.col("holder_file")).alias("here")).distinct()
+    # Written out before they are compared: in one plan, the optimizer would hash all texts again, as further keys of the join.
     texts = docs.select(F.col("doc_id").alias("_did"), "text").join(shared, F.col("_did").eqNullSafe(F.col("doc_id")))
-    texts = texts.withColumn("norm", normalized(F.col("text"))).where((F.length("norm") == F.col("norm_chars")) & (F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)) == F.col("digest")))
+    texts = materialize(texts.select(*shared.columns, normalized(F.col("text")).alias("norm")))
+    texts = texts.where((F.length("norm") == F.col("norm_chars")) & (F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256)) == F.col("digest")))
     holders = materialize(texts.where("stays and here").groupBy(*on).agg(F.first("norm").alias("held")))
     goes = texts.where("not stays").join(holders, on)
     checked = F.when(F.col("norm") == F.col("held"), F.lit(False)).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("boolean"))
