@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, langid, license_scan, line_dedup, packing, quality, simhash_dedup
+from tidemark.llm import decontaminate, exact_dedup, langid, license_scan, line_dedup, lm_score, packing, quality, simhash_dedup, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.find_licenses(table(spark, sf_dir, "documents"), license_scan.templates(spark))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,8 +46,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_path(spark, f"{sf_dir}/documents.parquet")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash_dedup, op3_langid, op4_line_dedup, op5_license_scan, op7_quality, op8_decontaminate, op9_exact_dedup)}
+    registered = (
+        op1_packing,
+        op2_simhash_dedup,
+        op3_langid,
+        op4_line_dedup,
+        op5_license_scan,
+        op6_substring_dedup,
+        op7_quality,
+        op8_decontaminate,
+        op9_exact_dedup,
+        op10_lm_score,
+    )
+    return {f.__name__: f for f in registered}
 
 
 def oracle_sql() -> dict[str, str]:
