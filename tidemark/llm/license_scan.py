@@ -1,11 +1,12 @@
 """License scans by MinHash bands over overlapping windows, by DataFrame functions alone.
 
-Templates are cut into units of two five-word shingles. Every window of two neighbouring shingles of a document gets
-BANDS min-hashes of one row each; a band that it shares with a unit retrieves the unit's template. The windows lie at
-every position, so that a whole unit meets a window of the same two shingles (Jaccard 1, always retrieved), and a lone
-shingle meets windows of Jaccard 1/2, retrieved with a probability of 1 - 2**-BANDS. A template with a share of 0.8 of its
-shingles in a text has whole units there, or consists of one or two shingles. Retrieved templates are then verified: the
-share of the template's distinct shingles that the text holds must be 0.8 or more.
+Templates are cut into units of two five-word shingles, and every two neighbouring shingles of a document are a window.
+Two bands of one row each, the least shingle under a random order and the least under its reverse, are taken of every
+unit and window; a shared band retrieves the unit's template. In a window of two shingles each one is the least in one
+of the two bands. So a window with a whole unit (Jaccard 1), and one with the lone shingle of a short unit (Jaccard 1/2),
+collide with probability 1; independent bands would need sixteen for 1 - 2**-16. A text with a share of 0.8 of a
+template's shingles has whole units of it, or the template has one or two shingles. Retrieved templates are then
+verified: the share of the template's distinct shingles that the text holds must be 0.8 or more.
 
 Words are runs of letters and digits, lower-cased. Defined results: null, empty and shorter texts hold no license;
 repeated rows give the result of one; an empty table gives an empty result; further columns are left alone.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import let, word_hashes
 
-SHINGLE, BANDS, SHARE = 5, 16, 0.8
+SHINGLE, SHARE = 5, 0.8
 #: Bound on the units of all templates: their band values are literals of the plan.
 MAX_UNITS = 20_000
 
@@ -40,7 +41,8 @@ TEMPLATES = {
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(TEMPLATES.items()), "license_id string, template string")
+    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("template")) for k, v in sorted(TEMPLATES.items())])
+    return spark.range(1).select(F.inline(rows))
 
 
 def _shingles(text: Column) -> Column:
@@ -58,28 +60,27 @@ def _windows(text: Column) -> Column:
 
 
 def _bands(a: Column, b: Column) -> list[Column]:
-    """Min-hash of the set of a and b (or of a alone) under each of the permutations."""
-    return [F.least(F.xxhash64(a, F.lit(k)), F.when(b.isNotNull(), F.xxhash64(b, F.lit(k)))) for k in range(BANDS)]
+    """The least of a and b (or of a alone) under a random order and under its reverse."""
+    x, y = F.xxhash64(a, F.lit(1)), F.when(b.isNotNull(), F.xxhash64(b, F.lit(1)))
+    return [F.least(x, y), F.greatest(x, y)]
 
 
 def find_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, license_id, matched, total and containment for each template (license_id, template) that a text holds."""
-    spark = docs.sparkSession
     lists = known.select("license_id", F.array_distinct(_shingles(F.col("template"))).alias("t"), F.posexplode(_windows(F.col("template"))).alias("i", "w"))
     units = lists.where("i % 2 = 0").select("license_id", F.posexplode(F.array(*_bands(F.col("w.a"), F.col("w.b")))).alias("band", "value"))
-    rows = units.distinct().collect()  # of the templates, not of the documents
-    if len(rows) > MAX_UNITS * BANDS:
+    units = units.distinct()
+    rows = units.collect()  # of the templates, not of the documents
+    if len(rows) > 2 * MAX_UNITS:
         raise ValueError(f"the templates have more than {MAX_UNITS} units")
-    values = [sorted({r["value"] for r in rows if r["band"] == k}) for k in range(BANDS)]
-    retrieval = spark.createDataFrame([tuple(r) for r in rows], "license_id string, band int, value long")
 
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     two = texts.select("doc_id", F.explode(_windows(F.col("text"))).alias("w")).select("doc_id", "w.a", "w.b")
     shares = F.lit(False)
     for k, band in enumerate(_bands(F.col("a"), F.col("b"))):
-        shares = shares | band.isin(values[k])
+        shares = shares | band.isin(sorted({r["value"] for r in rows if r["band"] == k}))
     near = two.where(shares).select("doc_id", F.posexplode(F.array(*_bands(F.col("a"), F.col("b")))).alias("band", "value"))
-    pairs = near.join(F.broadcast(retrieval), ["band", "value"]).select("doc_id", "license_id").distinct()
+    pairs = near.join(F.broadcast(units), ["band", "value"]).select("doc_id", "license_id").distinct()
 
     whole = lists.where("i = 0").select("license_id", "t")
     judged = texts.join(pairs, "doc_id").join(F.broadcast(whole), "license_id").select("doc_id", "license_id", F.size("t").cast("long").alias("total"), F.size(F.array_intersect("t", _shingles(F.col("text")))).cast("long").alias("matched"))
