@@ -21,7 +21,21 @@ INBOX_STATE = (
     .add("last_error", T.StringType())
     .add("updated_at", T.TimestampType())
 )
-PAGE_PROGRESS = T.StructType([T.StructField(n, T.LongType()) for n in ("processed", "succeeded", "skipped", "failed")])
+_COUNTS = ("processed", "succeeded", "skipped", "failed")
+_RUN_COUNTS = ("source_count", "target_count", "matched_count", "missing_count", "unexpected_count", "mismatched_count")
+
+
+def _longs(to: T.StructType, *names: str) -> T.StructType:
+    for n in names:
+        to = to.add(n, T.LongType())
+    return to
+
+
+JOB = _longs(_strings("job_id", "tenant_id", "status").add("page_size", T.IntegerType()).add("next_page", T.IntegerType()), *_COUNTS)
+JOB = JOB.add("lease_owner", T.StringType()).add("last_error", T.StringType()).add("created_at", T.TimestampType()).add("updated_at", T.TimestampType())
+RUN = _longs(_strings("run_id", "tenant_id", "status").add("page_size", T.IntegerType()), *_RUN_COUNTS)
+RUN = RUN.add("lease_owner", T.StringType()).add("last_error", T.StringType()).add("created_at", T.TimestampType()).add("updated_at", T.TimestampType()).add("completed_at", T.TimestampType())
+PAGE_PROGRESS = T.StructType([T.StructField(n, T.LongType()) for n in _COUNTS])
 
 COMPARED_FIELDS = ("external_id", "first_name", "last_name", "email")
 RECORD_STATUSES = ("IN_PROGRESS", "COMPLETED", "FAILED")

@@ -31,3 +31,8 @@ def page_with_next(df: DataFrame, page: int, size: int, *order: str) -> tuple[li
 def page_counts(df: DataFrame, size: int, partition: str = "tenant_id") -> DataFrame:
     """Rows and pages that a scan reads; an empty page counts for a tenant without rows."""
     return df.groupBy(partition).agg(F.count(F.lit(1)).alias("n_rows"), F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("long").alias("n_pages"))
+
+
+def listing(df: DataFrame, tenant: str, order: str = "created_at") -> DataFrame:
+    """All rows of a tenant in the order of a column."""
+    return df.where(F.col("tenant_id") == tenant).orderBy(order)
