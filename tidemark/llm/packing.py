@@ -46,13 +46,17 @@ def _encoders(name: str):
     return quick, [t.content for t in full.get_added_tokens_decoder().values()], full
 
 
-def encode(text: str | None, tokenizer: str = TOKENIZER) -> list[int]:
+def ids_of(text: str | None, tokenizer: str = TOKENIZER) -> np.ndarray:
     """The ids of a text with END_ID behind them; equal to those of the tokenizer's file (tests compare them)."""
     quick, special, full = _encoders(tokenizer)
     text = text or ""
     if any(s in text for s in special):
-        return full.encode(text, add_special_tokens=False).ids + [END_ID]
-    return quick.encode_ordinary(text) + [END_ID]
+        return np.array(full.encode(text, add_special_tokens=False).ids + [END_ID], np.uint32)
+    return np.append(quick.encode_to_numpy(text), np.uint32(END_ID))
+
+
+def encode(text: str | None, tokenizer: str = TOKENIZER) -> list[int]:
+    return ids_of(text, tokenizer).tolist()
 
 
 def _key(ids: np.ndarray) -> int:
@@ -73,7 +77,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [np.array(encode(t, tokenizer), np.uint32) for t in part.column(1).to_pylist()]
+                ids = [ids_of(t, tokenizer) for t in part.column(1).to_pylist()]
                 narrow = [int(i.max()) < 1 << 16 for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([_key(i) for i in ids], pa.int64()), pa.array(narrow), pa.array([i.astype("<u2" if n else "<u4").tobytes() for i, n in zip(ids, narrow)])],
@@ -87,7 +91,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def _ids(row_ids: bytes, narrow: bool) -> np.ndarray:
-    return np.frombuffer(row_ids, "<u2" if narrow else "<u4").astype(np.uint32)
+    return np.frombuffer(row_ids, "<u2" if narrow else "<u4")  # 16-bit ids are sorted by radix
 
 
 def statistics(tokens: DataFrame) -> tuple[int, float, dict[int, int]]:
@@ -98,9 +102,9 @@ def statistics(tokens: DataFrame) -> tuple[int, float, dict[int, int]]:
         for batch in batches:
             for narrow, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = _ids(raw, narrow)
-                seen = np.flatnonzero(np.bincount(ids))
+                seen = np.unique(ids)
                 if len(seen) and seen[-1] >= len(found):
-                    found = np.r_[found, np.zeros(seen[-1] + 1 - len(found), np.int64)]
+                    found = np.r_[found, np.zeros(int(seen[-1]) + 1 - len(found), np.int64)]
                 found[seen] += 1
                 rows, total = rows + 1, total + len(ids)
         at = np.flatnonzero(found)
@@ -132,7 +136,7 @@ class Shard:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every piece for the distinct ids of the seed."""
-        a, b = self.begin[self.terms[seed]], self.begin[self.terms[seed] + 1]
+        a, b = self.begin[self.terms[seed]], self.begin[self.terms[seed].astype(np.int64) + 1]
         count = b - a
         ends = np.cumsum(count)
         at = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(a, count)
