@@ -31,8 +31,9 @@ from tidemark.llm.wordarrays import MUL, hashed, mixed, pack, parts, rolling, ru
 WINDOW, BLOCK = 50, 25
 KEY = 5
 _LOW = np.uint64((1 << 8 * KEY) - 1)
-#: Entries of a shard that are compared at once.
-CHUNK = 500_000
+#: Entries of a shard that are compared at once, and text that a shard stands for. A task holds the distinct blocks or
+#: windows of a shard; each document with repeats has a row for each shard they fall into.
+CHUNK, SHARD_BYTES = 500_000, 48 << 20
 
 
 def _spans(sizes: np.ndarray) -> np.ndarray:
@@ -225,12 +226,14 @@ def _judged(docs: DataFrame) -> DataFrame:
     """(doc_id, text, list of positions of marked windows or null) of every row."""
     n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    packed = texts.where("doc_id is not null").mapInArrow(_anchors(n), "shard int, kind int, docs binary, lens binary, keys binary")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // SHARD_BYTES)
+    packed = texts.where("doc_id is not null").mapInArrow(_anchors(shards), "shard int, kind int, docs binary, lens binary, keys binary")
     hits = packed.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_hits, "hit_id long, keys binary")
     hits = hits.groupBy("hit_id").agg(F.collect_list("keys").alias("lists"))
     # Both joins read the same exchange of the texts.
     near = texts.join(hits, texts["doc_id"] == hits["hit_id"], "left").select("doc_id", "text", "lists")
-    windows = near.mapInArrow(_windows(n), "shard int, win_id long, hashes binary, positions binary")
+    windows = near.mapInArrow(_windows(shards), "shard int, win_id long, hashes binary, positions binary")
     lost = windows.repartition(n, "shard").sortWithinPartitions("shard", "win_id").mapInArrow(_marked, "lost_id long, positions binary")
     lost = lost.groupBy("lost_id").agg(F.collect_list("positions").alias("lists"))
     return texts.join(lost, texts["doc_id"] == lost["lost_id"], "left").select("doc_id", "text", "lists")
