@@ -12,7 +12,7 @@ the whole bigram, a hot bigram's by document, too. Rows are packed (see wordarra
 SHARD_WORDS words, so that a task's memory doesn't grow with the input. Words are told apart by 40 bits of their XXH64.
 
 Defined results: a null or empty text has no words, score 0 and a null mean; repeated rows are documents of one doc_id
-whose counts and scores are added up, each row getting the sum; a null doc_id is counted, but not scored (score null); an
+whose words and scores are added up, each row getting the sums; a null doc_id is counted, but not scored (score null); an
 empty table gives an empty result; further columns are left alone.
 """
 
@@ -31,7 +31,7 @@ from tidemark.llm.wordarrays import MUL, mixed, pack, parts, runs, shard_of, unp
 ALPHA = 0.4
 KEY = 5
 _LOW = np.uint64((1 << 8 * KEY) - 1)
-SHARD_WORDS = 4_000_000
+SHARD_WORDS, SLICE = 4_000_000, 500_000
 #: Stands behind a last word, so that the bigrams of a word are as many as the word; never scored.
 END = np.uint64(0)
 #: A bigram is a candidate for a hot one if it makes up this share of a part somewhere.
@@ -58,14 +58,14 @@ def _pair_id(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, n): 0 words; 1 bigrams that are frequent in a part."""
-    for _, sizes, h in parts(batches):
+    """(kind, key, n): 0 words; 1 bigrams that are frequent in a part; 2 words of a document."""
+    for ids, sizes, h in parts(batches):
         w, _, _, pair = _pairs(sizes, h)
         key, n = np.unique(w, return_counts=True)
         pairs, m = np.unique(pair, return_counts=True)
         often = m >= max(4, LOCAL_SHARE * len(w))
-        kind = np.r_[np.zeros(len(key), np.int32), np.ones(int(often.sum()), np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[key.view(np.int64), pairs[often].view(np.int64)]), pa.array(np.r_[n, m[often]])], names=["kind", "key", "n"])
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(key), int(often.sum()), len(ids)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[key.view(np.int64), pairs[often].view(np.int64), ids]), pa.array(np.r_[n, m[often], sizes])], names=["kind", "key", "n"])
 
 
 def _count_of(wanted: np.ndarray):
@@ -148,7 +148,7 @@ def _packed(kind: int, shard: np.ndarray, doc: np.ndarray, first: np.ndarray | N
 def _entries(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc ids, second words, own counts) of a packed row."""
     _, _, docs, ords, _, second, own = row
-    ids, n = np.frombuffer(docs, np.int64), np.frombuffer(own, "<u4").astype(np.int64)
+    ids, n = np.frombuffer(docs, np.int64), np.frombuffer(own, "<u4")
     return ids[np.frombuffer(ords, "<u2" if len(ids) < 1 << 16 else "<u4")], unpack(second, KEY), n
 
 
@@ -158,11 +158,21 @@ def _sums(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _score_pairs(shards: int, total: int, words: Hot, pairs: Hot):
-    def solve(shard: int, rows: list[tuple]) -> list[tuple]:
+    def solve(shard: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Scores a shard in slices of first words, so that sorted copies of a slice only are in memory at once."""
         doc, second, own = (np.concatenate(x) for x in zip(*map(_entries, rows)))
         first = np.concatenate([unpack(r[4], KEY) for r in rows])
+        rows.clear()
+        slices = np.uint64(-(-len(first) // SLICE))
+        part = (mixed(first) >> np.uint64(8)) % slices
+        for k in range(int(slices)):
+            own_part = np.flatnonzero(part == k)
+            if len(own_part) and (out := solve_slice(shard, doc[own_part], first[own_part], second[own_part], own[own_part])):
+                yield _batch(out)
+
+    def solve_slice(shard: int, doc: np.ndarray, first: np.ndarray, second: np.ndarray, own: np.ndarray) -> list[tuple]:
         order = np.lexsort((second, first))
-        doc, second, own, first = doc[order], second[order], own[order], first[order]
+        doc, second, own, first = doc[order], second[order], own[order].astype(np.int64), first[order]
         by_first = runs(first)
         begin = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
 
@@ -197,7 +207,7 @@ def _score_pairs(shards: int, total: int, words: Hot, pairs: Hot):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if rows and (row[0] != shard or row[1] != 0):
-                    yield _batch(solve(shard, rows))
+                    yield from solve(shard, rows)
                     rows = []
                 if row[1] == 0:
                     shard = row[0]
@@ -205,7 +215,7 @@ def _score_pairs(shards: int, total: int, words: Hot, pairs: Hot):
                 else:
                     yield _batch([row])
         if rows:
-            yield _batch(solve(shard, rows))
+            yield from solve(shard, rows)
 
     return run
 
@@ -225,15 +235,23 @@ def _unigrams(shards: int):
     return run
 
 
-def _back_off(total: int):
+def _back_off(shards: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by shard, unigram counts first, to (scored_id, part of the score), one row a document and shard."""
+        """Rows sorted by shard, unigram counts first, to parts of scores, packed by the shard of their documents."""
         shard, table, key, n, held, load = -1, [], None, None, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 names, sums = _sums(*(np.concatenate(x) for x in zip(*held)))
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums)], names=["scored_id", "part"])
+                to = shard_of(mixed(names.view(np.uint64)), shards)
+                order = np.argsort(to, kind="stable")
+                to, names, sums = to[order], names[order], sums[order]
+                bounds = np.r_[runs(to), len(to)]
+                cut = list(zip(bounds[:-1], bounds[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to[bounds[:-1]].astype(np.int32)), pa.array([names[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([sums[a:b].astype("<f4").tobytes() for a, b in cut], pa.binary())],
+                    names=["home", "docs", "parts"],
+                )
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
@@ -262,6 +280,29 @@ def _back_off(total: int):
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of scores, sorted by the shard of their documents, to (scored_id, score)."""
+    home, held, load = -1, [], 0
+
+    def flush() -> pa.RecordBatch:
+        names, sums = _sums(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sums)], names=["scored_id", "score"])
+
+    for batch in batches:
+        for to, docs, values in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if to != home and held:
+                yield flush()
+                held, load = [], 0
+            home = to
+            held.append((np.frombuffer(docs, np.int64), np.frombuffer(values, "<f4").astype(np.float64)))
+            load += len(held[-1][0])
+            if load > SHARD_WORDS:
+                held = [_sums(*(np.concatenate(x) for x in zip(*held)))]
+                load = len(held[0][0])
+    if held:
+        yield flush()
+
+
 def score(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, score and mean_score of every row."""
     spark = docs.sparkSession
@@ -280,10 +321,10 @@ def score(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     dealt = texts.mapInArrow(_deal(shards, share, words, pairs), PACKED)
     scored = dealt.repartition(n, "shard").sortWithinPartitions("kind", "shard").mapInArrow(_score_pairs(shards, total, words, pairs), PACKED)
     unigrams = counts.where("kind = 0").select("key", "n").mapInArrow(_unigrams(shards), PACKED)
-    backed = scored.unionByName(unigrams).repartition(n, "shard").sortWithinPartitions("shard", F.desc("kind")).mapInArrow(_back_off(total), "scored_id long, part double")
-    sums = backed.groupBy("scored_id").agg(F.sum("part").alias("score"))
-    sizes = texts.select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("n_words"))
-    out = sizes.join(sums, F.col("doc_id") == F.col("scored_id"), "left")
+    backed = scored.unionByName(unigrams).repartition(n, "shard").sortWithinPartitions("shard", F.desc("kind")).mapInArrow(_back_off(shards, total), "home int, docs binary, parts binary")
+    sums = backed.repartition(n, "home").sortWithinPartitions("home").mapInArrow(_add_up, "scored_id long, score double")
+    sizes = counts.where("kind = 2").select(F.col("key").alias("sized_id"), F.col("n").alias("n_words"))
+    out = texts.select("doc_id").join(sizes, F.col("doc_id") == F.col("sized_id")).join(sums, F.col("doc_id") == F.col("scored_id"), "left")
     named = F.col("doc_id") != F.lit(-(2**63))
     total_score = F.when(named, F.round(F.coalesce("score", F.lit(0.0)), 3))
     return out.select(F.when(named, F.col("doc_id")).alias("doc_id"), "n_words", total_score.alias("score"), F.when(F.col("n_words") > 0, F.round(total_score / F.col("n_words"), 6)).alias("mean_score"))

@@ -52,7 +52,7 @@ def _anchors(shards: int):
             shard = shard_of(code, shards)
             key = code & _LOW
             # Sorted by shard, document and hash, repeats within a document once.
-            order = np.argsort((shard.astype(np.uint64) << np.uint64(44)) | (doc.astype(np.uint64) << np.uint64(26)) | (key >> np.uint64(14)), kind="stable")
+            order = np.argsort((shard.astype(np.uint64) << np.uint64(42)) | (doc.astype(np.uint64) << np.uint64(26)) | (key >> np.uint64(14)), kind="stable")
             rows = []
             for kind, chosen in ((1, order), (0, order[at[order] % BLOCK == 0])):
                 s, d, k = shard[chosen], doc[chosen], key[chosen]
