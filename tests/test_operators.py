@@ -167,3 +167,11 @@ def test_breakers_are_apart(spark):
     got = resilience.breaker_states(calls).collect()
     assert {r.state for r in got if r.system_name == "target"} == {"CLOSED"}
     assert [r.permitted for r in sorted(got, key=lambda r: r.call_seq) if r.system_name == "source"].count(False) == 10
+
+
+def test_large_tenants_are_numbered_without_a_window(spark):
+    rows = [("t" if i % 3 else "u", f"c{i:04d}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "tenant_id string, external_id string, v int").repartition(7)
+    by_window = {(r.tenant_id, r.external_id): r.page for r in paging.with_pages(df, 9).collect()}
+    by_range = paging.with_pages(df, 9, window_rows=10)
+    assert {(r.tenant_id, r.external_id): r.page for r in by_range.collect()} == by_window and by_range.columns == [*df.columns, "page"]

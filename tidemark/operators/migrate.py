@@ -10,10 +10,10 @@ COUNTERS = ("processed", "succeeded", "skipped", "failed")
 
 
 def create_if_absent(new: DataFrame, target: DataFrame) -> DataFrame:
-    """The target with the new rows whose key it doesn't hold; rows that are there stay as they are."""
-    first = F.row_number().over(Window.partitionBy(*TARGET_KEY).orderBy(*[c for c in new.columns if c not in TARGET_KEY]))
-    fresh = new.withColumn("_n", first).where("_n = 1").drop("_n").join(target.select(*TARGET_KEY), TARGET_KEY, "left_anti")
-    return target.unionByName(fresh)
+    """The target with the new rows whose key it doesn't hold; rows that are there stay as they are. Of new rows with one key, the least is written."""
+    rest = [c for c in new.columns if c not in TARGET_KEY]
+    one = new.groupBy(*TARGET_KEY).agg(F.min(F.struct(*rest)).alias("_row")).select(*TARGET_KEY, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return target.unionByName(one.join(target.select(*TARGET_KEY), TARGET_KEY, "left_anti"))
 
 
 def upsert(new: DataFrame, target: DataFrame, now: Column) -> DataFrame:

@@ -6,13 +6,36 @@ from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rules import check_page
+from tidemark.sources.scratch import materialize
 
 
-def with_pages(df: DataFrame, size: int, partition: str = "tenant_id", order: str = "external_id") -> DataFrame:
+#: A tenant of up to so many rows is numbered by one task.
+WINDOW_ROWS = 2_000_000
+
+
+def with_row_numbers(df: DataFrame, partition: str, order: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """df with row_no, from 0, in the order of a column within each partition; order must be unique there.
+
+    A window numbers partitions of moderate size. If one is larger, all rows are sorted by range and written; a row's
+    number is then its place in its file plus the rows of its partition in the files before, so no task holds a partition.
+    """
+    largest = df.groupBy(partition).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_rows:
+        return df.withColumn("row_no", F.row_number().over(Window.partitionBy(partition).orderBy(order)).cast("long") - 1)
+    placed = materialize(df.orderBy(partition, order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_file", F.shiftright("_place", 33))
+    files = placed.groupBy(partition, "_file").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(partition).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.withColumn("_before", F.coalesce(before, F.lit(0)))
+    numbered = placed.join(files, [partition, "_file"]).withColumn("row_no", F.col("_place") - F.col("_first") + F.col("_before"))
+    return numbered.select(*df.columns, "row_no")
+
+
+def with_pages(df: DataFrame, size: int, partition: str = "tenant_id", order: str = "external_id", window_rows: int = WINDOW_ROWS) -> DataFrame:
     """A page number, from 0, in the order of ids of each tenant."""
     check_page(0, size)
-    n = F.row_number().over(Window.partitionBy(partition).orderBy(order))
-    return df.withColumn("page", F.floor((n - 1) / size).cast("int"))
+    numbered = with_row_numbers(df, partition, order, window_rows)
+    return numbered.withColumn("page", F.floor(F.col("row_no") / size).cast("int")).drop("row_no")
 
 
 def page_of(df: DataFrame, page: int, size: int, *order: str) -> DataFrame:
