@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import materialize, shared_dir  # noqa: F401
+
 #: The white space of every contract here, as the body of a regex class and as characters.
 WS_CLASS = r"\x20\x09-\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -18,21 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(c, UPPER, LOWER)

@@ -56,19 +56,19 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs with text replaced by its kept lines, and n_lines and n_dropped added (older columns of these names go)."""
     docs = docs.drop("n_lines", "n_dropped")
-    drops = dropped_positions(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("_did"), F.col("drops").alias("_drops"))
-    joined = docs.join(drops, docs["doc_id"] == drops["_did"], "left").withColumn("_lines", _lines(docs["text"]))
+    drops = dropped_positions(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias("__tm_id"), F.col("drops").alias("__tm_drops"))
+    joined = docs.join(drops, docs["doc_id"] == drops["__tm_id"], "left").withColumn("__tm_lines", _lines(docs["text"]))
 
     # Kept lines are the slices between one dropped position and the next: linear in the number of lines.
     def kept(end: Column, k: Column) -> Column:
-        start = F.when(k == 0, F.lit(0)).otherwise(F.get("_drops", k - 1) + 1)
-        return F.slice("_lines", start + 1, end - start)
+        start = F.when(k == 0, F.lit(0)).otherwise(F.get("__tm_drops", k - 1) + 1)
+        return F.slice("__tm_lines", start + 1, end - start)
 
-    text = F.when(F.col("_drops").isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(F.flatten(F.transform("_drops", kept)), "\n"))
+    text = F.when(F.col("__tm_drops").isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(F.flatten(F.transform("__tm_drops", kept)), "\n"))
     return joined.select(
         *[text.alias(c) if c == "text" else docs[c] for c in docs.columns],
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.when(F.col("_drops").isNull(), 0).otherwise(F.size("_drops") - 1).cast("long").alias("n_dropped"),
+        F.size("__tm_lines").cast("long").alias("n_lines"),
+        F.when(F.col("__tm_drops").isNull(), 0).otherwise(F.size("__tm_drops") - 1).cast("long").alias("n_dropped"),
     )
 
 
