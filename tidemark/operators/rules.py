@@ -20,6 +20,21 @@ def to_request(candidate: DataFrame) -> DataFrame:
     return candidate.select("tenant_id", F.col("id").alias("external_id"), "first_name", "last_name", "email")
 
 
+def owned_fields(payload: Column) -> Column:
+    """The target's fields of a JSON text; properties that aren't ours are ignored, absent ones null."""
+    return F.from_json(payload, "externalId string, firstName string, lastName string, email string")
+
+
+def job_response(jobs: DataFrame) -> DataFrame:
+    """What a client sees of a job: never the owner of its lease."""
+    return jobs.drop("lease_owner")
+
+
+def run_response(runs: DataFrame) -> DataFrame:
+    """What a client sees of a run: neither owner nor page size."""
+    return runs.drop("lease_owner", "page_size")
+
+
 def email_error(email: Column) -> Column:
     return F.when(is_blank(email), F.lit(EMAIL_REQUIRED))
 

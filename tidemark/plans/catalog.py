@@ -255,6 +255,24 @@ def point_lookup(source):
     return own.join(own.agg(F.min("external_id").alias("external_id")), "external_id", "left_semi").select("external_id", "email")
 
 
+@query(("migration_state",), "select source_record_id, status, updated_at from migration_state where tenant_id = 'tenant-3' order by updated_at")
+def target_listing(records):
+    return paging.listing(records, "tenant-3", "updated_at").select("source_record_id", "status", "updated_at")
+
+
+@query(("events",), "select event_id, 'e' || event_id as external_id, case when event_id % 2 = 0 then 'F' end as first_name, cast(null as varchar) as email from events")
+def target_json(events):
+    first = F.when(F.col("event_id") % 2 == 0, '"F"').otherwise("null")
+    payload = F.concat(F.lit('{"externalId": "e'), F.col("event_id").cast("string"), F.lit('", "firstName": '), first, F.lit(', "more": '), F.col("props"), F.lit("}"))
+    own = rules.owned_fields(payload)
+    return events.select("event_id", own["externalId"].alias("external_id"), own["firstName"].alias("first_name"), own["email"].alias("email"))
+
+
+@query(("migration_job",), "select job_id as run_id, tenant_id, status, updated_at from migration_job")
+def run_response(jobs):
+    return rules.run_response(jobs.withColumnRenamed("job_id", "run_id").withColumn("page_size", F.lit(100)).withColumn("lease_owner", F.lit("me")))
+
+
 _NEW = "select tenant_id, external_id, first_name, last_name, email from source_candidate where k % 2 = 0"
 
 
@@ -520,6 +538,21 @@ def delta_claims(events):
     return state.claim_events(asked, inbox, *_as_of()).select("event_id", F.col("request_seq").alias("delivery_no"), "claimed", "attempts")
 
 
+@query(("change_event",), "select event_id, case when event_id % 2 = 0 then 'FAILED' else 'IN_PROGRESS' end as status, case when event_id % 2 = 0 then repeat('x', 1000) end as last_error, event_id % 2 = 0 as applied from change_event where delivery_no = 1")
+def delta_finish(events):
+    own = events.where("delivery_no = 1")
+    inbox = own.select("event_id", F.lit("IN_PROGRESS").alias("status"), F.when(F.col("event_id") % 2 == 0, "me").otherwise("other").alias("lease_owner"))
+    return state.finish_events(own.select("event_id", F.lit("me").alias("owner"), F.lit("FAILED").alias("new_status"), F.repeat(F.lit("x"), 1200).alias("error")), inbox)
+
+
+@query(("change_event",), "select event_id, delivery_no, case when event_id % 17 = 0 then 'PERMANENT' when event_id % 5 = 0 and event_id % 2 = 0 then 'DUPLICATE' when event_id % 5 = 0 then 'IN_PROGRESS' when event_id % 7 = 0 then 'LEASE_LOST' when event_id % 3 = 0 then 'PERMANENT' when event_id % 11 = 0 then 'RETRYABLE' else 'PROCESSED' end as outcome from change_event")
+def delivery_outcomes(events):
+    e = F.col("event_id")
+    status = F.when(e % 2 == 0, "COMPLETED").otherwise("IN_PROGRESS")
+    error = F.when(e % 3 == 0, "INVALID_RECORD").when(e % 11 == 0, "TRANSIENT")
+    return events.select("event_id", "delivery_no", delta.delivery_outcome(status, e % 17 != 0, e % 5 != 0, e % 7 == 0, error).alias("outcome"))
+
+
 @query(("change_event",), "select tenant_id || ':' || candidate_id as message_key, event_id, delivery_no, cast(row_number() over (partition by tenant_id || ':' || candidate_id order by occurred_at, event_id, delivery_no) as int) as seq from change_event where candidate_id is not null")
 def partition_order(events):
     return delta.partition_order(events)
@@ -540,6 +573,12 @@ def safe_error_messages(calls):
     return resilience.call_failures(calls)
 
 
+@query(("call_log",), "select call_seq, case when call_seq % 13 = 0 then 'CIRCUIT_OPEN' when call_seq % 11 = 0 then 'INVALID_RESPONSE' when http_status >= 400 then 'HTTP_RESPONSE' when call_seq % 3 = 0 then 'TIMEOUT' when http_status is null then 'TRANSPORT_ERROR' end as kind from call_log")
+def failure_kinds(calls):
+    n = F.col("call_seq")
+    return calls.select("call_seq", resilience.failure_kind(F.col("http_status"), n % 3 == 0, n % 11 == 0, n % 13 == 0).alias("kind"))
+
+
 @query(("call_log",), f"select call_seq, attempt, case when attempt = 1 then 0 else least(200 * cast(pow(2, attempt - 2) as bigint), 2000) end as wait_ms from call_log, (select 1 as attempt union all select 2 union all select 3) where attempt = 1 or {_TYPE} = 'TRANSIENT'")
 def retry_schedule(calls):
     return resilience.retry_schedule(calls)

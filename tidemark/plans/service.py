@@ -34,8 +34,8 @@ class Service:
     def _now(self):
         return F.lit(self.clock()).cast("timestamp")
 
-    def _one(self, table: SnapshotTable, key: str, value: str) -> Row:
-        row = table.read().where(F.col(key) == value).first()
+    def _one(self, table: SnapshotTable, key: str, value: str, shown: Callable[[DataFrame], DataFrame] = lambda df: df) -> Row:
+        row = shown(table.read().where(F.col(key) == value)).first()
         if row is None:
             raise NotFound(f"no {key} {value}")
         return row
@@ -56,9 +56,7 @@ class Service:
         return self.get_job(got.job_id)
 
     def get_job(self, job_id: str) -> dict:
-        out = self._one(self.jobs, "job_id", job_id).asDict()
-        out.pop("lease_owner")
-        return out
+        return self._one(self.jobs, "job_id", job_id, rules.job_response).asDict()
 
     def run_job(self, job_id: str) -> dict:
         """Claims a job and migrates all pages that it hasn't recorded; a job that can't be claimed is left alone."""
@@ -122,9 +120,7 @@ class Service:
         return self.get_run(got.run_id)
 
     def get_run(self, run_id: str) -> dict:
-        out = self._one(self.runs, "run_id", run_id).asDict()
-        out.pop("lease_owner"), out.pop("page_size")
-        return out
+        return self._one(self.runs, "run_id", run_id, rules.run_response).asDict()
 
     def _items_path(self, run_id: str) -> str:
         return f"{self.base}/items/run_id={run_id}"
