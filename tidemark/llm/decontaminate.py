@@ -34,18 +34,23 @@ def _seeds(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.posexplode(let(word_hashes(F.col("text")), at)).alias("pos", "seeds")).select(key, "pos", F.explode("seeds").alias("seed"))
 
 
-def best_overlap(doc: Column, item: Column, diagonal: Column) -> Column:
-    """Most equal words in any window of the item laid on the document at a diagonal (position there minus here)."""
+def best_overlap(part: Column, item: Column, diagonal: Column) -> Column:
+    """Most equal words in any window of the item laid on a part of a document at a diagonal (position there minus here)."""
     size = F.size(item)
     width = F.least(F.lit(WINDOW), size)
+    same = F.transform(item, lambda w, t: F.coalesce(F.when(t + diagonal >= 0, F.get(part, t + diagonal)) == w, F.lit(False)).cast("int"))
+    best = lambda x: F.array_max(F.transform(F.sequence(F.lit(1), size - width + 1), lambda s: F.aggregate(F.slice(x, s, width), F.lit(0), lambda a, b: a + b)))
+    return let(same, best)
 
-    def equal(d: Column) -> Column:
-        return F.transform(item, lambda w, t: F.coalesce(F.when(t + diagonal >= 0, F.get(d, t + diagonal)) == w, F.lit(False)).cast("int"))
 
-    def best(same: Column) -> Column:
-        return F.array_max(F.transform(F.sequence(F.lit(1), size - width + 1), lambda s: F.aggregate(F.slice(same, s, width), F.lit(0), lambda a, x: a + x)))
+def _laid(h: Column) -> Column:
+    """The stretch of a document's words under each item of near; diagonals then count from the stretch's begin."""
 
-    return let(let(doc, equal), best)
+    def cut(n: Column) -> Column:
+        before = F.least(n["diagonal"], F.lit(0))
+        return F.struct(n["item_id"].alias("item_id"), before.alias("diagonal"), F.slice(h, F.greatest(n["diagonal"], F.lit(0)) + 1, n["n"] + before).alias("part"))
+
+    return F.transform("near", cut)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -54,12 +59,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("item_h", word_hashes(F.col("text"))).where(F.size("item_h") >= MIN_WORDS)
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     small = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
-    theirs = _seeds(items, "item_id").select("item_id", F.col("pos").alias("item_pos"), "seed")
+    sizes = items.select("item_id", F.size("item_h").alias("n"))
+    theirs = _seeds(items, "item_id").join(small(sizes), "item_id").select("item_id", "n", F.col("pos").alias("item_pos"), "seed")
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     hits = _seeds(texts, "doc_id").join(small(theirs), "seed")
-    pairs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-    near = texts.join(pairs, "doc_id").join(small(items.select("item_id", "item_h")), "item_id")
-    judged = near.select("doc_id", "item_id", F.least(F.lit(WINDOW), F.size("item_h")).alias("window_words"), best_overlap(word_hashes(F.col("text")), F.col("item_h"), F.col("diagonal")).alias("matched"))
+    pairs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n").distinct()
+    near = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "n")).alias("near"))  # bounded by the document
+    parts = texts.join(near, "doc_id").select("doc_id", F.explode(let(word_hashes(F.col("text")), _laid)).alias("p")).select("doc_id", "p.*")
+    laid = parts.join(small(items.select("item_id", "item_h")), "item_id")
+    judged = laid.select("doc_id", "item_id", F.least(F.lit(WINDOW), F.size("item_h")).alias("window_words"), best_overlap(F.col("part"), F.col("item_h"), F.col("diagonal")).alias("matched"))
     found = judged.where(F.col("matched") >= F.ceil(F.col("window_words") * F.lit(SHARE)))
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched_words"), F.max("window_words").cast("long").alias("window_words"))
 
