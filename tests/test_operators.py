@@ -175,3 +175,10 @@ def test_large_tenants_are_numbered_without_a_window(spark):
     by_window = {(r.tenant_id, r.external_id): r.page for r in paging.with_pages(df, 9).collect()}
     by_range = paging.with_pages(df, 9, window_rows=10)
     assert {(r.tenant_id, r.external_id): r.page for r in by_range.collect()} == by_window and by_range.columns == [*df.columns, "page"]
+
+
+def test_window_rates_do_not_depend_on_blocks(spark):
+    rows = [(i, "source" if i % 5 else "target", [200, 503, None, 404][i * 7 % 4]) for i in range(200)]
+    calls = spark.createDataFrame(rows, "call_seq long, system_name string, http_status int").repartition(5)
+    whole = sorted(map(tuple, resilience.window_rate(calls).collect()))
+    assert sorted(map(tuple, resilience.window_rate(calls, block=15).collect())) == whole and len(whole) == 200

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import backoff_ms
 from tidemark.model import TRANSIENT_STATUSES
+from tidemark.operators.paging import WINDOW_ROWS, with_row_numbers
 
 
 def is_failure(status: Column) -> Column:
@@ -56,20 +57,32 @@ def retry_schedule(calls: DataFrame, attempts: int = 3) -> DataFrame:
     return rows.withColumn("wait_ms", F.when(F.col("attempt") == 1, F.lit(0)).otherwise(backoff_ms(F.col("attempt") - 1)).cast("long"))
 
 
-def window_rate(calls: DataFrame, size: int = 10, least: int = 5) -> DataFrame:
-    """Percent of transient failures among the last calls of each system; null until there are enough."""
-    w = Window.partitionBy("system_name").orderBy("call_seq").rowsBetween(-(size - 1), 0)
+def window_rate(calls: DataFrame, size: int = 10, least: int = 5, block: int = WINDOW_ROWS) -> DataFrame:
+    """Percent of transient failures among the last calls of each system; null until there are enough.
+
+    A system's calls are cut into blocks, each with the size - 1 calls before it, so that no task holds all calls of a system.
+    """
     bad = F.coalesce(failure_type(F.col("http_status")) == "TRANSIENT", F.lit(False)).cast("int")
-    n, failed = F.count(F.lit(1)).over(w), F.sum(bad).over(w)
-    return calls.select("call_seq", "system_name", n.alias("calls"), failed.cast("long").alias("failed"), F.when(n >= least, F.floor(failed * 100 / n)).cast("long").alias("percent"))
+    rows = with_row_numbers(calls.select("call_seq", "system_name", bad.alias("bad")), "system_name", "call_seq", block)
+    own = F.floor(F.col("row_no") / block)
+    ahead = F.when(F.col("row_no") % block > block - size, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.withColumn("own", own).withColumn("block", F.explode(ahead))
+    w = Window.partitionBy("system_name", "block").orderBy("row_no").rowsBetween(-(size - 1), 0)
+    failed = F.sum("bad").over(w)
+    rated = rows.withColumn("failed", failed.cast("long")).withColumn("calls", F.least(F.col("row_no") + 1, F.lit(size)).cast("long")).where("block = own")
+    return rated.select("call_seq", "system_name", "calls", "failed", F.when(F.col("calls") >= least, F.floor(F.col("failed") * 100 / F.col("calls"))).cast("long").alias("percent"))
 
 
 def injected(calls: DataFrame, mode: str, count: int) -> DataFrame:
-    """The first calls of each system in a failure mode; modes AFTER_SAVE fail although the write took place."""
-    n = F.row_number().over(Window.partitionBy("system_name").orderBy("call_seq"))
-    hit = n <= count
+    """The first calls of each system in a failure mode; modes AFTER_SAVE fail although the write took place.
+
+    Only the first calls are ranked (a group limit ahead of the shuffle); the others are compared with the last of them.
+    """
+    ranked = calls.select("system_name", "call_seq").withColumn("n", F.row_number().over(Window.partitionBy("system_name").orderBy("call_seq")))
+    last = ranked.where(F.col("n") <= count).groupBy("system_name").agg(F.max("call_seq").alias("last"))
+    hit = F.coalesce(F.col("call_seq") <= F.col("last"), F.lit(False))
     failed, saved = F.lit("UNAVAILABLE" in mode), F.lit(mode.endswith("AFTER_SAVE") or mode == "DELAY")
-    return calls.select("call_seq", "system_name", F.when(hit, mode).otherwise("NONE").alias("mode"), F.when(hit, failed).otherwise(F.lit(False)).alias("call_failed"), F.when(hit, saved).otherwise(F.lit(True)).alias("saved"))
+    return calls.join(last, "system_name", "left").select("call_seq", "system_name", F.when(hit, mode).otherwise("NONE").alias("mode"), F.when(hit, failed).otherwise(F.lit(False)).alias("call_failed"), F.when(hit, saved).otherwise(F.lit(True)).alias("saved"))
 
 
 class Breaker:
