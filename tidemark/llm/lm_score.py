@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, partitions
+from tidemark.llm.common import materialize
 from tidemark.llm.wordarrays import MUL, mixed, pack, parts, runs, shard_of, unpack
 
 ALPHA = 0.4
@@ -317,12 +317,11 @@ def score(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     pairs = Hot([])
     if len(heavy):
         pairs = Hot([(r["key"], r["n"]) for r in texts.mapInArrow(_count_of(heavy), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()])
-    n = partitions(spark)
     dealt = texts.mapInArrow(_deal(shards, share, words, pairs), PACKED)
-    scored = dealt.repartition(n, "shard").sortWithinPartitions("kind", "shard").mapInArrow(_score_pairs(shards, total, words, pairs), PACKED)
+    scored = dealt.repartitionById(shards, "shard").sortWithinPartitions("kind", "shard").mapInArrow(_score_pairs(shards, total, words, pairs), PACKED)
     unigrams = counts.where("kind = 0").select("key", "n").mapInArrow(_unigrams(shards), PACKED)
-    backed = scored.unionByName(unigrams).repartition(n, "shard").sortWithinPartitions("shard", F.desc("kind")).mapInArrow(_back_off(shards, total), "home int, docs binary, parts binary")
-    sums = backed.repartition(n, "home").sortWithinPartitions("home").mapInArrow(_add_up, "scored_id long, score double")
+    backed = scored.unionByName(unigrams).repartitionById(shards, "shard").sortWithinPartitions("shard", F.desc("kind")).mapInArrow(_back_off(shards, total), "home int, docs binary, parts binary")
+    sums = backed.repartitionById(shards, "home").sortWithinPartitions("home").mapInArrow(_add_up, "scored_id long, score double")
     sizes = counts.where("kind = 2").select(F.col("key").alias("sized_id"), F.col("n").alias("n_words"))
     out = texts.select("doc_id").join(sizes, F.col("doc_id") == F.col("sized_id")).join(sums, F.col("doc_id") == F.col("scored_id"), "left")
     named = F.col("doc_id") != F.lit(-(2**63))

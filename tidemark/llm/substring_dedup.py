@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions
 from tidemark.llm.wordarrays import MUL, hashed, mixed, pack, parts, rolling, runs, shard_of, unpack, words
 
 WINDOW, BLOCK = 50, 25
@@ -224,17 +223,16 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _judged(docs: DataFrame) -> DataFrame:
     """(doc_id, text, list of positions of marked windows or null) of every row."""
-    n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // SHARD_BYTES)
     packed = texts.where("doc_id is not null").mapInArrow(_anchors(shards), "shard int, kind int, docs binary, lens binary, keys binary")
-    hits = packed.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_hits, "hit_id long, keys binary")
+    hits = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_hits, "hit_id long, keys binary")
     hits = hits.groupBy("hit_id").agg(F.collect_list("keys").alias("lists"))
     # Both joins read the same exchange of the texts.
     near = texts.join(hits, texts["doc_id"] == hits["hit_id"], "left").select("doc_id", "text", "lists")
     windows = near.mapInArrow(_windows(shards), "shard int, win_id long, hashes binary, positions binary")
-    lost = windows.repartition(n, "shard").sortWithinPartitions("shard", "win_id").mapInArrow(_marked, "lost_id long, positions binary")
+    lost = windows.repartitionById(shards, "shard").sortWithinPartitions("shard", "win_id").mapInArrow(_marked, "lost_id long, positions binary")
     lost = lost.groupBy("lost_id").agg(F.collect_list("positions").alias("lists"))
     return texts.join(lost, texts["doc_id"] == lost["lost_id"], "left").select("doc_id", "text", "lists")
 
