@@ -274,6 +274,13 @@ def test_substring_dedup_at_every_offset(spark):
     assert got == brute_repeats(rows)
 
 
+def test_substring_dedup_of_a_passage_in_every_document(spark):
+    base = " ".join(f"h{i}" for i in range(70))
+    rows = [(i, f"{base} own{i} " + ("Is onhe. " * 60 if i % 3 else "") + base) for i in range(150)]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()}
+    assert got == brute_repeats(rows)
+
+
 def brute_scores(rows):
     w = {i: words(t) for i, t in rows}
     one, two = Counter(), Counter()
@@ -299,6 +306,14 @@ def test_lm_scores_equal_brute_force(small, small_rows, shard_words):
     assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], rel=1e-4, abs=0.01) for i in want)
 
 
+def test_lm_scores_with_hot_words_and_bigrams(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["hot pair", "hot pair", "hot", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(1, 60)))) for i in range(400)]
+    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), 500).collect()}
+    want = brute_scores(rows)
+    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], rel=1e-4, abs=0.01) for i in want)
+
+
 def test_lm_scores_odd_cases(odd, nothing):
     rows = unique_ids(odd)
     got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score(rows).collect()}
