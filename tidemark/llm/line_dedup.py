@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WS_CHARS, ascii_lower
+from tidemark.llm.common import WS_CHARS, ascii_lower, materialize
 
 
 #: Stands behind the last line of any text.
@@ -49,7 +49,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
         .where(F.col("n") >= min_docs)
         .select("a", "b", "holder")
     )
-    lost = keyed.join(common, ["a", "b"]).where("doc_id <> holder")
+    # Written out, so that the join can broadcast a small table, or split the rows of a line that is everywhere.
+    lost = keyed.join(materialize(common), ["a", "b"]).where("doc_id <> holder")
     return lost.groupBy("doc_id").agg(F.concat(F.sort_array(F.collect_set("pos")), F.array(F.lit(END))).alias("drops"))
 
 
