@@ -104,17 +104,37 @@ def _odd_ids(source: DataFrame) -> DataFrame:
     return source.select("k", F.when(k % 3 == 0, "").when(k % 5 == 0, "  ").when(k % 7 == 0, F.repeat(F.lit("x"), 101)).otherwise(F.col("external_id")).alias("id"))
 
 
-@query(("source_candidate",), f"select k, case when {_blank('id')} then 'external id is blank' else 'external id is too long' end as error from ({_ODD_IDS}) where {_blank('id')} or length(id) > {MAX_ID_CHARS}")
+@query(
+    ("source_candidate",),
+    f"""
+select k, case when {_blank('id')} then 'external id is blank' else 'external id is too long' end as error
+from ({_ODD_IDS}) where {_blank('id')} or length(id) > {MAX_ID_CHARS}
+""",
+)
 def reject_bad_ids(source):
     return _odd_ids(source).withColumn("error", rules.id_error(F.col("id"))).where("error is not null").select("k", "error")
 
 
-@query(("source_candidate",), f"select count(*) filter (where length(id) > {MAX_ID_CHARS}) as too_long, count(*) filter (where length(id) <= {MAX_ID_CHARS}) as fitting from ({_ODD_IDS})")
+@query(
+    ("source_candidate",),
+    f"""
+select count(*) filter (where length(id) > {MAX_ID_CHARS}) as too_long, count(*) filter (where length(id) <= {MAX_ID_CHARS}) as fitting
+from ({_ODD_IDS})
+""",
+)
 def id_length_rejects(source):
     return _odd_ids(source).agg(F.count_if(F.length("id") > MAX_ID_CHARS).alias("too_long"), F.count_if(F.length("id") <= MAX_ID_CHARS).alias("fitting"))
 
 
-@query(("source_candidate",), f"select k, case when {_blank('id')} then 'external id is blank' when id <> external_id then 'path and body differ' end as error from (select s.k, o.id, s.external_id from source_candidate s join ({_ODD_IDS}) o on s.k = o.k)")
+@query(
+    ("source_candidate",),
+    f"""
+select k, case when {_blank('id')} then 'external id is blank' when id <> external_id then 'path and body differ' end as error
+from (select s.k, o.id, s.external_id
+from source_candidate s
+join ({_ODD_IDS}) o on s.k = o.k)
+""",
+)
 def rejected_writes(source):
     return source.join(_odd_ids(source), "k").select("k", rules.path_error(F.col("external_id"), F.col("id")).alias("error"))
 
@@ -218,7 +238,15 @@ def differences_by_result(source, target):
     return reconcile.differences(reconcile.items(source, target), DIFFERENCES[2]).select("tenant_id", "external_id", "source_fingerprint", "target_fingerprint")
 
 
-@query(_BOTH, _ITEMS + f", sums as (select tenant_id, {_COUNTS} from items group by tenant_id)\nselect run_id, case when live then 'COMPLETED' else status end as status, case when not live then lease_owner end as lease_owner, case when live then matched_count else 0 end as matched_count, case when live then mismatched_count else 0 end as mismatched_count from (select sums.*, tenant_id as run_id, case when length(tenant_id) % 2 = 0 then 'RUNNING' else 'FAILED' end as status, case when length(tenant_id) % 2 = 0 then 'me' end as lease_owner, length(tenant_id) % 2 = 0 as live from sums)")
+@query(
+    _BOTH,
+    _ITEMS
+    + f""", sums as (select tenant_id as run_id, length(tenant_id) % 2 = 0 as live, {_COUNTS} from items group by tenant_id)
+select run_id, case when live then 'COMPLETED' else 'FAILED' end as status, cast(null as varchar) as lease_owner,
+       case when live then matched_count else 0 end as matched_count,
+       case when live then mismatched_count else 0 end as mismatched_count
+from sums""",
+)
 def run_complete(source, target):
     sums = reconcile.summarize(reconcile.items(source, target), "tenant_id").withColumnRenamed("tenant_id", "run_id")
     live = F.length("run_id") % 2 == 0
@@ -229,27 +257,62 @@ def run_complete(source, target):
 # Scans and writes
 
 
-@query(("source_candidate",), "select tenant_id, external_id, cast(floor((row_number() over (partition by tenant_id order by external_id) - 1) / 10) as int) as page from source_candidate")
+@query(
+    ("source_candidate",),
+    """
+select tenant_id, external_id, cast(floor((row_number() over (partition by tenant_id
+order by external_id) - 1) / 10) as int) as page
+from source_candidate
+""",
+)
 def source_pages(source):
     return paging.with_pages(source, 10).select("tenant_id", "external_id", "page")
 
 
-@query(("target_candidate",), "select tenant_id, external_id, cast(floor((row_number() over (partition by tenant_id order by external_id) - 1) / 10) as int) as page from target_candidate")
+@query(
+    ("target_candidate",),
+    """
+select tenant_id, external_id, cast(floor((row_number() over (partition by tenant_id
+order by external_id) - 1) / 10) as int) as page
+from target_candidate
+""",
+)
 def target_pages(target):
     return paging.with_pages(target, 10).select("tenant_id", "external_id", "page")
 
 
-@query(("source_candidate",), "select tenant_id, count(*) as n_rows, greatest(cast(ceil(count(*) / 10.0) as bigint), 1) as n_pages from source_candidate group by tenant_id")
+@query(
+    ("source_candidate",),
+    """
+select tenant_id, count(*) as n_rows, greatest(cast(ceil(count(*) / 10.0) as bigint), 1) as n_pages
+from source_candidate
+group by tenant_id
+""",
+)
 def page_counts(source):
     return paging.page_counts(source, 10)
 
 
-@query(("target_candidate",), "select tenant_id, external_id, email from target_candidate where tenant_id = 'tenant-3' order by external_id limit 10 offset 10")
+@query(
+    ("target_candidate",),
+    """
+select tenant_id, external_id, email
+from target_candidate where tenant_id = 'tenant-3' order by external_id
+limit 10 offset 10
+""",
+)
 def target_page(target):
     return paging.page_of(target.where("tenant_id = 'tenant-3'").select("tenant_id", "external_id", "email"), 1, 10, "external_id")
 
 
-@query(("source_candidate",), "select external_id, email from source_candidate where tenant_id = 'tenant-7' and external_id = (select min(external_id) from source_candidate where tenant_id = 'tenant-7')")
+@query(
+    ("source_candidate",),
+    """
+select external_id, email
+from source_candidate where tenant_id = 'tenant-7' and external_id = (select min(external_id)
+from source_candidate where tenant_id = 'tenant-7')
+""",
+)
 def point_lookup(source):
     own = source.where("tenant_id = 'tenant-7'")
     return own.join(own.agg(F.min("external_id").alias("external_id")), "external_id", "left_semi").select("external_id", "email")
@@ -260,7 +323,13 @@ def target_listing(records):
     return paging.listing(records, "tenant-3", "updated_at").select("source_record_id", "status", "updated_at")
 
 
-@query(("events",), "select event_id, 'e' || event_id as external_id, case when event_id % 2 = 0 then 'F' end as first_name, cast(null as varchar) as email from events")
+@query(
+    ("events",),
+    """
+select event_id, 'e' || event_id as external_id, case when event_id % 2 = 0 then 'F' end as first_name, cast(null as varchar) as email
+from events
+""",
+)
 def target_json(events):
     first = F.when(F.col("event_id") % 2 == 0, '"F"').otherwise("null")
     payload = F.concat(F.lit('{"externalId": "e'), F.col("event_id").cast("string"), F.lit('", "firstName": '), first, F.lit(', "more": '), F.col("props"), F.lit("}"))
@@ -276,13 +345,32 @@ def run_response(jobs):
 _NEW = "select tenant_id, external_id, first_name, last_name, email from source_candidate where k % 2 = 0"
 
 
-@query(_BOTH, f"with fresh as ({_NEW}) select tenant_id, external_id, first_name, last_name, email from target_candidate union all select f.* from fresh f where not exists (select 1 from target_candidate t where t.tenant_id = f.tenant_id and t.external_id = f.external_id)")
+@query(
+    _BOTH,
+    f"""
+with fresh as ({_NEW}) select tenant_id, external_id, first_name, last_name, email
+from target_candidate
+union all select f.*
+from fresh f where not exists (select 1
+from target_candidate t where t.tenant_id = f.tenant_id and t.external_id = f.external_id)
+""",
+)
 def create_if_absent(source, target):
     new = source.where("k % 2 = 0").select(*target.columns)
     return migrate.create_if_absent(new, target)
 
 
-@query(_BOTH, f"with fresh as ({_NEW}) select coalesce(f.tenant_id, t.tenant_id) as tenant_id, coalesce(f.external_id, t.external_id) as external_id, case when f.external_id is not null then f.first_name else t.first_name end as first_name, case when f.external_id is not null then f.last_name else t.last_name end as last_name, case when f.external_id is not null then f.email else t.email end as email from fresh f full outer join target_candidate t on f.tenant_id = t.tenant_id and f.external_id = t.external_id")
+@query(
+    _BOTH,
+    f"""
+with fresh as ({_NEW}) select coalesce(f.tenant_id, t.tenant_id) as tenant_id, coalesce(f.external_id, t.external_id) as external_id,
+case when f.external_id is not null then f.first_name else t.first_name end as first_name,
+case when f.external_id is not null then f.last_name else t.last_name end as last_name,
+case when f.external_id is not null then f.email else t.email end as email
+from fresh f
+full outer join target_candidate t on f.tenant_id = t.tenant_id and f.external_id = t.external_id
+""",
+)
 def upsert_target(source, target):
     new = source.where("k % 2 = 0").select(*target.columns)
     return migrate.upsert(new, target, F.expr(_SPARK_AS_OF))
@@ -291,7 +379,15 @@ def upsert_target(source, target):
 _LAST = "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
 
 
-@query(("lineitem",), f"select l_orderkey, l_linenumber, l_shipdate, l_partkey from (select *, row_number() over (partition by l_orderkey, l_linenumber order by {', '.join(c + ' desc' for c in _LAST.split(', '))}) as n from lineitem) where n = 1")
+@query(
+    ("lineitem",),
+    f"""
+select l_orderkey, l_linenumber, l_shipdate, l_partkey
+from (select *, row_number() over (partition by l_orderkey, l_linenumber
+order by {', '.join(c + ' desc' for c in _LAST.split(', '))}) as n
+from lineitem) where n = 1
+""",
+)
 def dedupe_last_write(lineitem):
     return reconcile.last_write(lineitem, ["l_orderkey", "l_linenumber"], *_LAST.split(", ")).select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
 
@@ -326,26 +422,57 @@ def claim_winner(requests, records):
     return state.claim_records(requests, records, *_as_of()).where("outcome = 'CLAIMED'").select("tenant_id", "source_record_id", "lease_owner")
 
 
-@query(_STATE, _CLAIMS + f"select s.tenant_id, s.source_record_id, case when c.lease_owner is not null then 'IN_PROGRESS' else s.status end as status, case when c.lease_owner is not null then {AS_OF} else s.updated_at end as updated_at, case when c.lease_owner is not null then c.lease_owner else s.lease_owner end as lease_owner from migration_state s left join (select * from claims where outcome = 'CLAIMED') c on s.tenant_id = c.tenant_id and s.source_record_id = c.source_record_id")
+@query(
+    _STATE,
+    _CLAIMS + f"""
+select s.tenant_id, s.source_record_id, case when c.lease_owner is not null then 'IN_PROGRESS' else s.status end as status,
+case when c.lease_owner is not null then {AS_OF} else s.updated_at end as updated_at,
+case when c.lease_owner is not null then c.lease_owner else s.lease_owner end as lease_owner
+from migration_state s
+left join (select *
+from claims where outcome = 'CLAIMED') c on s.tenant_id = c.tenant_id and s.source_record_id = c.source_record_id
+""",
+)
 def state_after_claims(requests, records):
     as_of, timeout = _as_of()
     return state.state_after_claims(state.claim_records(requests, records, as_of, timeout), records, as_of)
 
 
-@query(("migration_state",), f"with asked as (select *, case when cast(source_record_id as bigint) % 2 = 0 then lease_owner else 'worker-x' end as owner from migration_state) select tenant_id, source_record_id, case when coalesce(status = 'IN_PROGRESS' and lease_owner = owner, false) then 'COMPLETED' else status end as status, coalesce(status = 'IN_PROGRESS' and lease_owner = owner, false) as applied, case when not coalesce(status = 'IN_PROGRESS' and lease_owner = owner, false) then lease_owner end as lease_owner from asked")
+@query(
+    ("migration_state",),
+    f"""
+with asked as (select *, case when cast(source_record_id as bigint) % 2 = 0 then lease_owner else 'worker-x' end as owner
+from migration_state) select tenant_id, source_record_id, case when coalesce(status = 'IN_PROGRESS' and lease_owner = owner, false) then 'COMPLETED' else status end as status, coalesce(status = 'IN_PROGRESS' and lease_owner = owner, false) as applied,
+case when not coalesce(status = 'IN_PROGRESS' and lease_owner = owner, false) then lease_owner end as lease_owner
+from asked
+""",
+)
 def finish_fenced(records):
     owner = F.when(F.col("source_record_id").cast("long") % 2 == 0, F.col("lease_owner")).otherwise("worker-x")
     asked = records.select("tenant_id", "source_record_id", owner.alias("owner"), F.lit("COMPLETED").alias("new_status"))
     return state.finish_records(asked, records, _as_of()[0]).select("tenant_id", "source_record_id", "status", "applied", "lease_owner")
 
 
-@query(("migration_state",), f"select tenant_id, source_record_id, updated_at from migration_state where status = 'IN_PROGRESS' and updated_at < {AS_OF} - {TIMEOUT}")
+@query(
+    ("migration_state",),
+    f"""
+select tenant_id, source_record_id, updated_at
+from migration_state where status = 'IN_PROGRESS' and updated_at < {AS_OF} - {TIMEOUT}
+""",
+)
 def stale_records(records):
     as_of, timeout = _as_of()
     return records.where((F.col("status") == "IN_PROGRESS") & rules.is_stale(F.col("updated_at"), as_of, timeout)).select("tenant_id", "source_record_id", "updated_at")
 
 
-@query(_STATE, "select r.tenant_id, r.source_record_id, r.request_seq, coalesce(s.status = 'COMPLETED', false) as completed from claim_request r left join migration_state s on r.tenant_id = s.tenant_id and r.source_record_id = s.source_record_id")
+@query(
+    _STATE,
+    """
+select r.tenant_id, r.source_record_id, r.request_seq, coalesce(s.status = 'COMPLETED', false) as completed
+from claim_request r
+left join migration_state s on r.tenant_id = s.tenant_id and r.source_record_id = s.source_record_id
+""",
+)
 def status_lookup(requests, records):
     known = records.select("tenant_id", "source_record_id", "status")
     return requests.join(known, ["tenant_id", "source_record_id"], "left").select("tenant_id", "source_record_id", "request_seq", F.coalesce(F.col("status") == "COMPLETED", F.lit(False)).alias("completed"))
@@ -376,27 +503,60 @@ def _job_as_of():
 _JOB_STALE = f"(status = 'RUNNING' and updated_at < {_JOB_AS_OF} - {TIMEOUT})"
 
 
-@query(("migration_job",), f"select job_id, {_JOB_STALE} or status in ('PENDING', 'FAILED') as claimed, case when {_JOB_STALE} or status in ('PENDING', 'FAILED') then 'RUNNING' else status end as new_status from migration_job")
+@query(
+    ("migration_job",),
+    f"""
+select job_id, {_JOB_STALE} or status in ('PENDING', 'FAILED') as claimed,
+case when {_JOB_STALE} or status in ('PENDING', 'FAILED') then 'RUNNING' else status end as new_status
+from migration_job
+""",
+)
 def job_claim(jobs):
     return state.claim_jobs(jobs, *_job_as_of()).select("job_id", "claimed", "new_status")
 
 
-@query(("migration_job",), "select job_id, status = 'PENDING' as claimed, case when status = 'PENDING' then 'RUNNING' else status end as new_status from migration_job")
+@query(
+    ("migration_job",),
+    """
+select job_id, status = 'PENDING' as claimed, case when status = 'PENDING' then 'RUNNING' else status end as new_status
+from migration_job
+""",
+)
 def run_claim(jobs):
     return state.claim_runs(jobs).select("job_id", "claimed", "new_status")
 
 
-@query(("migration_job",), f"select job_id, tenant_id, status from migration_job where status = 'PENDING' or {_JOB_STALE} order by updated_at, job_id limit 7")
+@query(
+    ("migration_job",),
+    f"""
+select job_id, tenant_id, status
+from migration_job where status = 'PENDING' or {_JOB_STALE} order by updated_at, job_id
+limit 7
+""",
+)
 def job_resumable(jobs):
     return state.resumable_jobs(jobs, *_job_as_of(), 7).select("job_id", "tenant_id", "status")
 
 
-@query(("migration_job",), "select job_id, case when job_id % 3 > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status from migration_job where status = 'RUNNING'")
+@query(
+    ("migration_job",),
+    """
+select job_id, case when job_id % 3 > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status
+from migration_job where status = 'RUNNING'
+""",
+)
 def job_complete_status(jobs):
     return jobs.where("status = 'RUNNING'").select("job_id", migrate.final_status(F.col("job_id") % 3).alias("status"))
 
 
-@query(("migration_job",), f"select case when {_JOB_STALE} then 'FAILED' else status end as status, count(*) as n, count(*) filter (where {_JOB_STALE}) as failed_now from migration_job group by 1")
+@query(
+    ("migration_job",),
+    f"""
+select case when {_JOB_STALE} then 'FAILED' else status end as status, count(*) as n, count(*) filter (where {_JOB_STALE}) as failed_now
+from migration_job
+group by 1
+""",
+)
 def run_fail_abandoned(jobs):
     return state.fail_abandoned(jobs, *_job_as_of()).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed_now").alias("failed_now"))
 
@@ -406,7 +566,14 @@ def run_pending(jobs):
     return state.pending_runs(jobs, 3, ("updated_at", "job_id")).select("job_id", "tenant_id")
 
 
-@query(("migration_job",), f"select job_id, status = 'RUNNING' and job_id % 2 = 0 as alive, case when status = 'RUNNING' and job_id % 2 = 0 then {AS_OF} else updated_at end as updated_at from migration_job")
+@query(
+    ("migration_job",),
+    f"""
+select job_id, status = 'RUNNING' and job_id % 2 = 0 as alive,
+case when status = 'RUNNING' and job_id % 2 = 0 then {AS_OF} else updated_at end as updated_at
+from migration_job
+""",
+)
 def run_heartbeat(jobs):
     owned = jobs.withColumn("lease_owner", F.when(F.col("job_id") % 2 == 0, "me").otherwise("other"))
     return state.heartbeat(owned, F.lit("me"), _as_of()[0]).select("job_id", "alive", "updated_at")
@@ -459,12 +626,31 @@ def page_progress(source, orders):
     return migrate.page_progress(_results(source, orders))
 
 
-@query(_MIGRATION, _RESULTS + "select tenant_id, page + 1 as next_page, " + ", ".join(f"cast(sum({c}) over (partition by tenant_id order by page) as bigint) as {c}" for c in migrate.COUNTERS) + " from progress")
+def _each(text: str) -> str:
+    """text for each counter c."""
+    return ", ".join(text.format(c=c) for c in migrate.COUNTERS)
+
+
+@query(
+    _MIGRATION,
+    _RESULTS
+    + f"""select tenant_id, page + 1 as next_page,
+       {_each("cast(sum({c}) over (partition by tenant_id order by page) as bigint) as {c}")}
+from progress""",
+)
 def job_running_totals(source, orders):
     return migrate.running_totals(migrate.page_progress(_results(source, orders)))
 
 
-@query((*_MIGRATION, "migration_job"), _RESULTS + ", totals as (select tenant_id, max(page) + 1 as next_page, " + ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in migrate.COUNTERS) + " from progress group by tenant_id)\nselect j.tenant_id, coalesce(next_page, 1) as next_page, " + ", ".join(f"coalesce({c}, 0) as {c}" for c in migrate.COUNTERS) + ", case when coalesce(failed, 0) > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status from migration_job j left join totals t on j.tenant_id = t.tenant_id")
+@query(
+    (*_MIGRATION, "migration_job"),
+    _RESULTS
+    + f""", totals as (
+  select tenant_id, max(page) + 1 as next_page, {_each("cast(sum({c}) as bigint) as {c}")} from progress group by tenant_id)
+select j.tenant_id, coalesce(next_page, 1) as next_page, {_each("coalesce({c}, 0) as {c}")},
+       case when coalesce(failed, 0) > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status
+from migration_job j left join totals t on j.tenant_id = t.tenant_id""",
+)
 def job_final(source, orders, jobs):
     return migrate.final_jobs(jobs, migrate.page_progress(_results(source, orders)))
 
@@ -503,12 +689,29 @@ def delta_dead_letters(events, source):
     return delta.dead_letters(delta.outcomes(events, source))
 
 
-@query(_EVENTS, "select e.event_id, e.delivery_no, s.external_id is not null as found, s.email from change_event e left join source_candidate s on e.tenant_id = s.tenant_id and e.candidate_id = s.external_id")
+@query(
+    _EVENTS,
+    """
+select e.event_id, e.delivery_no, s.external_id is not null as found, s.email
+from change_event e
+left join source_candidate s on e.tenant_id = s.tenant_id and e.candidate_id = s.external_id
+""",
+)
 def delta_lookup_source(events, source):
     return delta.lookup_source(events, source).select("event_id", "delivery_no", "found", "email")
 
 
-@query((*_EVENTS, "target_candidate"), _DELTA + ", fresh as (select distinct tenant_id, candidate_id as external_id, first_name, last_name, email from outcomes where outcome = 'PROCESSED')\nselect coalesce(f.tenant_id, t.tenant_id) as tenant_id, coalesce(f.external_id, t.external_id) as external_id, case when f.external_id is not null then f.first_name else t.first_name end as first_name, case when f.external_id is not null then f.last_name else t.last_name end as last_name, case when f.external_id is not null then f.email else t.email end as email from fresh f full outer join target_candidate t on f.tenant_id = t.tenant_id and f.external_id = t.external_id")
+@query(
+    (*_EVENTS, "target_candidate"),
+    _DELTA
+    + """, fresh as (
+  select distinct tenant_id, candidate_id as external_id, first_name, last_name, email from outcomes where outcome = 'PROCESSED')
+select coalesce(f.tenant_id, t.tenant_id) as tenant_id, coalesce(f.external_id, t.external_id) as external_id,
+       case when f.external_id is not null then f.first_name else t.first_name end as first_name,
+       case when f.external_id is not null then f.last_name else t.last_name end as last_name,
+       case when f.external_id is not null then f.email else t.email end as email
+from fresh f full outer join target_candidate t on f.tenant_id = t.tenant_id and f.external_id = t.external_id""",
+)
 def delta_upsert(events, source, target):
     done = delta.outcomes(events, source).where("outcome = 'PROCESSED'")
     new = done.select("tenant_id", F.col("candidate_id").alias("external_id"), "first_name", "last_name", "email").distinct()
@@ -526,26 +729,60 @@ def delta_incomplete(events, source):
     return events.where(~ok).select("event_id", "delivery_no")
 
 
-@query(_EVENTS, _DELTA + "select event_id, count(*) filter (where reason is not null or outcome = 'PROCESSED') as attempts from outcomes where complete and same_identity group by event_id")
+@query(
+    _EVENTS,
+    _DELTA + """
+select event_id, count(*) filter (where reason is not null or outcome = 'PROCESSED') as attempts
+from outcomes where complete and same_identity
+group by event_id
+""",
+)
 def delta_attempts(events, source):
     return delta.attempts(delta.outcomes(events, source))
 
 
-@query(("change_event",), f"select event_id, delivery_no, case when event_id % 7 = 0 then false else n = 1 end as claimed, case when event_id % 7 = 0 then 2 when n = 1 then 1 end as attempts from (select *, row_number() over (partition by event_id order by delivery_no) as n from change_event)")
+@query(
+    ("change_event",),
+    f"""
+select event_id, delivery_no, case when event_id % 7 = 0 then false else n = 1 end as claimed,
+case when event_id % 7 = 0 then 2 when n = 1 then 1 end as attempts
+from (select *, row_number() over (partition by event_id order by delivery_no) as n
+from change_event)
+""",
+)
 def delta_claims(events):
     inbox = events.where("event_id % 7 = 0 and delivery_no = 1").select("event_id", "tenant_id", "candidate_id", F.lit("COMPLETED").alias("status"), "occurred_at", F.lit(2).alias("attempts")).withColumn("updated_at", F.col("occurred_at"))
     asked = events.withColumn("request_seq", F.col("delivery_no"))
     return state.claim_events(asked, inbox, *_as_of()).select("event_id", F.col("request_seq").alias("delivery_no"), "claimed", "attempts")
 
 
-@query(("change_event",), "select event_id, case when event_id % 2 = 0 then 'FAILED' else 'IN_PROGRESS' end as status, case when event_id % 2 = 0 then repeat('x', 1000) end as last_error, event_id % 2 = 0 as applied from change_event where delivery_no = 1")
+@query(
+    ("change_event",),
+    """
+select event_id, case when event_id % 2 = 0 then 'FAILED' else 'IN_PROGRESS' end as status,
+case when event_id % 2 = 0 then repeat('x', 1000) end as last_error, event_id % 2 = 0 as applied
+from change_event where delivery_no = 1
+""",
+)
 def delta_finish(events):
     own = events.where("delivery_no = 1")
     inbox = own.select("event_id", F.lit("IN_PROGRESS").alias("status"), F.when(F.col("event_id") % 2 == 0, "me").otherwise("other").alias("lease_owner"))
     return state.finish_events(own.select("event_id", F.lit("me").alias("owner"), F.lit("FAILED").alias("new_status"), F.repeat(F.lit("x"), 1200).alias("error")), inbox)
 
 
-@query(("change_event",), "select event_id, delivery_no, case when event_id % 17 = 0 then 'PERMANENT' when event_id % 5 = 0 and event_id % 2 = 0 then 'DUPLICATE' when event_id % 5 = 0 then 'IN_PROGRESS' when event_id % 7 = 0 then 'LEASE_LOST' when event_id % 3 = 0 then 'PERMANENT' when event_id % 11 = 0 then 'RETRYABLE' else 'PROCESSED' end as outcome from change_event")
+@query(
+    ("change_event",),
+    """
+select event_id, delivery_no,
+       case when event_id % 17 = 0 then 'PERMANENT'
+            when event_id % 5 = 0 and event_id % 2 = 0 then 'DUPLICATE'
+            when event_id % 5 = 0 then 'IN_PROGRESS'
+            when event_id % 7 = 0 then 'LEASE_LOST'
+            when event_id % 3 = 0 then 'PERMANENT'
+            when event_id % 11 = 0 then 'RETRYABLE' else 'PROCESSED' end as outcome
+from change_event
+""",
+)
 def delivery_outcomes(events):
     e = F.col("event_id")
     status = F.when(e % 2 == 0, "COMPLETED").otherwise("IN_PROGRESS")
@@ -553,7 +790,14 @@ def delivery_outcomes(events):
     return events.select("event_id", "delivery_no", delta.delivery_outcome(status, e % 17 != 0, e % 5 != 0, e % 7 == 0, error).alias("outcome"))
 
 
-@query(("change_event",), "select tenant_id || ':' || candidate_id as message_key, event_id, delivery_no, cast(row_number() over (partition by tenant_id || ':' || candidate_id order by occurred_at, event_id, delivery_no) as int) as seq from change_event where candidate_id is not null")
+@query(
+    ("change_event",),
+    """
+select tenant_id || ':' || candidate_id as message_key, event_id, delivery_no, cast(row_number() over (partition by tenant_id || ':' || candidate_id
+order by occurred_at, event_id, delivery_no) as int) as seq
+from change_event where candidate_id is not null
+""",
+)
 def partition_order(events):
     return delta.partition_order(events)
 
@@ -568,28 +812,64 @@ def classify_http_failures(calls):
     return calls.groupBy("http_status", resilience.failure_type(F.col("http_status")).alias("failure_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(("call_log",), f"select call_seq, {_TYPE} as failure_type, case when http_status is null then 'TRANSPORT_ERROR' else 'HTTP_RESPONSE' end as failure_kind, system_name || ' call failed (' || {_TYPE} || ', ' || case when http_status is null then 'TRANSPORT_ERROR' else 'HTTP ' || http_status end || ')' as message from call_log where http_status is null or http_status >= 400")
+@query(
+    ("call_log",),
+    f"""
+select call_seq, {_TYPE} as failure_type, case when http_status is null then 'TRANSPORT_ERROR' else 'HTTP_RESPONSE' end as failure_kind, system_name || ' call failed (' || {_TYPE} || ', ' ||
+case when http_status is null then 'TRANSPORT_ERROR' else 'HTTP ' || http_status end || ')' as message
+from call_log where http_status is null or http_status >= 400
+""",
+)
 def safe_error_messages(calls):
     return resilience.call_failures(calls)
 
 
-@query(("call_log",), "select call_seq, case when call_seq % 13 = 0 then 'CIRCUIT_OPEN' when call_seq % 11 = 0 then 'INVALID_RESPONSE' when http_status >= 400 then 'HTTP_RESPONSE' when call_seq % 3 = 0 then 'TIMEOUT' when http_status is null then 'TRANSPORT_ERROR' end as kind from call_log")
+@query(
+    ("call_log",),
+    """
+select call_seq, case when call_seq % 13 = 0 then 'CIRCUIT_OPEN' when call_seq % 11 = 0 then 'INVALID_RESPONSE' when http_status >= 400 then 'HTTP_RESPONSE' when call_seq % 3 = 0 then 'TIMEOUT' when http_status is null then 'TRANSPORT_ERROR' end as kind
+from call_log
+""",
+)
 def failure_kinds(calls):
     n = F.col("call_seq")
     return calls.select("call_seq", resilience.failure_kind(F.col("http_status"), n % 3 == 0, n % 11 == 0, n % 13 == 0).alias("kind"))
 
 
-@query(("call_log",), f"select call_seq, attempt, case when attempt = 1 then 0 else least(200 * cast(pow(2, attempt - 2) as bigint), 2000) end as wait_ms from call_log, (select 1 as attempt union all select 2 union all select 3) where attempt = 1 or {_TYPE} = 'TRANSIENT'")
+@query(
+    ("call_log",),
+    f"""
+select call_seq, attempt, case when attempt = 1 then 0 else least(200 * cast(pow(2, attempt - 2) as bigint), 2000) end as wait_ms
+from call_log, (select 1 as attempt
+union all select 2
+union all select 3) where attempt = 1 or {_TYPE} = 'TRANSIENT'
+""",
+)
 def retry_schedule(calls):
     return resilience.retry_schedule(calls)
 
 
-@query(("call_log",), f"select call_seq, system_name, n as calls, failed, case when n >= 5 then cast(floor(failed * 100 / n) as bigint) end as percent from (select call_seq, system_name, count(*) over w as n, cast(sum(case when {_TYPE} = 'TRANSIENT' then 1 else 0 end) over w as bigint) as failed from call_log window w as (partition by system_name order by call_seq rows between 9 preceding and current row))")
+@query(
+    ("call_log",),
+    f"""
+select call_seq, system_name, n as calls, failed, case when n >= 5 then cast(floor(failed * 100 / n) as bigint) end as percent
+from (select call_seq, system_name, count(*) over w as n, cast(sum(case when {_TYPE} = 'TRANSIENT' then 1 else 0 end) over w as bigint) as failed
+from call_log
+window w as (partition by system_name order by call_seq rows between 9 preceding and current row))
+""",
+)
 def breaker_window_rate(calls):
     return resilience.window_rate(calls)
 
 
-@query(("call_log",), "select call_seq, system_name, case when n <= 20 then 'UNAVAILABLE_AFTER_SAVE' else 'NONE' end as mode, n <= 20 as call_failed, true as saved from (select *, row_number() over (partition by system_name order by call_seq) as n from call_log)")
+@query(
+    ("call_log",),
+    """
+select call_seq, system_name, case when n <= 20 then 'UNAVAILABLE_AFTER_SAVE' else 'NONE' end as mode, n <= 20 as call_failed, true as saved
+from (select *, row_number() over (partition by system_name order by call_seq) as n
+from call_log)
+""",
+)
 def failure_injection(calls):
     return resilience.injected(calls, "UNAVAILABLE_AFTER_SAVE", 20)
 
