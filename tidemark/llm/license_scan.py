@@ -83,7 +83,9 @@ def find_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:
     pairs = near.join(F.broadcast(units), ["band", "value"]).select("doc_id", "license_id").distinct()
 
     whole = lists.where("i = 0").select("license_id", "t")
-    judged = texts.join(pairs, "doc_id").join(F.broadcast(whole), "license_id").select("doc_id", "license_id", F.size("t").cast("long").alias("total"), F.size(F.array_intersect("t", _shingles(F.col("text")))).cast("long").alias("matched"))
+    held = F.size(F.array_intersect("t", _shingles(F.col("text"))))
+    near = texts.join(pairs, "doc_id").join(F.broadcast(whole), "license_id")
+    judged = near.select("doc_id", "license_id", F.size("t").cast("long").alias("total"), held.cast("long").alias("matched"))
     found = judged.where(F.col("matched") >= F.col("total") * F.lit(SHARE)).groupBy("doc_id", "license_id", "total").agg(F.max("matched").alias("matched"))
     return found.select("doc_id", "license_id", "matched", "total", (F.col("matched") / F.col("total")).alias("containment"))
 

@@ -65,7 +65,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, m = np.unique(pair, return_counts=True)
         often = m >= max(4, LOCAL_SHARE * len(w))
         kind = np.repeat(np.arange(3, dtype=np.int32), [len(key), int(often.sum()), len(ids)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.r_[key.view(np.int64), pairs[often].view(np.int64), ids]), pa.array(np.r_[n, m[often], sizes])], names=["kind", "key", "n"])
+        keys = np.r_[key.view(np.int64), pairs[often].view(np.int64), ids]
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(keys), pa.array(np.r_[n, m[often], sizes])], names=["kind", "key", "n"])
 
 
 def _count_of(wanted: np.ndarray):
@@ -141,7 +142,9 @@ def _packed(kind: int, shard: np.ndarray, doc: np.ndarray, first: np.ndarray | N
     for a, b in zip(bounds[:-1], bounds[1:]):
         names, ordinal = np.unique(doc[a:b], return_inverse=True)
         kind_of = "<u2" if len(names) < 1 << 16 else "<u4"
-        out.append((int(shard[a]), kind, ids[names].tobytes(), ordinal.astype(kind_of).tobytes(), pack(first[a:b], KEY) if first is not None else b"", pack(second[a:b], KEY), n[a:b].astype("<u4").tobytes()))
+        of_first = pack(first[a:b], KEY) if first is not None else b""
+        docs, ords = ids[names].tobytes(), ordinal.astype(kind_of).tobytes()
+        out.append((int(shard[a]), kind, docs, ords, of_first, pack(second[a:b], KEY), n[a:b].astype("<u4").tobytes()))
     return out
 
 
@@ -248,10 +251,10 @@ def _back_off(shards: int, total: int):
                 to, names, sums = to[order], names[order], sums[order]
                 bounds = np.r_[runs(to), len(to)]
                 cut = list(zip(bounds[:-1], bounds[1:]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[bounds[:-1]].astype(np.int32)), pa.array([names[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([sums[a:b].astype("<f4").tobytes() for a, b in cut], pa.binary())],
-                    names=["home", "docs", "parts"],
-                )
+                home = pa.array(to[bounds[:-1]].astype(np.int32))
+                docs = pa.array([names[a:b].tobytes() for a, b in cut], pa.binary())
+                values = pa.array([sums[a:b].astype("<f4").tobytes() for a, b in cut], pa.binary())
+                yield pa.RecordBatch.from_arrays([home, docs, values], names=["home", "docs", "parts"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
@@ -326,4 +329,5 @@ def score(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     out = texts.select("doc_id").join(sizes, F.col("doc_id") == F.col("sized_id")).join(sums, F.col("doc_id") == F.col("scored_id"), "left")
     named = F.col("doc_id") != F.lit(-(2**63))
     total_score = F.when(named, F.round(F.coalesce("score", F.lit(0.0)), 3))
-    return out.select(F.when(named, F.col("doc_id")).alias("doc_id"), "n_words", total_score.alias("score"), F.when(F.col("n_words") > 0, F.round(total_score / F.col("n_words"), 6)).alias("mean_score"))
+    mean = F.when(F.col("n_words") > 0, F.round(total_score / F.col("n_words"), 6))
+    return out.select(F.when(named, F.col("doc_id")).alias("doc_id"), "n_words", total_score.alias("score"), mean.alias("mean_score"))

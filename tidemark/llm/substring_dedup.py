@@ -51,7 +51,8 @@ def _anchors(shards: int):
             shard = shard_of(code, shards)
             key = code & _LOW
             # Sorted by shard, document and hash, repeats within a document once.
-            order = np.argsort((shard.astype(np.uint64) << np.uint64(42)) | (doc.astype(np.uint64) << np.uint64(26)) | (key >> np.uint64(14)), kind="stable")
+            place = (shard.astype(np.uint64) << np.uint64(42)) | (doc.astype(np.uint64) << np.uint64(26)) | (key >> np.uint64(14))
+            order = np.argsort(place, kind="stable")
             rows = []
             for kind, chosen in ((1, order), (0, order[at[order] % BLOCK == 0])):
                 s, d, k = shard[chosen], doc[chosen], key[chosen]
@@ -63,7 +64,8 @@ def _anchors(shards: int):
                     row = (int(s[a]), ids[d[a:b][first]].tobytes(), np.diff(np.r_[first, b - a]).astype("<u4").tobytes(), pack(k[a:b], KEY))
                     rows += [(row[0], kind, *row[1:])] + ([(row[0], 2, *row[1:])] if kind == 0 else [])
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "kind", "docs", "lens", "keys"])
+                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "kind", "docs", "lens", "keys"])
 
     return run
 
@@ -141,7 +143,8 @@ def _windows(shards: int):
                 shard, full, at = shard[order], full[order], at[order]
                 bounds = np.r_[runs(shard), len(shard)]
                 rows = [(int(shard[a]), doc_id, full[a:b].tobytes(), at[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "win_id", "hashes", "positions"])
+                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "win_id", "hashes", "positions"])
 
     return run
 
@@ -162,7 +165,8 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lost.any():
             d, p = doc[lost], at[lost].astype("<u4")
             bounds = np.r_[runs(d), len(d)]
-            out = pa.RecordBatch.from_arrays([pa.array(d[bounds[:-1]]), pa.array([p[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["lost_id", "positions"])
+            lists = [p[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            out = pa.RecordBatch.from_arrays([pa.array(d[bounds[:-1]]), pa.array(lists, pa.binary())], names=["lost_id", "positions"])
         return out, np.union1d(seen, distinct[~known]) if not known.all() else seen
 
     shard, rows, load, seen = -1, [], 0, np.zeros(0, np.uint64)
