@@ -31,7 +31,7 @@ from tidemark.llm.wordarrays import MUL, mixed, pack, parts, runs, shard_of, unp
 ALPHA = 0.4
 KEY = 5
 _LOW = np.uint64((1 << 8 * KEY) - 1)
-SHARD_WORDS, SLICE = 4_000_000, 500_000
+SHARD_WORDS, SLICE = 4_000_000, 250_000
 #: Stands behind a last word, so that the bigrams of a word are as many as the word; never scored.
 END = np.uint64(0)
 #: A bigram is a candidate for a hot one if it makes up this share of a part somewhere.
@@ -148,11 +148,12 @@ def _packed(kind: int, shard: np.ndarray, doc: np.ndarray, first: np.ndarray | N
     return out
 
 
-def _entries(row: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, second words, own counts) of a packed row."""
+def _entries(row: tuple, chosen: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, second words, own counts) of the chosen entries of a packed row."""
     _, _, docs, ords, _, second, own = row
-    ids, n = np.frombuffer(docs, np.int64), np.frombuffer(own, "<u4")
-    return ids[np.frombuffer(ords, "<u2" if len(ids) < 1 << 16 else "<u4")], unpack(second, KEY), n
+    ids = np.frombuffer(docs, np.int64)
+    ordinal = np.frombuffer(ords, "<u2" if len(ids) < 1 << 16 else "<u4")
+    return ids[ordinal[chosen]], unpack(second, KEY, chosen), np.frombuffer(own, "<u4")[chosen]
 
 
 def _sums(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,15 +163,14 @@ def _sums(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _score_pairs(shards: int, total: int, words: Hot, pairs: Hot):
     def solve(shard: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Scores a shard in slices of first words, so that sorted copies of a slice only are in memory at once."""
-        doc, second, own = (np.concatenate(x) for x in zip(*map(_entries, rows)))
-        first = np.concatenate([unpack(r[4], KEY) for r in rows])
-        rows.clear()
-        slices = np.uint64(-(-len(first) // SLICE))
-        part = (mixed(first) >> np.uint64(8)) % slices
-        for k in range(int(slices)):
-            own_part = np.flatnonzero(part == k)
-            if len(own_part) and (out := solve_slice(shard, doc[own_part], first[own_part], second[own_part], own[own_part])):
+        """Scores a shard in slices of first words; only a slice is unpacked at once."""
+        slices = -(-sum(len(r[4]) for r in rows) // KEY // SLICE)
+        part = [((mixed(unpack(r[4], KEY)) >> np.uint64(8)) % np.uint64(slices)).astype(np.uint16) for r in rows]
+        for k in range(slices):
+            chosen = [np.flatnonzero(p == k) for p in part]
+            doc, second, own = (np.concatenate(x) for x in zip(*(_entries(r, c) for r, c in zip(rows, chosen))))
+            first = np.concatenate([unpack(r[4], KEY, c) for r, c in zip(rows, chosen)])
+            if len(first) and (out := solve_slice(shard, doc, first, second, own)):
                 yield _batch(out)
 
     def solve_slice(shard: int, doc: np.ndarray, first: np.ndarray, second: np.ndarray, own: np.ndarray) -> list[tuple]:
@@ -241,7 +241,7 @@ def _unigrams(shards: int):
 def _back_off(shards: int, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shard, unigram counts first, to parts of scores, packed by the shard of their documents."""
-        shard, table, key, n, held, load = -1, [], None, None, [], 0
+        shard, table, key, n, held, load, limit = -1, [], None, None, [], 0, SLICE
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -260,7 +260,7 @@ def _back_off(shards: int, total: int):
             for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if row[0] != shard:
                     yield from flush()
-                    shard, table, key, held, load = row[0], [], None, [], 0
+                    shard, table, key, held, load, limit = row[0], [], None, [], 0, SLICE
                 if row[1] == 4:
                     table.append((unpack(row[5], KEY), np.frombuffer(row[6], "<u8").astype(np.int64)))
                     continue
@@ -275,9 +275,10 @@ def _back_off(shards: int, total: int):
                     value = own * np.log10((ALPHA if row[1] == 1 else 1.0) * n[np.searchsorted(key, second)] / total)
                 held.append((doc, value))
                 load += len(doc)
-                if load > SHARD_WORDS:
+                if load > limit:
                     held = [_sums(*(np.concatenate(x) for x in zip(*held)))]
                     load = len(held[0][0])
+                    limit = max(SLICE, 2 * load)
         yield from flush()
 
     return run
@@ -285,7 +286,7 @@ def _back_off(shards: int, total: int):
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of scores, sorted by the shard of their documents, to (scored_id, score)."""
-    home, held, load = -1, [], 0
+    home, held, load, limit = -1, [], 0, SLICE
 
     def flush() -> pa.RecordBatch:
         names, sums = _sums(*(np.concatenate(x) for x in zip(*held)))
@@ -295,13 +296,14 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, docs, values in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if to != home and held:
                 yield flush()
-                held, load = [], 0
+                held, load, limit = [], 0, SLICE
             home = to
             held.append((np.frombuffer(docs, np.int64), np.frombuffer(values, "<f4").astype(np.float64)))
             load += len(held[-1][0])
-            if load > SHARD_WORDS:
+            if load > limit:
                 held = [_sums(*(np.concatenate(x) for x in zip(*held)))]
                 load = len(held[0][0])
+                limit = max(SLICE, 2 * load)
     if held:
         yield flush()
 

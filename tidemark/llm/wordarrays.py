@@ -73,8 +73,10 @@ def pack(values: np.ndarray, width: int) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unpack(raw: bytes, width: int) -> np.ndarray:
+def unpack(raw: bytes, width: int, chosen: np.ndarray | None = None) -> np.ndarray:
+    """The numbers of pack(), or those at chosen places."""
     low = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    low = low if chosen is None else low[chosen]
     out = np.zeros((len(low), 8), np.uint8)
     out[:, :width] = low
     return out.reshape(-1).view("<u8")
