@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.compare import assert_same
 from tests.conftest import SMALL
-from tidemark.llm import catalog, decontaminate, exact_dedup, langid, license_scan, line_dedup, lm_score, packing, quality, simhash_dedup, substring_dedup
+from tidemark.llm import catalog, decontaminate, exact_dedup, langid, license_scan, line_dedup, lm_score, near_copies, packing, quality, simhash_dedup, substring_dedup
 from tidemark.llm.common import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, key string, label int"
@@ -190,6 +190,40 @@ def test_tree_follows_only_edges_within_the_radius():
     assert found == {(a, b) for a, b in combinations(range(len(prints)), 2) if int(prints[a] ^ prints[b]).bit_count() <= 2}
 
 
+def brute_copies(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    out = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and out[a] != out[b]:
+            x, y = sorted((out[a], out[b]))
+            out = {i: x if c == y else c for i, c in out.items()}
+    return out
+
+
+def test_pipeline_drops_near_copies_of_four_fifths(spark, small, small_rows, odd):
+    import corpus_pipeline
+
+    rng, rows = random.Random(7), []
+    passage = [f"common{i}" for i in range(30)]
+    for family in range(15):
+        base = [f"f{family}w{rng.randrange(500)}" for _ in range(200)] + passage
+        for changes in (0, 2, 4, 5, 6, 9, 12):
+            own = list(base)
+            for at in range(changes):
+                own[at * 15 + 7] = f"new{family}x{changes}x{at}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000 + i, f"{passage[0]} {' '.join(passage)} own{i}") for i in range(50)]  # one large family
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_copies(rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()} == {i for i, c in want.items() if i == c}
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(small).collect()} == brute_copies(small_rows)
+    rows = unique_ids(odd)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(rows).collect()} == brute_copies([(r.doc_id, r.text) for r in rows.collect()])
+
+
 # Classifiers
 
 

@@ -211,18 +211,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def component_ids(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id) of every (fp, first_id); the least first_id of a component names it."""
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return materialize(named.join(lowest, "root").select("fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, limit: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row."""
     prints = materialize(fingerprints(docs))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct.select("fp"), limit))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(named.join(lowest, "root").select("fp", "component_id"))
+    classes = component_ids(distinct, components(links(distinct.select("fp"), limit)))
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one whose doc_id names it (and rows without a doc_id)."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
