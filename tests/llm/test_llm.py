@@ -260,6 +260,15 @@ def test_quality_accuracy(spark, odd, nothing):
     assert quality.quality_report(spark, nothing, some).count() == 0
 
 
+def test_a_repeated_label_trains_once(spark):
+    rows = [(i, f"good words number {i}" if i % 2 else f"bad junk {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    more = once.unionByName(spark.createDataFrame([(i, f"zz later {k}") for i in (2, 3) for k in range(50)], "doc_id long, text string"))
+    (a, x), (b, y) = quality.fit(once, labels), quality.fit(more, labels)
+    assert np.array_equal(a, b) and x == y
+
+
 def test_stretches_change_no_feature():
     text = " ".join(f"w{i % 50}é" for i in range(400))
     whole = Counter(np.concatenate(list(quality.features(text))).tolist())

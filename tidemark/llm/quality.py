@@ -126,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> t
     marked = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))  # repeated ids count once
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(d, t, y) for b in batches for d, t, y in zip(*(b.column(i).to_pylist() for i in range(3)))]
