@@ -2,15 +2,18 @@
 
 Fingerprints are made per document in Arrow batches. Only distinct fingerprints are searched. Two fingerprints of 64
 bits that differ in at most four bits agree in one of five blocks of bits, so each fingerprint goes to five buckets, one
-for each block and value; a bucket of over BUCKET fingerprints is split again by the blocks of its other bits, as the
-same argument holds for these. Each bucket is the shard of one BK-tree: children are keyed by the Hamming distance to
-their parent, and a search follows only the edges within the radius. Trees are shipped to the tasks by a shuffle, not by
-a broadcast, since they grow with the data. A task passes on a spanning forest of the links of its buckets, never all
-pairs, and large-star / small-star rounds join the forests to components.
+for each block and value; a bucket of over BUCKET fingerprints is split again by five blocks of the bits in which its
+members differ, as the same argument holds for these, and so on until no bucket is larger (members that differ in four
+bits are 16 at most).
+Each bucket is the shard of one BK-tree: children are keyed by the Hamming distance to their parent, and a search follows
+only the edges within the radius; it ends once all members of a bucket are connected. Trees are shipped to the tasks by a
+shuffle, not by a broadcast, since they grow with the data. A task passes on a spanning forest of the links of its
+buckets, never all pairs, and large-star / small-star rounds join the forests to components.
 
 Defined results: null, empty and white-space-only texts have fingerprint zero and are linked like any other; repeated
-rows share a component; a null doc_id takes part but names no component unless it is alone (null then); an empty table
-gives an empty result; further columns are left alone.
+rows share a component; a null doc_id takes part but names no component unless it is alone (null then); a text of any
+length is one value of one row, its shingles are hashed at once; an empty table gives an empty result; further columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -19,14 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, partitions
+from tidemark.llm.wordarrays import MUL, mixed
 
 SHINGLE, SEED, RADIUS, BUCKET = 4, 42, 4, 4096
-#: (shift, width) of the blocks of a fingerprint; any RADIUS flipped bits leave one of them whole.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows of whole buckets that are searched together, and node visits expected of a block of queries.
 CHUNK_ROWS, CHUNK_VISITS = 100_000, 4_000_000
 
@@ -90,14 +92,18 @@ class Forest:
         self.child = (np.concatenate(child) if child else np.zeros(0, np.int64))[order]
         self.begin = np.searchsorted(parents[order], np.arange(n + 1))
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of positions, smaller first, within the radius in their bucket; queries go in blocks of bounded work."""
+    def links(self, radius: int, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of positions, smaller first, within the radius in their bucket; queries go in blocks of bounded work.
+
+        done holds a flag for each position and is read anew for each block: such positions aren't queried.
+        """
         load = np.cumsum(np.repeat(self.sizes, self.sizes))
         cuts = np.searchsorted(load, np.arange(CHUNK_VISITS, (load[-1] if len(load) else 0) + CHUNK_VISITS, CHUNK_VISITS), side="left")
         start = 0
         for cut in cuts:
             stop = min(int(cut) + 1, len(self.prints))
-            query, node = np.arange(start, stop), self.root[start:stop]
+            query = start + np.flatnonzero(~done[start:stop])
+            node = self.root[query]
             start = stop
             while len(query):
                 distance = np.bitwise_count(self.prints[query] ^ self.prints[node]).astype(np.int64)
@@ -112,10 +118,11 @@ class Forest:
                 query, node = query[follow], self.child[way[follow]]
 
 
-def _labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _labels(forest: Forest, radius: int) -> np.ndarray:
     """The smallest member of each position's component; each block of pairs is merged and let go."""
-    label = np.arange(n)
-    for a, b in pairs:
+    label, done = np.arange(len(forest.prints)), np.zeros(len(forest.prints), bool)
+    first = np.cumsum(forest.sizes) - forest.sizes
+    for a, b in forest.links(radius, done):
         while True:
             a, b = label[a], label[b]
             apart = a != b
@@ -125,14 +132,17 @@ def _labels(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
             np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
             while not np.array_equal(label, hop := label[label]):
                 label = hop
+        done[:] = np.repeat(np.logical_and.reduceat(label == forest.root, first), forest.sizes)
     return label
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, fp), sorted by both, to the spanning forests of the buckets' links."""
+    """(bucket, fp), sorted by both, repeats dropped, to the spanning forests of the buckets' links."""
 
     def solve(bucket: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        label = _labels(len(prints), Forest(bucket, prints.view(np.uint64)).links(RADIUS))
+        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (prints[1:] != prints[:-1])]
+        bucket, prints = bucket[new], prints[new]
+        label = _labels(Forest(bucket, prints.view(np.uint64)), RADIUS)
         tied = label != np.arange(len(label))
         return pa.RecordBatch.from_arrays([pa.array(prints[tied]), pa.array(prints[label[tied]])], names=["a", "b"])
 
@@ -151,41 +161,35 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(*(np.concatenate(x) for x in zip(*held)))
 
 
-def _block_keys() -> list[Column]:
-    """(block << 13) | value of fp for each block."""
-    return [F.lit(k << 13) + F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for k, (s, w) in enumerate(BLOCKS)]
-
-
-def _refined(k: int) -> list[tuple[int, int]]:
-    """The bits outside block k, dealt into five groups."""
-    shift, width = BLOCKS[k]
-    free = [b for b in range(64) if not shift <= b < shift + width]
-    return [free[i * len(free) // 5 : (i + 1) * len(free) // 5] for i in range(5)]
-
-
-def _refined_key(k: int, j: int) -> Column:
-    """The value of the j-th group of bits outside block k, as a column."""
-    bits = _refined(k)[j]
-    runs, value, at = [], F.lit(0).cast("long"), 0
-    for b in bits:
-        if runs and b == runs[-1][0] + runs[-1][1]:
-            runs[-1][1] += 1
-        else:
-            runs.append([b, 1])
-    for s, w in runs:
-        value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)), at))
-        at += w
-    return value
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each (fp, mask) to five (bucket, fp): the bits outside mask are dealt into five blocks, each joined to mask in one row."""
+    for batch in batches:
+        prints, masks = (batch.column(k).to_numpy().view(np.uint64) for k in range(2))
+        rows = []
+        for mask in np.unique(masks):
+            own = prints[masks == mask]
+            free = [b for b in range(64) if not int(mask) >> b & 1]
+            for block in np.array_split(free, RADIUS + 1):
+                known = mask | np.uint64(sum(1 << int(b) for b in block))
+                rows.append((mixed(mixed(own & known) * MUL + known), own))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*rows)], names=["bucket", "fp"])
 
 
 def buckets(prints: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """(bucket, fp): every two fingerprints within RADIUS meet in a bucket."""
-    coarse = prints.select("fp", F.explode(F.array(*_block_keys())).alias("bucket"))
-    crowded = coarse.groupBy("bucket").count().where(F.col("count") > limit).select("bucket")  # at most 5 * 2**13 rows
-    rest = coarse.join(F.broadcast(crowded), "bucket", "left_anti").select("bucket", "fp")
-    hot = coarse.join(F.broadcast(crowded), "bucket").withColumn("k", F.shiftright("bucket", 13).cast("int"))
-    inner = F.array(*[F.xxhash64(F.col("bucket"), F.lit(j), F.coalesce(*[F.when(F.col("k") == k, _refined_key(k, j)) for k in range(5)])) for j in range(5)])
-    return rest.unionByName(hot.select(F.explode(inner).alias("bucket"), "fp"))
+    """(bucket, fp), some of them twice: every two fingerprints within RADIUS meet in a bucket. mask holds the bits in which those to be split agree."""
+    level, out = prints.select("fp", F.lit(0).cast("long").alias("mask")), None
+    while True:
+        dealt = level.mapInArrow(_split, "bucket long, fp long")
+        dealt = materialize(dealt if out is None else dealt.distinct())  # two buckets may have the same part
+        differ = F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))
+        sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), differ.alias("differ"))
+        crowded = materialize(sizes.where((F.col("rows") > limit) & (F.bit_count("differ") > RADIUS)).select("bucket", F.bitwise_not("differ").alias("mask")))
+        rest = dealt.join(crowded, "bucket", "left_anti")
+        out = rest if out is None else out.unionByName(rest)
+        if crowded.isEmpty():
+            return out
+        level = dealt.join(crowded, "bucket").select("fp", "mask")
 
 
 def links(prints: DataFrame, limit: int = BUCKET) -> DataFrame:
