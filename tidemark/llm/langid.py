@@ -1,15 +1,16 @@
 """Language identification with n-gram filters over bit masks of languages.
 
-Each language has a Bloom filter of the character n-grams that are common in it. The filters are sliced by bit: one
-table holds, for each position, a mask with one bit per language, so that the masks of a few positions, and-ed, give all
-languages that contain an n-gram. A text is decided by the number of its n-grams in each language (popcounts per bit),
+Each language has a Bloom filter of the character n-grams that are common in it. The filters are sliced by bit: a
+table holds, for each position, a mask with one bit per language (several words of 64 bits if there are more languages),
+so that the masks of a few positions, and-ed, give all languages that contain an n-gram. A text is decided by the number of its n-grams in each language (popcounts per bit),
 corrected for the share of false positives that the filling of that language's filter implies.
 
 Texts are lower-cased, everything but letters becomes a single space. Learned are texts with a non-null lang whose
 crc32(doc_id as text) mod 5 is not 0, about MAX_TRAIN_ROWS for each language, chosen by a hash of doc_id. Defined
 results: a null text or one without letters is und with score 0, as is every text if nothing could be learned; equal
-counts go to the first language in alphabetical order; an empty table gives an empty result; further columns are left
-alone.
+counts go to the first language in alphabetical order; a table of any number of languages is learned, each 64 taking
+another 8 MB of masks; a text of any length is hashed in stretches; repeated rows and null ids are predicted like any
+other (a null doc_id isn't learned from); an empty table gives an empty result; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZES = (2, 3, 4)
-#: Bounds: rows to learn from for each language, languages, and the least share of its n-grams that an n-gram must have
-#: to enter a language's filter (so that a filter holds at most 1 / MIN_RATE of them).
-MAX_TRAIN_ROWS, MAX_LANGUAGES, MIN_RATE = 2000, 64, 2e-5
+#: Bounds: rows to learn from for each language, and the least share of its n-grams that an n-gram must have to enter a
+#: language's filter (so that a filter holds at most 1 / MIN_RATE of them).
+MAX_TRAIN_ROWS, MIN_RATE = 2000, 2e-5
 #: An n-gram enters the filters of the languages in which it is at least this share as frequent as where it is most so.
 NEAR_BEST = 0.5
 BITS, PROBES = 20, 3
 STRETCH = 1 << 18
+#: N-grams that a task holds before it merges equal ones.
+MERGE = 1 << 22
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -64,34 +67,48 @@ def positions(gram: np.ndarray, probe: int) -> np.ndarray:
 
 
 class Filters:
-    """The sliced filters; built from arrays of n-gram hashes, one for each language."""
+    """The sliced filters; built from arrays of n-gram hashes, one for each language. A slice holds up to 64 languages."""
 
     def __init__(self, languages: list[str], members: list[np.ndarray]):
         self.languages = languages
-        self.kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-        self.masks = np.zeros(1 << BITS, self.kind)
+        self.slices = [self._slice(members[i : i + 64]) for i in range(0, len(members), 64)]
+        filled = [float(((m >> m.dtype.type(b)) & m.dtype.type(1)).mean()) for m, n in zip(self.slices, self._sizes()) for b in range(n)]
+        self.false = np.array(filled) ** PROBES
+
+    @staticmethod
+    def _slice(members: list[np.ndarray]) -> np.ndarray:
+        kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(members) <= n)
+        masks = np.zeros(1 << BITS, kind)
         for bit, own in enumerate(members):
             for p in range(PROBES):
-                np.bitwise_or.at(self.masks, positions(own, p), self.kind(1 << bit))
-        filled = np.array([float(((self.masks >> self.kind(b)) & self.kind(1)).mean()) for b in range(len(languages))])
-        self.false = filled**PROBES
-
-    def languages_of(self, gram: np.ndarray) -> np.ndarray:
-        mask = self.masks[positions(gram, 0)]
-        for p in range(1, PROBES):
-            mask = mask & self.masks[positions(gram, p)]
-        return mask
+                np.bitwise_or.at(masks, positions(own, p), kind(1 << bit))
+        return masks
+
+    def _sizes(self) -> list[int]:
+        return [min(64, len(self.languages) - i) for i in range(0, len(self.languages), 64)]
+
+    def languages_of(self, gram: np.ndarray) -> list[np.ndarray]:
+        """For each slice the masks of the languages that contain each n-gram."""
+        at = [positions(gram, p) for p in range(PROBES)]
+        return [np.bitwise_and.reduce([masks[a] for a in at]) for masks in self.slices]
+
+    def counts(self, gram: np.ndarray) -> np.ndarray:
+        """For each language the number of n-grams whose mask has its bit."""
+        out = []
+        for mask, n in zip(self.languages_of(gram), self._sizes()):
+            if mask.dtype == np.uint8:
+                seen = np.bincount(mask, minlength=256)
+                out += [seen[(np.arange(256) >> b) & 1 == 1].sum() for b in range(n)]
+            else:
+                out += [np.count_nonzero(mask & mask.dtype.type(1 << b)) for b in range(n)]
+        return np.array(out)
 
     def decide(self, text: str | None) -> tuple[str, float]:
         counts, n = np.zeros(len(self.languages)), 0
         for gram in grams(text):
-            mask = self.languages_of(gram)
-            n += len(mask)
-            if self.kind == np.uint8:
-                seen = np.bincount(mask, minlength=256)
-                counts += [seen[(np.arange(256) >> b) & 1 == 1].sum() for b in range(len(self.languages))]
-            else:
-                counts += [np.count_nonzero(mask & self.kind(1 << b)) for b in range(len(self.languages))]
+            n += len(gram)
+            if self.languages:
+                counts += self.counts(gram)
         if not n or not self.languages:
             return "und", 0.0
         share = np.clip((counts - n * self.false) / (1 - np.minimum(self.false, 0.999)) / n, 0, 1)
@@ -99,32 +116,39 @@ class Filters:
         return self.languages[best], float(share[best] / max(share.sum(), 1e-12)) if share[best] else 0.0
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams with the sums of their counts."""
+    gram, inverse = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return gram, np.bincount(inverse, np.concatenate([n for _, n in parts]), minlength=len(gram)).astype(np.int64)
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Filters:
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_rows"))
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())  # one row a language
+    if not names:
         return Filters([], [])
     drawn = (F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)).cast("double")
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_rows / n))).otherwise(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        load = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(lang, []).extend(grams(text))
+                for gram in grams(text):
+                    held.setdefault(lang, []).append((gram, np.ones(len(gram), np.int64)))
+                    load += len(gram)
+                if load > MERGE:
+                    held, load = {x: [_merged(parts)] for x, parts in held.items()}, 0
         for lang, parts in held.items():
-            gram, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            gram, n = _merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    sample = usable.where(drawn < share).select("lang", "text")
+    sample = usable.join(F.broadcast(sizes), "lang").where(drawn * F.col("_rows") < max_rows).select("lang", "text")
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counted.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * MIN_RATE).select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).toArrow()
@@ -133,7 +157,6 @@ def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Filters:
     most = np.zeros(inverse.max() + 1 if len(inverse) else 0)
     np.maximum.at(most, inverse, rate)
     common = rate >= NEAR_BEST * most[inverse]
-    names = sorted(sizes)
     return Filters(names, [gram[common & (lang == x)] for x in names])
 
 
