@@ -101,6 +101,32 @@ def test_exact_dedup_takes_in_new_files_only(spark, tmp_path):
     assert first == {5: 5, 6: 6} and then == {5: (7, 3), 2: (7, 3), 7: (7, 3), 6: (6, 1)}
 
 
+def test_exact_dedup_reads_no_sibling(spark, tmp_path):
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    make((1, "a b"), (2, "ab")).write.parquet(f"{tmp_path}/documents.parquet")
+    make((0, "ab"), (9, "z")).write.parquet(f"{tmp_path}/documents.parquet.old")
+    got = {r.doc_id: r.keep_id for r in exact_dedup.dedup_path(spark, f"{tmp_path}/documents.parquet").collect()}
+    assert got == {1: 1, 2: 1}
+    single = next((tmp_path / "documents.parquet").glob("*.parquet"))
+    single.rename(tmp_path / "one.parquet")
+    (tmp_path / "one.parquet2").write_bytes(b"no parquet")
+    assert {r.doc_id: r.keep_id for r in exact_dedup.dedup_path(spark, f"{tmp_path}/one.parquet").collect()} == {1: 1, 2: 1}
+
+
+def test_exact_dedup_keeps_one_row_of_rows_without_or_with_the_same_id(spark, tmp_path):
+    rows = [(None, f"text {i % 150}") for i in range(300)] + [(4, "same"), (4, "sa me"), (4, "same")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d.parquet")
+    got = exact_dedup.dedup_path(spark, f"{tmp_path}/d.parquet").collect()
+    assert len(got) == 303 and sum(r.kept for r in got if r.doc_id is None) == 150 and sum(r.kept for r in got if r.doc_id == 4) == 1
+
+
+def test_exact_dedup_compares_the_texts_of_a_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, _: F.lit("00"))  # any two texts of a length share a digest
+    spark.createDataFrame([(1, "abc"), (2, "abd")], "doc_id long, text string").write.parquet(f"{tmp_path}/d.parquet")
+    with pytest.raises(Exception, match="two texts share a SHA-256 digest"):
+        exact_dedup.dedup_path(spark, f"{tmp_path}/d.parquet")
+
+
 def line_rule(rows):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     key = lambda line: line.strip(WS).translate(lower)
@@ -122,10 +148,21 @@ def test_line_dedup_odd_cases(odd, nothing):
     assert got == line_rule([(r.doc_id, r.text) for r in rows.collect()])
     assert sum(v[1] for v in got.values()) > 0
     out = line_dedup.dedup_lines(odd)
-    assert out.columns == [*odd.columns, "n_lines", "n_dropped"] and out.count() == odd.count()
+    assert out.columns == odd.columns and out.count() == odd.count()
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    line = "A line that four documents share"
+    rows = [(5, f"{line}\nkeep me", 77), (5, "A first line of its own\nsecond unique", 78), (5, "x", 79), (5, None, 80), (6, f"q\n{line}", 81), (7, line, 82), (None, line, 83)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == docs.columns
+    assert {r.n_lines: r.text for r in out.collect()} == {77: "keep me", 78: rows[1][1], 79: "x", 80: "", 81: "q", 82: line, 83: line}
+    twice = docs.unionByName(docs)
+    assert sorted(r.text for r in line_dedup.dedup_lines(twice).collect()) == sorted(2 * [r.text for r in out.collect()])
+
+
 # Near duplicates
 
 
@@ -177,7 +214,7 @@ def test_crowded_buckets_lose_no_link(spark):
     df = spark.createDataFrame([(p,) for p in prints], "fp long")
     want = brute_components({p: p & (2**64 - 1) for p in prints})
     size = Counter(want.values())
-    for limit in (4096, 2):
+    for limit in (4096, 8):
         got = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df, limit)).collect()}
         assert got == {p: c for p, c in want.items() if size[c] > 1 and p != c}
 
@@ -186,10 +223,36 @@ def test_tree_follows_only_edges_within_the_radius():
     rng = np.random.default_rng(2)
     prints = np.unique(rng.integers(0, 1 << 12, 400, dtype=np.uint64))
     forest = simhash_dedup.Forest(np.zeros(len(prints), np.int64), prints)
-    found = {(int(a), int(b)) for x, y in forest.links(2) for a, b in zip(x, y)}
+    found = {(int(a), int(b)) for x, y in forest.links(2, np.zeros(len(prints), bool)) for a, b in zip(x, y)}
     assert found == {(a, b) for a, b in combinations(range(len(prints)), 2) if int(prints[a] ^ prints[b]).bit_count() <= 2}
 
 
+def test_dense_cluster_is_split_until_buckets_are_small(spark):
+    rng = random.Random(3)
+    prints = {0xABCDEF0123456789 ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 12))) for _ in range(600)} | {rng.getrandbits(64) for _ in range(50)}
+    signed = {p - (1 << 64) if p >> 63 else p for p in prints}
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    assert simhash_dedup.buckets(df, 40).distinct().groupBy("bucket").count().agg(F.max("count")).first()[0] <= 40
+    want = brute_components({p: p & (2**64 - 1) for p in signed})
+    size = Counter(want.values())
+    got = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df, 40)).collect()}
+    assert got == {p: c for p, c in want.items() if size[c] > 1 and p != c}
+
+
+def test_search_ends_once_a_bucket_is_connected():
+    prints = np.unique(np.array([1 << a | 1 << b for a in range(40) for b in range(a)], np.uint64))
+    forest = simhash_dedup.Forest(np.zeros(len(prints), np.int64), prints)
+    old, simhash_dedup.CHUNK_VISITS = simhash_dedup.CHUNK_VISITS, 5000
+    try:
+        assert not simhash_dedup._labels(forest, 4).any()
+        done = np.zeros(len(prints), bool)
+        first = next(forest.links(4, done))
+        done[:] = True
+        assert len(first[0]) and not [x for x in forest.links(4, done)]
+    finally:
+        simhash_dedup.CHUNK_VISITS = old
+
+
 def brute_copies(rows):
     sets = {}
     for i, t in rows:
@@ -241,10 +304,37 @@ def test_filters_return_all_languages_of_an_ngram():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 3000, dtype=np.uint64), rng.integers(0, 2**63, 3000, dtype=np.uint64)
     f = langid.Filters(["x", "y"], [a, np.r_[b, a[:100]]])
-    assert (f.languages_of(a) & 1).all() and (f.languages_of(b) & 2).all() and (f.languages_of(a[:100]) == 3).all()
+    of = lambda g: f.languages_of(g)[0]
+    assert (of(a) & 1).all() and (of(b) & 2).all() and (of(a[:100]) == 3).all()
     other = rng.integers(0, 2**63, 20000, dtype=np.uint64)
-    assert (f.languages_of(other) & 1).mean() < 0.01
-
+    assert (of(other) & 1).mean() < 0.01
+
+
+@pytest.mark.parametrize("languages", [3, 13, 70, 130])
+def test_decision_equals_brute_force(languages):
+    """Membership from sets of the n-grams' positions in place of masks, counts one by one."""
+    rng = random.Random(languages)
+    texts = {f"l{k:03}": " ".join("".join(chr(97 + (7 * k + rng.randrange(9)) % 26) for _ in range(5)) for _ in range(60)) for k in range(languages)}
+    members = [np.unique(np.concatenate(list(langid.grams(t)))) for t in texts.values()]
+    f = langid.Filters(list(texts), members)
+    held = [[set(langid.positions(m, p).tolist()) for p in range(langid.PROBES)] for m in members]
+    for text in [*list(texts.values())[:: max(1, languages // 8)], "abc xyz", "q"]:
+        own = np.concatenate(list(langid.grams(text)))
+        at = list(zip(*(langid.positions(own, p).tolist() for p in range(langid.PROBES))))
+        share = []
+        for sets in held:
+            n = sum(all(x in s for x, s in zip(places, sets)) for places in at)
+            false = (len(set().union(*sets)) / (1 << langid.BITS)) ** langid.PROBES
+            share.append(min(1, max(0, (n - len(at) * false) / (1 - false) / len(at))))
+        best = max(range(languages), key=lambda k: (share[k], -k))
+        assert f.decide(text) == (f"l{best:03}", pytest.approx(share[best] / sum(share) if share[best] else 0.0))
+
+
+def test_more_than_64_languages_are_learned(spark):
+    rows = [(i, f"{chr(97 + i % 70 // 3)}{chr(97 + i % 70 % 3)}{'xyz'[i % 70 % 3]} " * 9, f"l{i % 70:02}", None, 0, 0, "", 0) for i in range(700)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = langid.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len({r.lang for r in got}) > 60 and all(r.lang == r.lang_pred for r in got)
 
 def test_quality_accuracy(spark, odd, nothing):
     d = "/root/testdata/sf0.01"
@@ -483,7 +573,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         for k in {key(x) for x in t.split("\n")}:
             holders.setdefault(k, set()).add(i)
     rows = [(i, "\n".join(x for x in t.split("\n") if not (len(key(x)) >= 20 and len(holders[key(x)]) >= 3 and max(holders[key(x)]) != i))) for i, t in rows]
-    parts = brute_components({i: plain_fingerprint(t) for i, t in rows})
+    parts = brute_copies(rows)
     rows = [(i, t) for i, t in rows if parts[i] == i]
     left = spark.createDataFrame(rows, "doc_id long, text string")
     leaks = {r.doc_id for r in decontaminate.contaminated(left, table(spark, d, "benchmark")).collect()}
