@@ -3,12 +3,19 @@
 Fixed masks pick some of the words behind a position and ignore the others; the hash of the picked words is joined
 between documents and benchmark items. Around each hit the words of both sides are compared along its diagonal. A
 document is contaminated by an item when WINDOW consecutive words of the item (the whole item, if it is shorter) meet
-as many words of the document with at least a share of 0.8 equal. MASKS hit every such overlap: tests check all
-placements of the substitutions.
+as many words of the document with at least a share of 0.8 equal. The masks hit every such overlap: tests check all
+placements of the substitutions. Items of WINDOW words and more have heavier masks than shorter ones, so that common
+phrases of a few words make no candidates.
+
+A hit needs only the words around it, so a candidate is a document, an item, a diagonal and a stretch of STRETCH
+positions. Its words come from the document's block of BLOCK words, by a join: no list of candidates is ever gathered,
+and a document or block with many of them is split like any skewed key. Equality along the diagonal is one 64-bit
+number, and the best window the largest count of ones in it.
 
 Words are runs of letters and digits, lower-cased. Defined results: null and empty texts match nothing; items of
-fewer than MIN_WORDS words are no evidence and match nothing; repeated rows give the result of one; empty tables give
-an empty result; further columns are left alone.
+fewer than MIN_WORDS words are no evidence and match nothing; every row is judged by its own text, also where rows share
+a doc_id or have none (contaminated() gives what any row of an id holds, null for those without); a very long text is
+cut into blocks; repeated rows give the result of one; empty tables give an empty result; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -16,72 +23,93 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, word_hashes
+from tidemark.llm.common import let, materialize, word_hashes
 
-#: Offsets of the words that a seed looks at.
-MASKS = ((0, 2, 3, 4), (0, 2, 5, 6))
+#: Offsets of the words that a seed looks at, for items of at least WINDOW words and for shorter ones.
+LONG_MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 8, 9, 10), (0, 1, 3, 5, 6, 10))
+SHORT_MASKS = ((0, 2, 3, 4), (0, 2, 5, 6))
 WINDOW, MIN_WORDS, SHARE = 15, 8, 0.8
+#: Positions of a candidate, and words of a block. What a candidate looks at (its positions, the longest mask and the rest
+#: of a window on both sides) has at most 64 words.
+STRETCH, BLOCK = 16, 1024
+REACH = WINDOW - 1
+LOOK = REACH + STRETCH + 10 + REACH
 #: A benchmark of up to so many characters is broadcast; a larger one is joined by shuffles.
 BROADCAST_CHARS = 8_000_000
 
 
-def _seeds(texts: DataFrame, key: str) -> DataFrame:
-    """A row for each position and mask: key, pos, seed."""
-
-    def at(h: Column) -> Column:
-        return F.transform(h, lambda _, i: F.array(*[F.xxhash64(F.lit(k), *[F.get(h, i + o) for o in mask]) for k, mask in enumerate(MASKS)]))
-
-    return texts.select(key, F.posexplode(let(word_hashes(F.col("text")), at)).alias("pos", "seeds")).select(key, "pos", F.explode("seeds").alias("seed"))
-
+def _seeds(texts: DataFrame, keys: list[str], masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """A row for each position and mask: keys, pos, seed."""
+    offsets = sorted({o for m in masks for o in m})
+    around = lambda h: F.transform(h, lambda _, i: F.struct(*[F.get(h, i + o).alias(f"w{o}") for o in offsets]))
+    placed = texts.select(*keys, F.posexplode(let(word_hashes(F.col("text")), around)).alias("pos", "w")).select(*keys, "pos", "w.*")
+    seeds = [F.when(F.col(f"w{m[-1]}").isNotNull(), F.xxhash64(F.lit(str(m)), *[F.col(f"w{o}") for o in m])) for m in masks]
+    return placed.select(*keys, "pos", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
-def best_overlap(part: Column, item: Column, diagonal: Column) -> Column:
-    """Most equal words in any window of the item laid on a part of a document at a diagonal (position there minus here)."""
-    size = F.size(item)
-    width = F.least(F.lit(WINDOW), size)
-    same = F.transform(item, lambda w, t: F.coalesce(F.when(t + diagonal >= 0, F.get(part, t + diagonal)) == w, F.lit(False)).cast("int"))
-    best = lambda x: F.array_max(F.transform(F.sequence(F.lit(1), size - width + 1), lambda s: F.aggregate(F.slice(x, s, width), F.lit(0), lambda a, b: a + b)))
-    return let(same, best)
 
+def _matched(here: Column, item: Column, start: Column, diagonal: Column) -> tuple[Column, Column]:
+    """The most ones of WINDOW neighbours in a column bits, and these bits: the equal words among LOOK words of a block from start on.
 
-def _laid(h: Column) -> Column:
-    """The stretch of a document's words under each item of near; diagonals then count from the stretch's begin."""
+    diagonal: position in the block minus position in the item.
+    """
+    # Words beyond the item are unequal, so a window that leaves it finds no more than one that doesn't.
+    same = lambda t: F.coalesce(F.get(here, start + t) == F.get(item, start + t - diagonal), F.lit(False))
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(LOOK - 1)), F.lit(0).cast("long"), lambda a, t: F.shiftleft(a, 1).bitwiseOR(same(t).cast("long")))
+    full = F.lit((1 << WINDOW) - 1).cast("long")
+    best = F.greatest(*[F.bit_count(F.shiftrightunsigned("bits", s).bitwiseAND(full)) for s in range(LOOK - WINDOW + 1)])
+    return best, bits
 
-    def cut(n: Column) -> Column:
-        before = F.least(n["diagonal"], F.lit(0))
-        return F.struct(n["item_id"].alias("item_id"), before.alias("diagonal"), F.slice(h, F.greatest(n["diagonal"], F.lit(0)) + 1, n["n"] + before).alias("part"))
 
-    return F.transform("near", cut)
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, row (a hash that tells rows of one doc_id apart), item_id, matched and window_words of each overlap."""
+    items = benchmark.select("item_id", "text").where("item_id is not null").distinct()
+    items = items.withColumn("item_h", word_hashes(F.col("text"))).where(F.size("item_h") >= MIN_WORDS)
+    about = benchmark.select(F.length("text").alias("chars"), F.size(word_hashes(F.col("text"))).alias("n"))
+    size = about.agg(F.sum("chars").alias("chars"), F.bool_or(F.col("n").between(MIN_WORDS, WINDOW - 1)).alias("short")).first()
+    small = F.broadcast if (size.chars or 0) <= BROADCAST_CHARS else (lambda df: df)
+    theirs = _seeds(items.where(F.size("item_h") >= WINDOW), ["item_id"], LONG_MASKS)
+    if size.short:
+        theirs = theirs.unionByName(_seeds(items.where(F.size("item_h") < WINDOW), ["item_id"], SHORT_MASKS))
+    theirs = theirs.select("seed", "item_id", F.col("pos").alias("item_pos")).distinct()
+
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").where("text is not null")
+    hits = _seeds(texts, ["doc_id", "row"], LONG_MASKS + (SHORT_MASKS if size.short else ())).join(small(theirs), "seed")
+    stretch = F.floor(F.col("pos") / STRETCH).cast("int").alias("stretch")
+    # Written out, so that a small table of candidates is broadcast to the texts, and a large one split where it is skewed.
+    near = materialize(hits.select("doc_id", "row", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), stretch).distinct())
+    near = near.withColumn("block", F.floor(F.col("stretch") * STRETCH / BLOCK).cast("int"))
+
+    # Of each text the blocks that are asked for: as many as the text has at most.
+    asked = materialize(near.groupBy("doc_id", "row").agg(F.collect_set("block").alias("blocks"))).toDF("_id", "_row", "blocks")
+    of_text = texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["row"] == asked["_row"])
+    cut = lambda h: F.transform("blocks", lambda b: F.struct(b.alias("block"), F.slice(h, F.greatest(b * BLOCK - REACH, F.lit(0)) + 1, BLOCK + LOOK).alias("here")))
+    blocks = texts.join(asked, of_text).select("doc_id", "row", F.explode(let(word_hashes(F.col("text")), cut)).alias("b")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("b.block").alias("_block"), "b.here")
+    of_block = near["doc_id"].eqNullSafe(blocks["_id"]) & (near["row"] == blocks["_row"]) & (near["block"] == blocks["_block"])
+    laid = near.join(blocks, of_block).join(small(items.select("item_id", "item_h")), "item_id")
+    begin = F.greatest(F.col("block") * BLOCK - REACH, F.lit(0))  # of the block's words
+    best, bits = _matched(F.col("here"), F.col("item_h"), F.col("stretch") * STRETCH - REACH - begin, F.col("diagonal") - begin)
+    width = F.least(F.lit(WINDOW), F.size("item_h"))
+    judged = laid.select("doc_id", "row", "item_id", width.alias("window_words"), bits.alias("bits")).withColumn("matched", best)
+    return judged.where(F.col("matched") >= F.ceil(F.col("window_words") * F.lit(SHARE)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched_words, window_words for each item that a document overlaps."""
-    items = benchmark.select("item_id", "text").where("item_id is not null").distinct()
-    items = items.withColumn("item_h", word_hashes(F.col("text"))).where(F.size("item_h") >= MIN_WORDS)
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    small = F.broadcast if chars <= BROADCAST_CHARS else (lambda df: df)
-    sizes = items.select("item_id", F.size("item_h").alias("n"))
-    theirs = _seeds(items, "item_id").join(small(sizes), "item_id").select("item_id", "n", F.col("pos").alias("item_pos"), "seed")
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    hits = _seeds(texts, "doc_id").join(small(theirs), "seed")
-    pairs = hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n").distinct()
-    near = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "n")).alias("near"))  # bounded by the document
-    parts = texts.join(near, "doc_id").select("doc_id", F.explode(let(word_hashes(F.col("text")), _laid)).alias("p")).select("doc_id", "p.*")
-    laid = parts.join(small(items.select("item_id", "item_h")), "item_id")
-    judged = laid.select("doc_id", "item_id", F.least(F.lit(WINDOW), F.size("item_h")).alias("window_words"), best_overlap(F.col("part"), F.col("item_h"), F.col("diagonal")).alias("matched"))
-    found = judged.where(F.col("matched") >= F.ceil(F.col("window_words") * F.lit(SHARE)))
-    return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched_words"), F.max("window_words").cast("long").alias("window_words"))
+    found = _found(docs, benchmark).groupBy("doc_id", "item_id")
+    return found.agg(F.max("matched").cast("long").alias("matched_words"), F.max("window_words").cast("long").alias("window_words"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the contaminated rows."""
+    leaks = materialize(_found(docs, benchmark).select("doc_id", "row").distinct()).toDF("_leak_id", "_leak_row")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak_id"]) & (F.xxhash64(docs["text"]) == leaks["_leak_row"]), "left_anti")
 
 
-#: The definition itself: every window of every item against every document, on a diagonal found by any equal word.
+#: The definition itself, for unique doc_ids: every window of every item against every document, on a diagonal found by any equal word.
 SQL = r"""
 with dw as (
   select distinct doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
-  from documents where doc_id is not null),
+  from documents),
 iw as (
   select distinct item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
   from benchmark where item_id is not null),
