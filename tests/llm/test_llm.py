@@ -461,8 +461,59 @@ def test_lm_scores_odd_cases(odd, nothing):
 
 def test_masks_hit_every_overlap():
     for size in range(decontaminate.MIN_WORDS, decontaminate.WINDOW + 1):
+        masks = decontaminate.LONG_MASKS if size == decontaminate.WINDOW else decontaminate.SHORT_MASKS
         for wrong in combinations(range(size), size - math.ceil(size * decontaminate.SHARE)):
-            assert any(all(s + o not in wrong for o in m) for m in decontaminate.MASKS for s in range(size - m[-1]))
+            assert any(all(s + o not in wrong for o in m) for m in masks for s in range(size - m[-1]))
+    assert decontaminate.LOOK <= 64 and max(m[-1] for m in decontaminate.LONG_MASKS) == 10
+
+
+def brute_leaks(docs, items):
+    import re
+
+    split = lambda t: [w for w in re.split(r"[^\w]|_", (t or "").lower()) if w]
+    out = {}
+    for i, t in docs:
+        d = split(t)
+        for j, u in items:
+            w = split(u)
+            if len(w) < 8:
+                continue
+            width = min(15, len(w))
+            best = max((sum(d[a + k] == w[b + k] for k in range(width)) for a in range(len(d) - width + 1) for b in range(len(w) - width + 1) if d[a : a + width]), default=0)
+            if best >= math.ceil(width * 0.8):
+                out[i, j] = (best, width)
+    return out
+
+
+def test_decontamination_equals_brute_force_also_with_common_phrases(spark, monkeypatch):
+    rng = random.Random(11)
+    phrase = "which of the following statements best describes the main idea of".split()
+    items = [(j, " ".join([f"i{j}x{rng.randrange(9)}" for _ in range(rng.randrange(0, 9))] + phrase[: 5 + j % 7] + [f"i{j}y{k}" for k in range(rng.randrange(2, 12))])) for j in range(40)]
+    items += [(100, "eleven words of which all are to be found in here")]
+    docs = []
+    for i in range(25):
+        body = []
+        for _ in range(12):
+            own = (items[rng.randrange(41)][1] if rng.random() < 0.5 else " ".join(phrase)).split()
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = "zz"
+            body += own + [f"d{i}{k}" for k in range(rng.randrange(6))]
+        docs.append((i, " ".join(body)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items)
+    for block in (1024, 32):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        got = {(r.doc_id, r.item_id): (r.matched_words, r.window_words) for r in decontaminate.contaminated(df, bench).collect()}
+        assert got == want and len(want) > 50
+
+
+def test_rows_without_or_with_the_same_id_are_judged_by_their_text(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"a {item} b", 1), (None, "clean", 2), (5, item, 3), (5, "clean, too", 4), (6, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    assert {r.item_id for r in decontaminate.decontaminate(docs, bench).collect()} == {2, 4, 5}
+    assert {r.doc_id for r in decontaminate.contaminated(docs, bench).collect()} == {None, 5}
 
 
 def test_decontamination_tolerates_substitutions(spark, odd, nothing):
