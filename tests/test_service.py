@@ -71,3 +71,68 @@ def test_recovery_and_stored_errors(service, spark):
         service.run_reconciliation(bad["run_id"])
     row = service.get_run(bad["run_id"])
     assert row["status"] == "FAILED" and row["source_count"] == 0 and "secret" not in row["last_error"]
+
+
+def test_a_taken_job_is_let_go(service, spark):
+    service.pages_a_step = 2
+    job = service.start_batch("tenant-bulk")["job_id"]
+    steps, migrate_rows = [], service._migrate
+
+    def stolen(rows, owner):
+        out = migrate_rows(rows, owner)
+        steps.append(owner)
+        if len(steps) == 3:
+            service._set(service.jobs, "job_id", job, lease_owner="thief")
+        return out
+
+    service._migrate = stolen
+    row = service.run_job(job, "me")
+    assert (row["status"], row["next_page"], row["processed"]) == ("RUNNING", 4, 400) and len(steps) == 3
+    assert service._one(service.jobs, "job_id", job).lease_owner == "thief"
+
+
+def test_a_job_goes_on_behind_its_last_recorded_step(service):
+    service.pages_a_step = 4
+    job = service.start_batch("tenant-bulk")["job_id"]
+    calls, migrate_rows = [], service._migrate
+
+    def failing(rows, owner):
+        calls.append(owner)
+        if len(calls) == 2:
+            raise OSError("secret")
+        return migrate_rows(rows, owner)
+
+    service._migrate = failing
+    with pytest.raises(OSError):
+        service.run_job(job)
+    row = service._one(service.jobs, "job_id", job)
+    assert (row.status, row.next_page, row.processed, row.lease_owner, row.last_error) == ("FAILED", 4, 400, None, "migration failed (OSError)")
+    service._migrate = migrate_rows
+    done = service.run_job(job)
+    assert (done["status"], done["next_page"], done["processed"], done["succeeded"], done["failed"]) == ("COMPLETED_WITH_ERRORS", 11, 1050, 1040, 10)
+
+
+def test_a_taken_run_is_not_written(service, monkeypatch):
+    from tidemark.operators import reconcile
+
+    run = service.start_reconciliation("tenant-bulk")["run_id"]
+    summarize = reconcile.summarize
+
+    def stolen(found, *by):
+        service._set(service.runs, "run_id", run, lease_owner="thief")
+        return summarize(found, *by)
+
+    monkeypatch.setattr(reconcile, "summarize", stolen)
+    assert service.run_reconciliation(run, "me")["status"] == "RUNNING"
+    assert service._one(service.runs, "run_id", run).lease_owner == "thief"
+
+
+def test_repeated_pages_count_once(spark):
+    from tidemark.operators import reconcile
+
+    schema = "tenant_id string, external_id string, first_name string, last_name string, email string, scan int"
+    once = [("t", "a", "A", "L", "a@x", 1), ("t", "b", "B", "L", "b@x", 1)]
+    source = spark.createDataFrame(once + [("t", "a", "A2", "L", "a@x", 2), ("t", "b", "B", "L", "b@x", 2)], schema)
+    target = spark.createDataFrame([("t", "a", "A2", "L", "a@x", 1)], schema)
+    row = reconcile.summarize(reconcile.items(source, target, "scan")).first()
+    assert (row.source_count, row.target_count, row.matched_count, row.missing_count) == (2, 1, 1, 1)

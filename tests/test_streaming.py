@@ -15,7 +15,7 @@ def event(i, candidate="c1", tenant="t", at="2026-01-01T10:00:00Z"):
 
 def test_inbox_stream(spark, tmp_path):
     state = {"rows": [("t", "c1", "A", "L", "a@x"), ("t", "c2", "B", "L", "")]}
-    boxes = SnapshotTable(spark, f"{tmp_path}/inbox", INBOX_STATE), SnapshotTable(spark, f"{tmp_path}/target", STORED_CANDIDATE)
+    boxes = SnapshotTable(spark, f"{tmp_path}/inbox", INBOX_STATE, ("event_id",), 4), SnapshotTable(spark, f"{tmp_path}/target", STORED_CANDIDATE, ("tenant_id", "external_id"), 4)
 
     def send(name, *values):
         spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(values)], "key string, value string").coalesce(1).write.mode("append").json(f"{tmp_path}/in")
@@ -41,3 +41,42 @@ def test_inbox_stream(spark, tmp_path):
     rows = {r.external_id: r for r in boxes[1].read().collect()}
     assert rows["c1"].first_name == "A2" and rows["c1"].created_at == before.created_at and rows["c2"].email == "b@x"
     assert spark.read.parquet(f"{tmp_path}/dlt").where("error = 'REUSED_EVENT_ID'").count() == 1
+
+
+EMPTY = "event_id string, tenant_id string, candidate_id string, status string, attempts int, occurred_at timestamp, last_error string, updated_at timestamp"
+
+
+def test_first_delivery_by_offset_names_the_event(spark):
+    rows = [("k", event("e", "c1", at="2026-01-02T00:00:00Z"), 0, 5), ("k", event("e", "c2", at="2026-01-01T00:00:00Z"), 0, 6), ("k", "{no", 0, 7), ("k", None, 0, 8)]
+    messages = spark.createDataFrame(rows, "key string, value string, partition int, offset long")
+    source = spark.createDataFrame([("t", "c1", "A", "L", "a@x"), ("t", "c2", "B", "L", "b@x")], SOURCE)
+    got = {(r.candidate_id, r.error): r.outcome for r in inbox.judge_batch(messages, spark.createDataFrame([], INBOX_STATE), source).collect()}
+    assert got == {("c1", None): "PROCESSED", ("c2", "REUSED_EVENT_ID"): "DLT", (None, "UNREADABLE_MESSAGE"): "DLT"}
+
+
+def test_a_failed_event_may_come_again_however_often(spark):
+    held = spark.createDataFrame([("e", "t", "c1", "FAILED", 3, None, "x", None)], EMPTY)
+    source = spark.createDataFrame([("t", "c1", "A", "L", "a@x")], SOURCE)
+    row = inbox.judge_batch(spark.createDataFrame([("k", event("e"))], "key string, value string"), held, source).first()
+    assert (row.outcome, row.error) == ("PROCESSED", None)
+
+
+def test_passing_failures_are_tried_again_up_to_the_bound(spark, tmp_path):
+    tried = []
+
+    def write(rows):
+        ids = sorted(r.external_id for r in rows.collect())
+        tried.append(ids)
+        failing = [("t", i, "PERMANENT" if i == "c4" else "TRANSIENT") for i in ids if i in ("c3", "c4") or (i == "c2" and len(tried) == 1)]
+        return spark.createDataFrame(failing, "tenant_id string, external_id string, failure string")
+
+    boxes = SnapshotTable(spark, f"{tmp_path}/inbox", INBOX_STATE, ("event_id",), 4), SnapshotTable(spark, f"{tmp_path}/target", STORED_CANDIDATE)
+    source = spark.createDataFrame([("t", f"c{i}", "A", "L", "a@x") for i in range(1, 5)], SOURCE)
+    spark.createDataFrame([(f"k{i}", event(f"e{i}", f"c{i}")) for i in range(1, 5)], "key string, value string").coalesce(1).write.json(f"{tmp_path}/in")
+    messages = spark.readStream.schema("key string, value string").json(f"{tmp_path}/in")
+    inbox.start_inbox(spark, messages, lambda: source, *boxes, f"{tmp_path}/dlt", f"{tmp_path}/log", write=write).awaitTermination()
+    assert tried == [["c1", "c2", "c3", "c4"], ["c2", "c3"], ["c3"]]
+    got = {r.event_id: (r.status, r.attempts) for r in boxes[0].read().collect()}
+    assert got == {"e1": ("COMPLETED", 1), "e2": ("COMPLETED", 2), "e3": ("FAILED", 3), "e4": ("FAILED", 1)}
+    letters = {r.key: r.error for r in spark.read.parquet(f"{tmp_path}/dlt").collect()}
+    assert letters == {"k3": "target write failed (TRANSIENT)", "k4": "target write failed (PERMANENT)"}

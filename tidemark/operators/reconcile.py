@@ -15,9 +15,14 @@ from tidemark.model import DIFFERENCES
 KEY = ["tenant_id", "external_id"]
 
 
-def side(df: DataFrame) -> DataFrame:
-    """tenant_id, external_id, fingerprint."""
-    return with_fingerprint(df).select(*KEY, "fingerprint")
+def side(df: DataFrame, *order: str) -> DataFrame:
+    """tenant_id, external_id, fingerprint of the last write of each key: a page that was read again counts once.
+
+    order: the columns of the scan order; without them, or where it is equal, the greatest fingerprint stands for the key.
+    The aggregation is dealt by the key that the comparison joins on, so it adds no shuffle.
+    """
+    rows = with_fingerprint(df).select(*KEY, "fingerprint", *order)
+    return rows.groupBy(*KEY).agg(F.max_by("fingerprint", F.struct(*order, "fingerprint")).alias("fingerprint"))
 
 
 def last_write(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -47,10 +52,10 @@ def classify(source_seen: Column, target_seen: Column, same: Column) -> Column:
     )
 
 
-def items(source: DataFrame, target: DataFrame) -> DataFrame:
-    """One row a key: both fingerprints, both flags, the result."""
-    s = side(source).withColumn("s_seen", F.lit(True)).withColumnRenamed("fingerprint", "source_fingerprint")
-    t = side(target).withColumn("t_seen", F.lit(True)).withColumnRenamed("fingerprint", "target_fingerprint")
+def items(source: DataFrame, target: DataFrame, *order: str) -> DataFrame:
+    """One row a key: both fingerprints, both flags, the result. order: see side()."""
+    s = side(source, *order).withColumn("s_seen", F.lit(True)).withColumnRenamed("fingerprint", "source_fingerprint")
+    t = side(target, *order).withColumn("t_seen", F.lit(True)).withColumnRenamed("fingerprint", "target_fingerprint")
     seen = s.join(t, KEY, "full_outer").select(
         *KEY, F.coalesce("s_seen", F.lit(False)).alias("source_seen"), F.coalesce("t_seen", F.lit(False)).alias("target_seen"), "source_fingerprint", "target_fingerprint"
     )
@@ -70,7 +75,7 @@ def summarize(found: DataFrame, *by: str) -> DataFrame:
 
 
 def missing_in_target(source: DataFrame, target: DataFrame) -> DataFrame:
-    return source.select(*KEY).join(target.select(*KEY), KEY, "left_anti")
+    return source.select(*KEY).distinct().join(target.select(*KEY), KEY, "left_anti")
 
 
 def unexpected_in_target(source: DataFrame, target: DataFrame) -> DataFrame:

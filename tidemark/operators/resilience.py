@@ -34,6 +34,19 @@ def failure_kind(status: Column, timed_out: Column, unreadable: Column, circuit_
     )
 
 
+def failure_detail(kind: Column, status: Column) -> Column:
+    """What a stored message says of a failure."""
+    http = F.concat(F.lit("HTTP "), status.cast("string"))
+    # The details of the failure kinds.
+    return (
+        F.when(kind == "HTTP_RESPONSE", http)
+        .when(kind == "TIMEOUT", "timeout")
+        .when(kind == "TRANSPORT_ERROR", "transport error")
+        .when(kind == "INVALID_RESPONSE", F.when(status.isNull(), "invalid response").otherwise(F.concat(F.lit("invalid response, "), http)))
+        .when(kind == "CIRCUIT_OPEN", "circuit breaker open")
+    )
+
+
 def safe_message(operation: Column, kind: Column, detail: Column) -> Column:
     """Names the operation, the class and a detail of ours; never a body or a foreign message."""
     return F.concat(operation, F.lit(" failed ("), kind, F.lit(", "), detail, F.lit(")"))
@@ -44,7 +57,7 @@ def call_failures(calls: DataFrame) -> DataFrame:
     no = F.lit(False)
     failed = calls.where(is_failure(F.col("http_status")))
     kind = failure_kind(F.col("http_status"), no, no, no)
-    detail = F.when(F.col("http_status").isNotNull(), F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))).otherwise(kind)
+    detail = failure_detail(kind, F.col("http_status"))
     typed = failure_type(F.col("http_status"))
     return failed.select("call_seq", typed.alias("failure_type"), kind.alias("failure_kind"), safe_message(F.concat("system_name", F.lit(" call")), typed, detail).alias("message"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import truncate_error
 from tidemark.model import UNFINISHED_JOB, UNFINISHED_RUN
+from tidemark.operators.migrate import COUNTERS, final_status
 from tidemark.operators.rules import is_stale
 
 RECORD_KEY = ["tenant_id", "source_record_id"]
@@ -124,6 +125,51 @@ def pending_runs(runs: DataFrame, limit: int, order: tuple[str, ...] = ("created
     return runs.where("status = 'PENDING'").orderBy(*order).limit(limit)
 
 
+def _held(owner: Column) -> Column:
+    """Whether a running job or run is still the given owner's: the fence of every write to it."""
+    return F.coalesce((F.col("status") == "RUNNING") & (F.col("lease_owner") == owner), F.lit(False))
+
+
+def _fenced(table: DataFrame, owner: Column, **changes: Column) -> DataFrame:
+    """The table with the changes in the rows that the owner holds, and applied, which tells them apart."""
+    held = table.withColumn("applied", _held(owner))
+    return held.select(*[F.when(F.col("applied"), changes[c]).otherwise(F.col(c)).cast(table.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in table.columns], "applied")
+
+
+def record_page(jobs: DataFrame, progress: DataFrame, owner: Column, as_of: Column) -> DataFrame:
+    """Jobs after progress (job_id, next_page, the four counters of newly read pages): counters grow, the next page moves on."""
+    new = progress.select("job_id", F.col("next_page").alias("_next"), *[F.col(c).alias(f"_{c}") for c in COUNTERS])
+    joined = jobs.join(new, "job_id", "left")
+    mine = F.when(F.col("_next").isNotNull(), owner)
+    grown = {c: F.col(c) + F.col(f"_{c}") for c in COUNTERS}
+    return _fenced(joined, mine, next_page=F.col("_next"), updated_at=as_of, **grown).select(*jobs.columns, "applied")
+
+
+def complete_job(jobs: DataFrame, owner: Column, as_of: Column) -> DataFrame:
+    """Jobs whose owner has read all pages: the failed counter gives the status, the lease ends."""
+    return _fenced(jobs, owner, status=final_status(F.col("failed")), lease_owner=F.lit(None), last_error=F.lit(None), updated_at=as_of)
+
+
+def fail_job(jobs: DataFrame, owner: Column, error: Column, as_of: Column) -> DataFrame:
+    """Jobs given up by their owner; counters and next page stay for the next claim."""
+    return _fenced(jobs, owner, status=F.lit("FAILED"), lease_owner=F.lit(None), last_error=truncate_error(error), updated_at=as_of)
+
+
+def fail_run(runs: DataFrame, owner: Column, error: Column, as_of: Column) -> DataFrame:
+    """Runs given up by their owner."""
+    return _fenced(runs, owner, status=F.lit("FAILED"), lease_owner=F.lit(None), last_error=truncate_error(error), updated_at=as_of)
+
+
+def finish_run(runs: DataFrame, summary: DataFrame, owner: Column, as_of: Column) -> DataFrame:
+    """Runs after the fenced completion of those in summary (run_id and the six counters)."""
+    counts = [c for c in summary.columns if c != "run_id"]
+    joined = runs.join(summary.select("run_id", F.lit(True).alias("_in"), *[F.col(c).alias(f"_{c}") for c in counts]), "run_id", "left")
+    mine = F.when(F.col("_in"), owner)
+    done = {c: F.col(f"_{c}") for c in counts}
+    out = _fenced(joined, mine, status=F.lit("COMPLETED"), lease_owner=F.lit(None), updated_at=as_of, completed_at=as_of, **done)
+    return out.select(*runs.columns, "applied")
+
+
 def complete_run(runs: DataFrame, summary: DataFrame, owner: Column) -> DataFrame:
     """Fenced completion of runs with their six counters; others keep theirs."""
     joined = runs.join(summary, "run_id", "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import JOB, RECORD_STATE, RESULTS, RUN, STORED_CANDIDATE
 from tidemark.operators import migrate, paging, reconcile, rules, state
+from tidemark.sources.scratch import materialize
 from tidemark.sources.snapshots import SnapshotTable
 
 
@@ -27,9 +28,21 @@ class NotReady(RuntimeError):
 
 
 class Service:
-    def __init__(self, spark: SparkSession, base: str, read_source: Callable[[], DataFrame], page_size: int = 100, lease: str = "INTERVAL '10' MINUTE", clock: Callable[[], dt.datetime] = dt.datetime.now):
-        self.spark, self.base, self.read_source, self.page_size, self.lease, self.clock = spark, base.rstrip("/"), read_source, page_size, lease, clock
-        self.target, self.records, self.jobs, self.runs = (SnapshotTable(spark, f"{self.base}/{n}", s) for n, s in (("target", STORED_CANDIDATE), ("records", RECORD_STATE), ("jobs", JOB), ("runs", RUN)))
+    def __init__(
+        self,
+        spark: SparkSession,
+        base: str,
+        read_source: Callable[[], DataFrame],
+        page_size: int = 100,
+        lease: str = "INTERVAL '10' MINUTE",
+        clock: Callable[[], dt.datetime] = dt.datetime.now,
+        pages_a_step: int = 1000,
+        buckets: int = 16,
+    ):
+        self.spark, self.base, self.read_source, self.page_size, self.lease, self.clock, self.pages_a_step = spark, base.rstrip("/"), read_source, page_size, lease, clock, pages_a_step
+        self.target = SnapshotTable(spark, f"{self.base}/target", STORED_CANDIDATE, tuple(migrate.TARGET_KEY), buckets)
+        self.records = SnapshotTable(spark, f"{self.base}/records", RECORD_STATE, tuple(state.RECORD_KEY), buckets)
+        self.jobs, self.runs = SnapshotTable(spark, f"{self.base}/jobs", JOB), SnapshotTable(spark, f"{self.base}/runs", RUN)
 
     def _now(self):
         return F.lit(self.clock()).cast("timestamp")
@@ -58,29 +71,53 @@ class Service:
     def get_job(self, job_id: str) -> dict:
         return self._one(self.jobs, "job_id", job_id, rules.job_response).asDict()
 
-    def run_job(self, job_id: str) -> dict:
-        """Claims a job and migrates all pages that it hasn't recorded; a job that can't be claimed is left alone."""
-        job, owner = self._one(self.jobs, "job_id", job_id), str(uuid.uuid4())
+    def run_job(self, job_id: str, owner: str | None = None) -> dict:
+        """Claims a job and migrates all pages that it hasn't recorded; a job that can't be claimed is left alone.
+
+        Pages are worked in steps of pages_a_step, each recorded under the fence before the next begins: after a crash or
+        a failure the job goes on behind the last recorded step. A job whose lease another owner has taken is let go.
+        """
+        job, owner = self._one(self.jobs, "job_id", job_id), owner or str(uuid.uuid4())
         claim = state.claim_jobs(self.jobs.read().where(F.col("job_id") == job_id), self._now(), F.expr(self.lease)).first()
         if not claim.claimed:
             return self.get_job(job_id)
         self._set(self.jobs, "job_id", job_id, status="RUNNING", lease_owner=owner, last_error=None, updated_at=self._now())
         try:
             source = self.read_source().where(F.col("tenant_id") == job.tenant_id)
-            rows = paging.with_pages(source, job.page_size).where(F.col("page") >= job.next_page)
-            results = self._migrate(rows, owner)
-            progress = migrate.page_progress(results.withColumn("result", migrate.page_result(F.col("outcome"))))
-            done = progress.agg(F.max("page").alias("page"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in migrate.COUNTERS]).first()
+            rows = materialize(paging.with_pages(source, job.page_size))
+            last = rows.agg(F.max("page")).first()[0]
+            pages = 1 if last is None else last + 1  # an empty tenant has one empty page
+            for page in range(job.next_page, pages, self.pages_a_step):
+                until = min(page + self.pages_a_step, pages)
+                results = self._migrate(rows.where(F.col("page").between(page, until - 1)), owner)
+                if not self._record(job_id, owner, results, until):
+                    return self.get_job(job_id)
         except Exception as error:
-            self._set(self.jobs, "job_id", job_id, status="FAILED", lease_owner=None, last_error=f"migration failed ({type(error).__name__})", updated_at=self._now())
+            self._fenced(self.jobs, state.fail_job(self._mine(self.jobs, "job_id", job_id), F.lit(owner), F.lit(f"migration failed ({type(error).__name__})"), self._now()))
             raise
-        failed = job.failed + done.failed
-        counts = {c: job[c] + done[c] for c in migrate.COUNTERS}
-        # The page behind the last one; an empty tenant has read one empty page.
-        next_page = max(job.next_page, 1) if done.page is None else done.page + 1
-        self._set(self.jobs, "job_id", job_id, status="COMPLETED_WITH_ERRORS" if failed else "COMPLETED", lease_owner=None, next_page=next_page, updated_at=self._now(), **counts)
+        self._fenced(self.jobs, state.complete_job(self._mine(self.jobs, "job_id", job_id), F.lit(owner), self._now()))
         return self.get_job(job_id)
 
+    def _mine(self, table: SnapshotTable, key: str, value: str) -> DataFrame:
+        return table.read().where(F.col(key) == value)
+
+    def _fenced(self, table: SnapshotTable, changed: DataFrame) -> bool:
+        """Publishes the one row of a fenced operator, if the fence let it through."""
+        row = changed.first()
+        if not row.applied:
+            return False
+        key = table.schema.names[0]
+        new = self.spark.createDataFrame([tuple(row[c] for c in table.schema.names)], table.schema)
+        table.commit(table.read().where(F.col(key) != row[key]).unionByName(new))
+        return True
+
+    def _record(self, job_id: str, owner: str, results: DataFrame, next_page: int) -> bool:
+        """Adds a step's counters to the job; false if it is no longer the owner's."""
+        progress = migrate.page_progress(results.withColumn("result", migrate.page_result(F.col("outcome"))))
+        sums = progress.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in migrate.COUNTERS])
+        step = sums.select(F.lit(job_id).alias("job_id"), F.lit(next_page).alias("next_page"), *migrate.COUNTERS)
+        return self._fenced(self.jobs, state.record_page(self._mine(self.jobs, "job_id", job_id), step, F.lit(owner), self._now()))
+
     def migrate_candidate(self, tenant: str, candidate: str) -> str:
         """One record; its outcome."""
         row = self.read_source().where((F.col("tenant_id") == tenant) & (F.col("external_id") == candidate)).withColumn("page", F.lit(0))
@@ -90,22 +127,27 @@ class Service:
         return got.outcome
 
     def _migrate(self, rows: DataFrame, owner: str) -> DataFrame:
-        """Claims, validates, writes and finishes records; tenant_id, external_id, page and outcome of each."""
-        held, now = self.records.read(), self._now()
+        """Claims, validates, writes and finishes records; tenant_id, external_id, page and outcome of each.
+
+        The rows are judged once and written out: all commits and the result are of the same records, however the source
+        changes. Only the buckets of their keys are read and rewritten.
+        """
+        now = self._now()
         keyed = rows.withColumn("source_record_id", F.col("external_id"))
         asked = keyed.select("tenant_id", "source_record_id", F.lit(owner).alias("lease_owner"), F.lit(1).alias("request_seq"))
-        claims = state.claim_records(asked, held, now, F.expr(self.lease))
+        claims = state.claim_records(asked, self.records.read(), now, F.expr(self.lease))
         joined = keyed.join(claims.select("tenant_id", "source_record_id", F.col("outcome").alias("claim")), ["tenant_id", "source_record_id"])
         valid = rules.email_error(F.col("email")).isNull()
         outcome = migrate.migration_outcome(F.col("claim"), valid, F.lit(True), F.lit(False))
-        judged = joined.withColumn("outcome", outcome)
+        judged = materialize(joined.withColumn("outcome", outcome))
         written = judged.where("outcome = 'MIGRATED'").select(
             F.concat_ws(":", "tenant_id", "external_id").alias("id"), "tenant_id", "external_id", "first_name", "last_name", "email", now.alias("created_at"), now.alias("updated_at")
         )
-        self.target.commit(migrate.create_if_absent(written, self.target.read()))
+        self.target.merge(written, lambda held: migrate.create_if_absent(written, held))
         status = F.when(F.col("outcome") == "MIGRATED", "COMPLETED").otherwise("FAILED")
         finished = judged.where("claim = 'CLAIMED'").select("tenant_id", "source_record_id", status.alias("status"), now.alias("updated_at"), F.lit(None).cast("string").alias("lease_owner"))
-        self.records.commit(held.join(finished.select("tenant_id", "source_record_id"), ["tenant_id", "source_record_id"], "left_anti").select(*held.columns).unionByName(finished))
+        names = RECORD_STATE.names
+        self.records.merge(finished, lambda held: held.join(finished, state.RECORD_KEY, "left_anti").select(*names).unionByName(finished.select(*names)))
         return judged.select("tenant_id", "external_id", "page", "outcome")
 
     # Reconciliation
@@ -125,22 +167,23 @@ class Service:
     def _items_path(self, run_id: str) -> str:
         return f"{self.base}/items/run_id={run_id}"
 
-    def run_reconciliation(self, run_id: str) -> dict:
-        """Compares the tenant's records with its target; a run that isn't pending is left alone."""
+    def run_reconciliation(self, run_id: str, owner: str | None = None) -> dict:
+        """Compares the tenant's records with its target; a run that isn't pending is left alone, one taken over isn't written."""
         run = self._one(self.runs, "run_id", run_id)
         if run.status != "PENDING":
             return self.get_run(run_id)
-        self._set(self.runs, "run_id", run_id, status="RUNNING", lease_owner=run_id, updated_at=self._now())
+        owner = owner or str(uuid.uuid4())
+        self._set(self.runs, "run_id", run_id, status="RUNNING", lease_owner=owner, updated_at=self._now())
         try:
             tenant = F.lit(run.tenant_id)
             source = reconcile.checked(self.read_source().where(F.col("tenant_id") == tenant), tenant)
             target = reconcile.checked(self.target.read().where(F.col("tenant_id") == tenant), tenant)
             reconcile.items(source, target).write.mode("overwrite").parquet(self._items_path(run_id))
-            counts = reconcile.summarize(self.spark.read.parquet(self._items_path(run_id))).first().asDict()
+            counts = reconcile.summarize(self.spark.read.parquet(self._items_path(run_id))).withColumn("run_id", F.lit(run_id))
+            self._fenced(self.runs, state.finish_run(self._mine(self.runs, "run_id", run_id), counts, F.lit(owner), self._now()))
         except Exception as error:
-            self._set(self.runs, "run_id", run_id, status="FAILED", lease_owner=None, last_error=f"reconciliation failed ({type(error).__name__})", updated_at=self._now())
+            self._fenced(self.runs, state.fail_run(self._mine(self.runs, "run_id", run_id), F.lit(owner), F.lit(f"reconciliation failed ({type(error).__name__})"), self._now()))
             raise
-        self._set(self.runs, "run_id", run_id, status="COMPLETED", lease_owner=None, updated_at=self._now(), completed_at=self._now(), **counts)
         return self.get_run(run_id)
 
     def get_items(self, run_id: str, page: int = 0, size: int = 100, result: str | None = None) -> dict:
@@ -163,7 +206,7 @@ class Service:
         for job_id in jobs:
             self.run_job(job_id)
         runs = state.fail_abandoned(self.runs.read(), now, lease)
-        failed = [r.run_id for r in runs.where("failed_now").select("run_id").collect()]
+        failed = [r.run_id for r in runs.where("failed_now").select("run_id").orderBy("run_id").collect()]  # runs in hand, not records
         if failed:
             self.runs.commit(runs.withColumn("lease_owner", F.when(~F.col("failed_now"), F.col("lease_owner"))))
         started = [r.run_id for r in state.pending_runs(self.runs.read(), limit).select("run_id").collect()]

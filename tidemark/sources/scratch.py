@@ -1,19 +1,33 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share. What a session wrote is dropped when its Python process ends."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Best effort at the end of a process: a session that has stopped can't reach its folders."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: below spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A new folder that every executor sees: below spark.checkpoint.dir, or a local one where that is unset and all tasks are local, too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """The change stream: an idempotent inbox in front of the target, dead letters beside it.
 
 Messages are JSON with eventId, tenantId, candidateId and occurredAt, from any source with key and value columns (Kafka
-in production, files in tests). Each micro-batch meets the inbox and the current source in DataFrame joins. A completed
-event is a duplicate; a failed one is tried again at each redelivery, up to max_attempts. Batches are idempotent: a
-repeated batch finds its events completed.
+in production, files in tests); partition and offset, where the source has them, give the order of deliveries. Each
+micro-batch meets the inbox and the current source in DataFrame joins. A completed event is a duplicate; a failed one is
+tried again at each redelivery, however often. A write that fails for a passing reason is tried again within its
+delivery, up to max_attempts times, and then goes to the dead letters. Batches are idempotent: a repeated batch finds its
+events completed, and only the buckets of the keys in a batch are rewritten.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,48 +20,79 @@ from tidemark.functions.canonical import is_blank, truncate_error
 from tidemark.model import INBOX_STATE
 from tidemark.operators.migrate import upsert
 from tidemark.operators.rules import EMAIL_REQUIRED, event_complete
+from tidemark.sources.scratch import materialize
 from tidemark.sources.snapshots import SnapshotTable
 
 MESSAGE = "eventId string, tenantId string, candidateId string, occurredAt timestamp"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """key, value and the event's columns, null throughout for an unreadable value."""
+    """key, value, partition, offset (null where the source has none) and the event's columns, null throughout for an unreadable value."""
     event = F.from_json(F.col("value").cast("string"), MESSAGE)
+    place = [(F.col(c) if c in messages.columns else F.lit(None)).cast(t).alias(c) for c, t in (("partition", "int"), ("offset", "long"))]
     return messages.select(
-        "key", "value", event["eventId"].alias("event_id"), event["tenantId"].alias("tenant_id"), event["candidateId"].alias("candidate_id"), event["occurredAt"].alias("occurred_at")
+        "key", "value", *place, event["eventId"].alias("event_id"), event["tenantId"].alias("tenant_id"), event["candidateId"].alias("candidate_id"), event["occurredAt"].alias("occurred_at")
     )
 
 
-def judge_batch(messages: DataFrame, inbox: DataFrame, source: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """outcome (PROCESSED, DUPLICATE, RETRY or DLT) and error of each message of a batch, with the source's current fields."""
-    events = parsed(messages)
+def judge_batch(messages: DataFrame, inbox: DataFrame, source: DataFrame) -> DataFrame:
+    """outcome (PROCESSED, DUPLICATE or DLT) and error of each message of a batch, with the source's current fields.
+
+    Deliveries of an event are taken in the order of partition and offset, or of their own fields where there is none.
+    Incomplete and unreadable ones are judged beforehand: they share no id to be grouped by.
+    """
     complete = event_complete(F.col("event_id"), F.col("tenant_id"), F.col("candidate_id"), F.col("occurred_at"))
-    w = Window.partitionBy("event_id", "complete").orderBy("occurred_at", "tenant_id", "candidate_id")
-    events = events.withColumn("complete", complete).withColumn("rank", F.row_number().over(w)).withColumn("_first", F.first(F.struct("tenant_id", "candidate_id")).over(w))
+    events = parsed(messages).withColumn("complete", F.coalesce(complete, F.lit(False)))
+    w = Window.partitionBy("event_id").orderBy("partition", "offset", "occurred_at", "tenant_id", "candidate_id")
+    whole = events.where("complete").withColumn("rank", F.row_number().over(w)).withColumn("_first", F.first(F.struct("tenant_id", "candidate_id")).over(w))
     known = inbox.select(F.col("event_id").alias("_e"), F.struct("tenant_id", "candidate_id").alias("_known"), F.col("status").alias("_status"), F.col("attempts").alias("_attempts"))
     now = source.select(F.col("tenant_id").alias("_t"), F.col("external_id").alias("_c"), "first_name", "last_name", "email", F.lit(True).alias("_found"))
-    joined = events.join(known, events["event_id"] == known["_e"], "left").join(now, (events["tenant_id"] == now["_t"]) & (events["candidate_id"] == now["_c"]), "left")
+    joined = whole.join(known, whole["event_id"] == known["_e"], "left").join(now, (whole["tenant_id"] == now["_t"]) & (whole["candidate_id"] == now["_c"]), "left")
     same = F.struct("tenant_id", "candidate_id").eqNullSafe(F.coalesce("_known", "_first"))
-    tries = F.coalesce("_attempts", F.lit(0)) + F.col("rank")
     fault = F.when(F.col("_found").isNull(), "SOURCE_NOT_FOUND").when(is_blank(F.col("email")), EMAIL_REQUIRED)
-    outcome = (
-        F.when(~F.col("complete") | ~same, "DLT")
-        .when((F.col("_status") == "COMPLETED"), "DUPLICATE")
-        .when(fault.isNotNull(), "DLT")
-        .when(F.col("rank") > 1, "DUPLICATE")
-        .when(tries > max_attempts, "DLT")
-        .otherwise("PROCESSED")
-    )
-    error = F.when(~F.col("complete"), F.when(F.col("event_id").isNull(), "UNREADABLE_MESSAGE").otherwise("INCOMPLETE_EVENT")).when(~same, "REUSED_EVENT_ID").when(F.col("_status") == "COMPLETED", None).otherwise(fault)
-    return joined.select(*events.columns[:6], "rank", "_attempts", "first_name", "last_name", "email", outcome.alias("outcome"), error.alias("error"), same.alias("same_identity"), "complete")
+    done = F.coalesce(F.col("_status") == "COMPLETED", F.lit(False))
+    outcome = F.when(~same, "DLT").when(done, "DUPLICATE").when(fault.isNotNull(), "DLT").when(F.col("rank") > 1, "DUPLICATE").otherwise("PROCESSED")
+    error = F.when(~same, "REUSED_EVENT_ID").when(~done, fault)
+    columns = ["key", "value", "event_id", "tenant_id", "candidate_id", "occurred_at", "_attempts", "first_name", "last_name", "email", "outcome", "error", "same_identity", "complete"]
+    judged = joined.withColumn("outcome", outcome).withColumn("error", error).withColumn("same_identity", same).select(*columns)
+    bad = F.when(F.col("event_id").isNull(), "UNREADABLE_MESSAGE").otherwise("INCOMPLETE_EVENT")
+    broken = events.where(~F.col("complete")).withColumn("outcome", F.lit("DLT")).withColumn("error", bad).withColumn("same_identity", F.lit(False))
+    return judged.unionByName(broken.select(*[c for c in columns if c in broken.columns]), allowMissingColumns=True)
+
+
+def write_with_retries(rows: DataFrame, write: Callable[[DataFrame], DataFrame], max_attempts: int) -> DataFrame:
+    """tenant_id, external_id, tries and failed (the class of the last failure, null once written) of each row.
+
+    write returns (tenant_id, external_id, failure) of the rows that it couldn't write; those with a TRANSIENT failure are
+    given to it again, max_attempts times in all.
+    """
+    done, left = [], rows
+    for attempt in range(1, max_attempts + 1):
+        failures = materialize(write(left).select("tenant_id", "external_id", F.col("failure").alias("failed")))
+        last = attempt == max_attempts
+        tried = left.select("tenant_id", "external_id").join(failures, ["tenant_id", "external_id"], "left").withColumn("tries", F.lit(attempt))
+        again = F.coalesce(F.col("failed") == "TRANSIENT", F.lit(False)) & F.lit(not last)
+        done.append(tried.where(~again))
+        left = left.join(failures.where("failed = 'TRANSIENT'").select("tenant_id", "external_id"), ["tenant_id", "external_id"], "left_semi")
+        if last or left.isEmpty():
+            return materialize(reduce(DataFrame.unionByName, done))
+    raise ValueError("max_attempts must be 1 or more")
+
+
+def after_writes(judged: DataFrame, written: DataFrame) -> DataFrame:
+    """Judged messages once their writes are done: those whose record couldn't be written go to the dead letters; tries counts claims."""
+    of_write = written.select(F.col("tenant_id").alias("_wt"), F.col("external_id").alias("_wc"), "tries", "failed")
+    joined = judged.join(of_write, (judged["outcome"] == "PROCESSED") & (judged["tenant_id"] == of_write["_wt"]) & (judged["candidate_id"] == of_write["_wc"]), "left")
+    lost = F.col("failed").isNotNull()
+    error = F.when(lost, F.concat(F.lit("target write failed ("), "failed", F.lit(")"))).otherwise(F.col("error"))
+    return joined.withColumn("error", error).withColumn("outcome", F.when(lost, "DLT").otherwise(F.col("outcome"))).withColumn("tries", F.coalesce("tries", F.lit(1))).drop("_wt", "_wc", "failed")
 
 
 def inbox_after(judged: DataFrame, inbox: DataFrame, now) -> DataFrame:
     """The inbox once a judged batch is in it; events of another identity and incomplete ones leave no row."""
     own = judged.where("complete and same_identity and outcome <> 'DUPLICATE'").groupBy("event_id").agg(
         F.first("tenant_id").alias("tenant_id"), F.first("candidate_id").alias("candidate_id"), F.min("occurred_at").alias("occurred_at"), F.max(F.coalesce("_attempts", F.lit(0))).alias("before"),
-        F.count(F.lit(1)).alias("claims"), F.bool_or(F.col("outcome") == "PROCESSED").alias("done"), F.max("error").alias("error"),
+        F.sum("tries").alias("claims"), F.bool_or(F.col("outcome") == "PROCESSED").alias("done"), F.max("error").alias("error"),
     )
     new = own.select("event_id", "tenant_id", "candidate_id", F.when(F.col("done"), "COMPLETED").otherwise("FAILED").alias("status"), (F.col("before") + F.col("claims")).cast("int").alias("attempts"), "occurred_at", F.when(~F.col("done"), truncate_error(F.col("error"))).alias("last_error"), now.alias("updated_at"))
     return inbox.join(new.select("event_id"), "event_id", "left_anti").select(*INBOX_STATE.names).unionByName(new)
@@ -73,28 +107,31 @@ def start_inbox(
     dead_letters: str,
     checkpoint: str,
     max_attempts: int = 3,
+    write: Callable[[DataFrame], DataFrame] | None = None,
 ):
-    """A query over a stream of key, value. read_source is called for each batch, so that records are as they are then."""
+    """A query over a stream of key, value. read_source is called for each batch, so that records are as they are then.
+
+    write: see write_with_retries; the upsert into target, which fails as a whole or not at all, if there is none.
+    """
+
+    def upsert_target(rows: DataFrame) -> DataFrame:
+        now = F.current_timestamp()
+        target.merge(rows, lambda held: upsert(rows, held, now).withColumn("id", F.coalesce("id", F.concat_ws(":", "tenant_id", "external_id"))))
+        return spark.createDataFrame([], "tenant_id string, external_id string, failure string")
 
     def batch(df: DataFrame, number: int) -> None:
-        df = df.persist()
-        try:
-            now = F.current_timestamp()
-            judged = judge_batch(df, inbox.read(), read_source(), max_attempts)
-            judged = judged.persist()
-            letters = judged.where("outcome = 'DLT'").select("key", "value", "error")
-            letters.write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
-            written = judged.where("outcome = 'PROCESSED'").select("tenant_id", F.col("candidate_id").alias("external_id"), "first_name", "last_name", "email").dropDuplicates(["tenant_id", "external_id"])
-            fresh = upsert(written, target.read(), now).withColumn("id", F.coalesce("id", F.concat_ws(":", "tenant_id", "external_id")))
-            target.commit(fresh)
-            inbox.commit(inbox_after(judged, inbox.read(), now))
-            judged.unpersist()
-        finally:
-            df.unpersist()
+        now = F.current_timestamp()
+        judged = materialize(judge_batch(df, inbox.read(), read_source()))
+        rows = judged.where("outcome = 'PROCESSED'").select("tenant_id", F.col("candidate_id").alias("external_id"), "first_name", "last_name", "email").dropDuplicates(["tenant_id", "external_id"])
+        written = write_with_retries(materialize(rows), write or upsert_target, max_attempts)
+        judged = materialize(after_writes(judged, written))
+        judged.where("outcome = 'DLT'").select("key", "value", "error").write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        seen = judged.where("complete and same_identity and outcome <> 'DUPLICATE'")
+        inbox.merge(seen.select("event_id").distinct(), lambda held: inbox_after(judged, held, now))
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def kafka_messages(spark: SparkSession, servers: str, topic: str = "candidate-changes") -> DataFrame:
-    """The production source: from the earliest offset, keys and values as they came. Needs the Kafka connector."""
-    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load().select(F.col("key").cast("string").alias("key"), "value")
+    """The production source: from the earliest offset, keys, values and their places as they came. Needs the Kafka connector."""
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load().select(F.col("key").cast("string").alias("key"), "value", "topic", "partition", "offset")
