@@ -168,14 +168,3 @@ def finish_run(runs: DataFrame, summary: DataFrame, owner: Column, as_of: Column
     done = {c: F.col(f"_{c}") for c in counts}
     out = _fenced(joined, mine, status=F.lit("COMPLETED"), lease_owner=F.lit(None), updated_at=as_of, completed_at=as_of, **done)
     return out.select(*runs.columns, "applied")
-
-
-def complete_run(runs: DataFrame, summary: DataFrame, owner: Column) -> DataFrame:
-    """Fenced completion of runs with their six counters; others keep theirs."""
-    joined = runs.join(summary, "run_id", "left")
-    held = F.coalesce((F.col("status") == "RUNNING") & (F.col("lease_owner") == owner), F.lit(False))
-    counts = [c for c in summary.columns if c != "run_id"]
-    return joined.select(
-        "run_id", F.when(held, "COMPLETED").otherwise(F.col("status")).alias("status"), F.when(~held, F.col("lease_owner")).alias("lease_owner"),
-        *[F.when(held, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast("long").alias(c) for c in counts],
-    )

@@ -157,20 +157,21 @@ def fingerprint_target(target):
     return reconcile.side(target)
 
 
+_RUN_COUNTS = ("source_count", "target_count", "matched_count", "missing_count", "unexpected_count", "mismatched_count")
 _DOCUMENT_RECORDS = """select doc_id, cast(doc_id as varchar(20)) as external_id,
-  case doc_id % 4 when 0 then substring(text, 1, 60) when 1 then '  ' || substring(text, 1, 40) || chr(9)
-       when 2 then 'Zoe' || chr(776) || substring(text, 1, 20) else chr(128512) || substring(text, 1, 20) || chr(8195) end as first_name,
+  case doc_id % 4 when 0 then text when 1 then '  ' || text || chr(9)
+       when 2 then 'Zoe' || chr(776) || text else chr(128512) || text || chr(8195) end as first_name,
   case when doc_id % 6 = 0 then chr(8195) when doc_id % 6 = 1 then null else lang end as last_name,
   case when doc_id % 5 = 0 then '' else source end as email
 from documents"""
 
 
 def _document_records(documents: DataFrame) -> DataFrame:
-    d, head = F.col("doc_id"), lambda n: F.substring("text", 1, n)
+    d, text = F.col("doc_id"), F.col("text")
     return documents.select(
         "doc_id",
         d.cast("string").alias("external_id"),
-        F.when(d % 4 == 0, head(60)).when(d % 4 == 1, F.concat(F.lit("  "), head(40), F.lit("\t"))).when(d % 4 == 2, F.concat(F.lit("Zoë"), head(20))).otherwise(F.concat(F.lit("\U0001f600"), head(20), F.lit(" "))).alias("first_name"),
+        F.when(d % 4 == 0, text).when(d % 4 == 1, F.concat(F.lit("  "), text, F.lit("\t"))).when(d % 4 == 2, F.concat(F.lit("Zoe\u0308"), text)).otherwise(F.concat(F.lit("\U0001f600"), text, F.lit("\u2003"))).alias("first_name"),
         F.when(d % 6 == 0, " ").when(d % 6 != 1, F.col("lang")).alias("last_name"),
         F.when(d % 5 == 0, "").otherwise(F.col("source")).alias("email"),
     )
@@ -242,16 +243,31 @@ def differences_by_result(source, target):
     _BOTH,
     _ITEMS
     + f""", sums as (select tenant_id as run_id, length(tenant_id) % 2 = 0 as live, {_COUNTS} from items group by tenant_id)
-select run_id, case when live then 'COMPLETED' else 'FAILED' end as status, cast(null as varchar) as lease_owner,
-       case when live then matched_count else 0 end as matched_count,
-       case when live then mismatched_count else 0 end as mismatched_count
+select run_id, case when live then 'COMPLETED' else 'FAILED' end as status, live as applied, cast(null as varchar) as lease_owner,
+       {", ".join(f"case when live then {c} else 0 end as {c}" for c in _RUN_COUNTS)}
 from sums""",
 )
 def run_complete(source, target):
     sums = reconcile.summarize(reconcile.items(source, target), "tenant_id").withColumnRenamed("tenant_id", "run_id")
     live = F.length("run_id") % 2 == 0
-    runs = sums.select("run_id", F.when(live, "RUNNING").otherwise("FAILED").alias("status"), F.when(live, "me").alias("lease_owner"))
-    return state.complete_run(runs, sums.select("run_id", "matched_count", "mismatched_count"), F.lit("me"))
+    at = F.lit(None).cast("timestamp_ntz")
+    runs = sums.select("run_id", F.when(live, "RUNNING").otherwise("FAILED").alias("status"), F.when(live, "me").alias("lease_owner"), at.alias("updated_at"), at.alias("completed_at"), *[F.lit(0).cast("long").alias(c) for c in _RUN_COUNTS])
+    return state.finish_run(runs, sums, F.lit("me"), _as_of()[0]).select("run_id", "status", "applied", "lease_owner", *_RUN_COUNTS)
+
+
+# Pages are read again: the target's every row twice, the source's first as it was before its last change.
+
+_TWICE = f"""with s0 as (select *, 1 as scan from target_candidate union all select tenant_id, external_id, first_name, last_name, email, 2 from source_candidate),
+s1 as (select * from (select *, row_number() over (partition by tenant_id, external_id order by scan desc) as n from s0) where n = 1),
+s as ({_fingerprint("s1")}), t as ({_fingerprint("target_candidate")}),
+"""
+
+
+@query(_BOTH, _TWICE + _ITEMS[_ITEMS.index("items as (") :] + f"select tenant_id, {_COUNTS} from items group by tenant_id")
+def reconcile_repeated_pages(source, target):
+    first = target.withColumn("scan", F.lit(1))
+    scanned = first.unionByName(source.select(*target.columns, F.lit(2).alias("scan")))
+    return reconcile.summarize(reconcile.items(scanned, first.unionByName(first), "scan"), "tenant_id")
 
 
 # Scans and writes
@@ -342,7 +358,7 @@ def run_response(jobs):
     return rules.run_response(jobs.withColumnRenamed("job_id", "run_id").withColumn("page_size", F.lit(100)).withColumn("lease_owner", F.lit("me")))
 
 
-_NEW = "select tenant_id, external_id, first_name, last_name, email from source_candidate where k % 2 = 0"
+_NEW = "select tenant_id, external_id, first_name, last_name, email from source_candidate"
 
 
 @query(
@@ -356,7 +372,7 @@ from target_candidate t where t.tenant_id = f.tenant_id and t.external_id = f.ex
 """,
 )
 def create_if_absent(source, target):
-    new = source.where("k % 2 = 0").select(*target.columns)
+    new = source.select(*target.columns)
     return migrate.create_if_absent(new, target)
 
 
@@ -372,7 +388,7 @@ full outer join target_candidate t on f.tenant_id = t.tenant_id and f.external_i
 """,
 )
 def upsert_target(source, target):
-    new = source.where("k % 2 = 0").select(*target.columns)
+    new = source.select(*target.columns)
     return migrate.upsert(new, target, F.expr(_SPARK_AS_OF))
 
 
@@ -657,6 +673,78 @@ def job_final(source, orders, jobs):
 
 # Change events
 
+# Fenced updates of jobs and runs that other workers may have taken: worker-1 acts on all of them.
+
+_OWNED = """jobs as (select job_id, tenant_id, status, updated_at, 'worker-' || cast(job_id // 5 % 2 as varchar) as lease_owner from migration_job),
+mine as (select *, status = 'RUNNING' and lease_owner = 'worker-1' as ok from jobs)"""
+_SUMS = ", ".join(f"coalesce(sum({c}), 0)::bigint as {c}" for c in migrate.COUNTERS)
+
+
+def _owned(jobs: DataFrame, progress: DataFrame | None = None) -> DataFrame:
+    """Jobs as they stand once progress (tenant_id, the counters) is recorded, or unread."""
+    owner = F.concat(F.lit("worker-"), F.floor(F.col("job_id") / 5) % 2)
+    out = jobs.withColumn("lease_owner", owner).withColumn("next_page", F.lit(0)).withColumn("last_error", F.lit(None).cast("string"))
+    if progress is None:
+        return out.withColumns({c: F.lit(0).cast("long") for c in migrate.COUNTERS})
+    sums = progress.groupBy("tenant_id").agg(*[F.sum(c).alias(c) for c in migrate.COUNTERS])
+    return out.join(sums, "tenant_id", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in migrate.COUNTERS})
+
+
+@query(
+    (*_MIGRATION, "migration_job"),
+    f"""{_RESULTS.rstrip()}, {_OWNED}
+select j.job_id, j.ok and p.tenant_id is not null as applied, case when j.ok and p.tenant_id is not null then 1 else 0 end as next_page,
+       {", ".join(f"case when j.ok then coalesce(p.{c}, 0) else 0 end as {c}" for c in migrate.COUNTERS)}
+from mine j left join progress p on j.tenant_id = p.tenant_id and p.page = 0
+""",
+)
+def job_record_page(source, orders, jobs):
+    progress = migrate.page_progress(_results(source, orders)).where("page = 0")
+    pages = progress.join(jobs.select("tenant_id", "job_id"), "tenant_id").withColumn("next_page", F.col("page") + 1)
+    return state.record_page(_owned(jobs), pages, F.lit("worker-1"), _as_of()[0]).select("job_id", "applied", "next_page", *migrate.COUNTERS)
+
+
+@query(
+    (*_MIGRATION, "migration_job"),
+    f"""{_RESULTS.rstrip()}, {_OWNED}, sums as (select tenant_id, {_SUMS} from progress group by tenant_id)
+select j.job_id, j.ok as applied, case when not j.ok then j.status when coalesce(s.failed, 0) > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status,
+       case when not j.ok then j.lease_owner end as lease_owner, coalesce(s.failed, 0) as failed
+from mine j left join sums s on j.tenant_id = s.tenant_id
+""",
+)
+def job_complete_fenced(source, orders, jobs):
+    held = _owned(jobs, migrate.page_progress(_results(source, orders)))
+    return state.complete_job(held, F.lit("worker-1"), _as_of()[0]).select("job_id", "applied", "status", "lease_owner", "failed")
+
+
+_LONG_ERROR = "repeat('x', 1200)"
+
+
+@query(
+    (*_MIGRATION, "migration_job"),
+    f"""{_RESULTS.rstrip()}, {_OWNED}, sums as (select tenant_id, {_SUMS} from progress group by tenant_id)
+select j.job_id, j.ok as applied, case when j.ok then 'FAILED' else j.status end as status, case when j.ok then repeat('x', 1000) end as last_error,
+       coalesce(s.processed, 0) as processed
+from mine j left join sums s on j.tenant_id = s.tenant_id
+""",
+)
+def job_fail_fenced(source, orders, jobs):
+    held = _owned(jobs, migrate.page_progress(_results(source, orders)))
+    return state.fail_job(held, F.lit("worker-1"), F.expr(_LONG_ERROR), _as_of()[0]).select("job_id", "applied", "status", "last_error", "processed")
+
+
+@query(
+    ("migration_job",),
+    f"""with {_OWNED}
+select job_id as run_id, ok as applied, case when ok then 'FAILED' else status end as status, case when ok then 'reconciliation failed' end as last_error,
+       case when ok then {AS_OF} else updated_at end as updated_at from mine
+""",
+)
+def run_fail_fenced(jobs):
+    runs = _owned(jobs).withColumnRenamed("job_id", "run_id")
+    return state.fail_run(runs, F.lit("worker-1"), F.lit("reconciliation failed"), _as_of()[0]).select("run_id", "applied", "status", "last_error", "updated_at")
+
+
 _DELTA = f"""with complete as (
   select *, event_id is not null and occurred_at is not null and not {_blank("tenant_id")} and not {_blank("candidate_id")} as complete from change_event),
 ranked as (
@@ -816,7 +904,7 @@ def classify_http_failures(calls):
     ("call_log",),
     f"""
 select call_seq, {_TYPE} as failure_type, case when http_status is null then 'TRANSPORT_ERROR' else 'HTTP_RESPONSE' end as failure_kind, system_name || ' call failed (' || {_TYPE} || ', ' ||
-case when http_status is null then 'TRANSPORT_ERROR' else 'HTTP ' || http_status end || ')' as message
+case when http_status is null then 'transport error' else 'HTTP ' || http_status end || ')' as message
 from call_log where http_status is null or http_status >= 400
 """,
 )
