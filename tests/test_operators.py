@@ -182,3 +182,40 @@ def test_window_rates_do_not_depend_on_blocks(spark):
     calls = spark.createDataFrame(rows, "call_seq long, system_name string, http_status int").repartition(5)
     whole = sorted(map(tuple, resilience.window_rate(calls).collect()))
     assert sorted(map(tuple, resilience.window_rate(calls, block=15).collect())) == whole and len(whole) == 200
+
+
+def plain_breaker(calls, window=10, least=5, percent=50, wait=30, trials=2):
+    """The rules of a breaker told from its whole past at each call: the time it last opened, and what was let through since."""
+    out, past = [], []  # past: (at, failed, phase) of calls that were let through
+    opened, closed_from, half_from = None, 0, None
+    for at, failed in calls:
+        if opened is not None and half_from is None and at - opened >= wait:
+            half_from = len(past)
+        phase = "HALF_OPEN" if half_from is not None else "OPEN" if opened is not None else "CLOSED"
+        out.append((phase, phase != "OPEN"))
+        if phase == "OPEN":
+            continue
+        past.append(failed)
+        seen = past[half_from:] if phase == "HALF_OPEN" else past[closed_from:][-window:]
+        if len(seen) < (trials if phase == "HALF_OPEN" else least):
+            continue
+        if 100 * sum(seen) >= percent * len(seen):
+            opened, half_from = at, None
+            closed_from = len(past)
+        elif phase == "HALF_OPEN":
+            opened, half_from, closed_from = None, None, len(past)
+    return out
+
+
+def test_breaker_equals_an_independent_version():
+    import random
+
+    from tidemark.operators.resilience import Breaker
+
+    for seed in range(60):
+        rng, at, calls = random.Random(seed), 0.0, []
+        for _ in range(300):
+            at += rng.choice([0.1, 1, 5, 31])
+            calls.append((at, rng.random() < rng.choice([0.1, 0.5, 0.9])))
+        machine = Breaker()
+        assert [machine.call(*c) for c in calls] == plain_breaker(calls)

@@ -6,25 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import is_blank, partition_key
-from tidemark.operators.rules import event_complete
+from tidemark.operators.rules import event_complete, same_identity
 
 PERMANENT = ("INCOMPLETE_EVENT", "REUSED_EVENT_ID", "SOURCE_NOT_FOUND", "SOURCE_IDENTITY", "INVALID_RECORD")
 
 
 def with_identity(deliveries: DataFrame) -> DataFrame:
-    """complete, rank (among the complete deliveries of an id) and whether the identity is that of the first of them."""
+    """complete, rank (among the complete deliveries of an id) and whether the identity is that of the first of them.
+
+    Incomplete deliveries, which may share a null id, are not ranked: no task holds them all.
+    """
     ok = event_complete(F.col("event_id"), F.col("tenant_id"), F.col("candidate_id"), F.col("occurred_at"))
-    w = Window.partitionBy("event_id", "complete").orderBy("delivery_no")
+    marked = deliveries.withColumn("complete", F.coalesce(ok, F.lit(False)))
+    w = Window.partitionBy("event_id").orderBy("delivery_no")
     first = F.first(F.struct("tenant_id", "candidate_id")).over(w)
-    out = deliveries.withColumn("complete", ok).withColumn("rank", F.row_number().over(w)).withColumn("_first", first)
-    return out.withColumn("same_identity", F.struct("tenant_id", "candidate_id").eqNullSafe(F.col("_first"))).drop("_first")
+    whole = marked.where("complete").withColumn("rank", F.row_number().over(w)).withColumn("_first", first)
+    whole = whole.withColumn("same_identity", same_identity(F.col("tenant_id"), F.col("candidate_id"), F.col("_first.tenant_id"), F.col("_first.candidate_id"))).drop("_first")
+    broken = marked.where("not complete").withColumn("rank", F.lit(None).cast("int")).withColumn("same_identity", F.lit(False))
+    return whole.unionByName(broken)
 
 
 def lookup_source(events: DataFrame, source: DataFrame) -> DataFrame:
-    """Events with the current state of their record; found is false where there is none."""
-    now = source.select(F.col("tenant_id").alias("source_tenant"), F.col("external_id").alias("source_id"), "first_name", "last_name", "email", F.lit(True).alias("found"))
+    """Events with the current state of their record; found is false where there is none.
+
+    source may hold what was asked for (asked_tenant, asked_id) beside the ids of the record that came; own_identity tells
+    whether these are the event's.
+    """
+    asked = [F.col(a if a in source.columns else c) for a, c in (("asked_tenant", "tenant_id"), ("asked_id", "external_id"))]
+    own = [F.col("tenant_id").alias("own_tenant"), F.col("external_id").alias("own_id")]
+    now = source.select(asked[0].alias("source_tenant"), asked[1].alias("source_id"), *own, "first_name", "last_name", "email", F.lit(True).alias("found"))
     on = (events["tenant_id"] == now["source_tenant"]) & (events["candidate_id"] == now["source_id"])
-    return events.join(now, on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    same = same_identity(F.col("tenant_id"), F.col("candidate_id"), F.col("own_tenant"), F.col("own_id"))
+    return events.join(now, on, "left").withColumn("found", F.coalesce("found", F.lit(False))).withColumn("own_identity", same).drop("own_tenant", "own_id")
 
 
 def outcomes(deliveries: DataFrame, source: DataFrame) -> DataFrame:
@@ -37,6 +50,7 @@ def outcomes(deliveries: DataFrame, source: DataFrame) -> DataFrame:
         F.when(~F.col("complete"), "INCOMPLETE_EVENT")
         .when(~F.col("same_identity"), "REUSED_EVENT_ID")
         .when(~F.col("found"), "SOURCE_NOT_FOUND")
+        .when(~F.col("own_identity"), "SOURCE_IDENTITY")
         .when(is_blank(F.col("email")), "INVALID_RECORD")
     )
     judged = seen.withColumn("reason", reason)

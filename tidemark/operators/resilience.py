@@ -107,24 +107,31 @@ class Breaker:
         self.last: deque[bool] = deque(maxlen=window)
         self.trial: list[bool] = []
 
-    def call(self, at_s: float, failed: bool) -> tuple[str, bool]:
-        """The state in which a call is made, and whether it is let through."""
+    def admit(self, at_s: float) -> bool:
+        """Whether a call may be made now; an open breaker lets some through once it has waited."""
         if self.state == "OPEN" and at_s - self.opened_at >= self.wait_s:
             self.state, self.trial = "HALF_OPEN", []
-        state = self.state
-        if state == "OPEN":
-            return state, False
-        outcomes = self.trial if state == "HALF_OPEN" else self.last
+        return self.state != "OPEN"
+
+    def record(self, at_s: float, failed: bool) -> None:
+        """The outcome of a call that was let through."""
+        outcomes = self.trial if self.state == "HALF_OPEN" else self.last
         outcomes.append(failed)
-        enough = self.trials if state == "HALF_OPEN" else self.least
+        enough = self.trials if self.state == "HALF_OPEN" else self.least
         if len(outcomes) >= enough:
             if 100 * sum(outcomes) / len(outcomes) >= self.percent:
                 self.state, self.opened_at = "OPEN", at_s
                 self.last.clear()
-            elif state == "HALF_OPEN":
+            elif self.state == "HALF_OPEN":
                 self.state = "CLOSED"
                 self.last.clear()
-        return state, True
+
+    def call(self, at_s: float, failed: bool) -> tuple[str, bool]:
+        """The state in which a call is made, and whether it is let through."""
+        admitted, state = self.admit(at_s), self.state
+        if admitted:
+            self.record(at_s, failed)
+        return state, admitted
 
 
 def breaker_states(calls: DataFrame, **settings: float) -> DataFrame:

@@ -767,6 +767,20 @@ def delta_outcomes(events, source):
     return delta.outcomes(events, source).select("event_id", "delivery_no", "outcome", "reason")
 
 
+@query(
+    _EVENTS,
+    _DELTA
+    + """, answers as (select tenant_id, external_id, case when k % 211 = 0 then 'tenant-other' else tenant_id end as own_tenant from source_candidate)
+select o.event_id, o.delivery_no, case when o.reason in ('INCOMPLETE_EVENT', 'REUSED_EVENT_ID', 'SOURCE_NOT_FOUND') then o.reason
+       when a.own_tenant <> o.tenant_id then 'SOURCE_IDENTITY' else o.reason end as reason
+from outcomes o left join answers a on o.tenant_id = a.tenant_id and o.candidate_id = a.external_id""",
+)
+def delta_source_identity(events, source):
+    """Every 211th answer of the source is of another tenant than the one that was asked for."""
+    answers = source.withColumn("asked_tenant", F.col("tenant_id")).withColumn("tenant_id", F.when(F.col("k") % 211 == 0, "tenant-other").otherwise(F.col("tenant_id")))
+    return delta.outcomes(events, answers).select("event_id", "delivery_no", "reason")
+
+
 @query(_EVENTS, _DELTA + "select event_id, delivery_no from outcomes where outcome = 'PROCESSED'")
 def delta_dedupe_inbox(events, source):
     return delta.outcomes(events, source).where("outcome = 'PROCESSED'").select("event_id", "delivery_no")

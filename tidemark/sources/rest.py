@@ -1,7 +1,10 @@
-"""A Spark data source over a paged HTTP endpoint: one input partition a page, transient failures tried again.
+"""A Spark data source over a paged HTTP endpoint, and a read by key: transient failures tried again, behind a breaker.
 
-Options: url (with {page} and {size}), pages, size. An endpoint answers {"items": [...], "hasNext": bool}; unknown
-properties are ignored, missing items are an empty page. Errors name the operation and the class, never a body.
+Options: url (with {page} and {size}), size, readers. An endpoint answers {"items": [...], "hasNext": bool}; unknown
+properties are ignored, missing items are an empty page. How many pages there are need not be known: each of the readers
+is an input partition that reads every readers-th page until one is empty or says that none follows, so that the first
+of them together read all pages and each one page beyond the end at most. Errors name the operation and the class, never
+a body.
 """
 
 from __future__ import annotations
@@ -10,58 +13,104 @@ import json
 import time
 import urllib.error
 import urllib.request
+from collections.abc import Callable
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from tidemark.model import TRANSIENT_STATUSES
+from tidemark.operators.resilience import Breaker
 from tidemark.operators.rules import check_page
 
 
 class CallError(RuntimeError):
-    def __init__(self, operation: str, kind: str, detail: str):
-        super().__init__(f"{operation} failed ({kind}, {detail})")
-        self.kind = kind
-
-
-def fetch_page(url: str, attempts: int = 3, initial_s: float = 0.2, timeout_s: float = 3.0) -> dict:
-    """The decoded page; only transient failures are tried again, with doubled waits of at most 2 s."""
-    error: CallError | None = None
+    """type: TRANSIENT or PERMANENT; kind: see operators.resilience.failure_kind."""
+
+    def __init__(self, operation: str, type_: str, kind: str, detail: str):
+        super().__init__(operation, type_, kind, detail)  # all arguments, so that it can be pickled
+        self.type, self.kind, self.message = type_, kind, f"{operation} failed ({type_}, {detail})"
+
+    def __str__(self) -> str:
+        return self.message
+
+
+def _once(operation: str, url: str, timeout_s: float) -> dict:
+    try:
+        with urllib.request.urlopen(url, timeout=timeout_s) as answer:
+            body = json.loads(answer.read())
+    except urllib.error.HTTPError as e:
+        raise CallError(operation, "TRANSIENT" if e.code in TRANSIENT_STATUSES else "PERMANENT", "HTTP_RESPONSE", f"HTTP {e.code}") from None
+    except ValueError:
+        raise CallError(operation, "PERMANENT", "INVALID_RESPONSE", "invalid response") from None
+    except OSError as e:
+        if isinstance(getattr(e, "reason", e), TimeoutError):
+            raise CallError(operation, "TRANSIENT", "TIMEOUT", "timeout") from None
+        raise CallError(operation, "TRANSIENT", "TRANSPORT_ERROR", "transport error") from None
+    if not isinstance(body, dict):  # null counts as an empty body
+        raise CallError(operation, "PERMANENT", "INVALID_RESPONSE", "invalid response")
+    return body
+
+
+def call(operation: str, url: str, breaker: Breaker | None = None, attempts: int = 3, initial_s: float = 0.2, timeout_s: float = 3.0, clock: Callable[[], float] = time.monotonic) -> dict:
+    """The decoded answer; only transient failures are tried again, with doubled waits of at most 2 s.
+
+    The breaker sees every attempt; only transient failures count as failures. A call that it refuses is not made and not
+    tried again.
+    """
     for attempt in range(attempts):
         if attempt:
             time.sleep(min(initial_s * 2 ** (attempt - 1), 2.0))
+        if breaker and not breaker.admit(clock()):
+            raise CallError(operation, "TRANSIENT", "CIRCUIT_OPEN", "circuit breaker open")
         try:
-            with urllib.request.urlopen(url, timeout=timeout_s) as answer:
-                return json.loads(answer.read())
-        except urllib.error.HTTPError as e:
-            error = CallError("page read", "TRANSIENT" if e.code in TRANSIENT_STATUSES else "PERMANENT", f"HTTP {e.code}")
-        except ValueError:
-            error = CallError("page read", "PERMANENT", "INVALID_RESPONSE")
-        except OSError:
-            error = CallError("page read", "TRANSIENT", "TRANSPORT_ERROR")
-        if error.kind == "PERMANENT":
-            break
-    raise error from None
+            body = _once(operation, url, timeout_s)
+        except CallError as error:
+            if breaker:
+                breaker.record(clock(), error.type == "TRANSIENT")
+            if error.type == "PERMANENT" or attempt == attempts - 1:
+                raise
+        else:
+            if breaker:
+                breaker.record(clock(), False)
+            return body
+    raise ValueError("attempts must be 1 or more")
+
+
+def fetch_page(url: str, breaker: Breaker | None = None, **settings: float) -> dict:
+    return call("page read", url, breaker, **settings)
 
 
-class _Page(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+def fetch_record(url: str, breaker: Breaker | None = None, **settings: float) -> dict:
+    """One record by its address; an empty body is an error, as is a missing record."""
+    return call("record read", url, breaker, **settings)
+
+
+class _Pages(InputPartition):
+    """The pages first, first + step, ..."""
+
+    def __init__(self, first: int, step: int):
+        self.first, self.step = first, step
 
 
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names = schema.names
-        self.url, self.pages, self.size = options["url"], int(options["pages"]), int(options.get("size", 100))
+        self.url, self.size, self.readers = options["url"], int(options.get("size", 100)), int(options.get("readers", 8))
         check_page(0, self.size)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Page(i) for i in range(self.pages)]
-
-    def read(self, partition: _Page):
-        page = fetch_page(self.url.format(page=partition.number, size=self.size))
-        for item in page.get("items") or []:
-            yield tuple(item.get(n) for n in self.names)
+        return [_Pages(i, self.readers) for i in range(self.readers)]
+
+    def read(self, partition: _Pages):
+        breaker, number = Breaker(), partition.first
+        while True:
+            page = fetch_page(self.url.format(page=number, size=self.size), breaker)
+            items = page.get("items") or []
+            for item in items:
+                yield tuple(item.get(n) for n in self.names)
+            if not items or not page.get("hasNext"):
+                return
+            number += partition.step
 
 
 class PagedHttpSource(DataSource):
