@@ -431,20 +431,35 @@ def brute_scores(rows):
     return out
 
 
-@pytest.mark.parametrize("shard_words", [4_000_000, 3000])
-def test_lm_scores_equal_brute_force(small, small_rows, shard_words):
-    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score(small, shard_words).collect()}
-    want = brute_scores(small_rows)
-    assert got.keys() == want.keys()
-    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], rel=1e-4, abs=0.01) for i in want)
+def same_scores(got, rows):
+    want = {i: (n, pytest.approx(s, abs=0.00051 + 1e-8 * n)) for i, (n, s) in brute_scores(rows).items()}
+    assert {r.doc_id: (r.n_words, r.score) for r in got} == want
+
+
+@pytest.mark.parametrize("shard_words,parts,hot", [(4_000_000, 8192, 65_000), (3000, 8192, 65_000), (3000, 3, 200), (300, 5, 20)])
+def test_lm_scores_equal_brute_force(small, small_rows, monkeypatch, shard_words, parts, hot):
+    """Also with several shards a task, and with few or many frequent words."""
+    monkeypatch.setattr(lm_score, "PARTS", parts)
+    monkeypatch.setattr(lm_score, "HOT", hot)
+    same_scores(lm_score.score(small, shard_words).collect(), small_rows)
 
 
 def test_lm_scores_with_hot_words_and_bigrams(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["hot pair", "hot pair", "hot", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(1, 60)))) for i in range(400)]
-    got = {r.doc_id: (r.n_words, r.score) for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), 500).collect()}
-    want = brute_scores(rows)
-    assert all(got[i][0] == want[i][0] and got[i][1] == pytest.approx(want[i][1], rel=1e-4, abs=0.01) for i in want)
+    scores = []
+    for parts, shard_words in ((1, 500), (7, 300), (30, 10_000)):
+        got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), shard_words).collect()
+        same_scores(got, rows)
+        scores.append({r.doc_id: (r.score, r.mean_score) for r in got})
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_codes_survive_packing():
+    rng = np.random.default_rng(4)
+    code = np.where(rng.random(1003) < 0.6, rng.integers(0, 65_001, 1003, dtype=np.uint64), rng.integers(0, 2**63, 1003, dtype=np.uint64) | lm_score._RARE)
+    for n in (0, 1, 8, 1003):
+        assert np.array_equal(lm_score._unpack_codes(lm_score._pack_codes(code[:n]), n), code[:n])
 
 
 def test_lm_scores_odd_cases(odd, nothing):
