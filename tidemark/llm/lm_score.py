@@ -259,13 +259,21 @@ def _score_pairs(shared):
             order = np.argsort(part, kind="stable")
             columns = (np.frombuffer(ords, "<u2" if len(ids) < 1 << 16 else "<u4"), first, _unpack_codes(second, n), np.frombuffer(own, "<u4"))
             held.append((ids, *(c[order] for c in columns), np.searchsorted(part[order], np.arange(slices + 1))))
+        sums = []
         for k in range(slices):
             cut = [(ids[ords[c[k] : c[k + 1]]], *(x[c[k] : c[k + 1]] for x in (first, second, own))) for ids, ords, first, second, own, c in held]
             doc, first, second, own = (np.concatenate(x) for x in zip(*cut))
-            if len(first) and (out := solve_slice(model, shard, doc, first, second, own.astype(np.int64))):
-                yield _batch(out)
-
-    def solve_slice(model: Model, shard: int, doc: np.ndarray, first: np.ndarray, second: np.ndarray, own: np.ndarray) -> list[tuple]:
+            if len(first):
+                known, rest = solve_slice(model, doc, first, second, own.astype(np.int64))
+                sums.append(known)
+                if rest:
+                    yield _batch(rest)
+        if sums:  # of the whole shard: a document has few bigrams in a slice
+            names, values = _sums(*(np.concatenate(x) for x in zip(*sums)))
+            yield _batch([(shard // model.runs, 2, names.tobytes(), b"", b"", b"", values.astype("<i8").tobytes())])
+
+    def solve_slice(model: Model, doc: np.ndarray, first: np.ndarray, second: np.ndarray, own: np.ndarray) -> tuple[tuple, list[tuple]]:
+        """Documents with what their bigrams add, and rows of those that need the count of their second word."""
         order = np.lexsort((second, first))
         doc, second, own, first = doc[order], second[order], own[order], first[order]
         by_first = runs(first)
@@ -284,16 +292,11 @@ def _score_pairs(shared):
         quick = unigram > 0
         value[quick] = model.logs(own[quick], ALPHA * unigram[quick] / model.total)
         done = held | quick
-        out = []
-        if done.any():
-            names, sums = _sums(doc[done], value[done])
-            out.append((shard // model.runs, 2, names.tobytes(), b"", b"", b"", sums.astype("<i8").tobytes()))
+        known = _sums(doc[done], value[done])
         rest = ~done & (second != END)
         doc, second, own = doc[rest], second[rest], own[rest]
-        if len(doc):
-            ids, ordinal = np.unique(doc, return_inverse=True)
-            out += _packed(1, model.of_word(second), ordinal, None, second, ids, model.runs, own)
-        return out
+        ids, ordinal = np.unique(doc, return_inverse=True)
+        return known, _packed(1, model.of_word(second), ordinal, None, second, ids, model.runs, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, rows = -1, []
