@@ -3,15 +3,17 @@
 Every document is cut into blocks of BLOCK words, which are indexed; every window of BLOCK words, at any position, is a
 probe. A run of 2 * BLOCK - 1 words or more always contains a whole block of the document that holds it, so a repeat of
 WINDOW words gives a hit. Index and probes meet in shards of their hashes. Each hit is then extended: the windows of
-WINDOW words around it, on both sides of the match, are compared by a 64-bit hash of all their words, in the order of
-doc_id, so that a window is marked if a smaller document starts it, too. Adjoining marked windows are the maximal
+WINDOW words around it, on both sides of the match, are compared by two 64-bit hashes of all their words, in the order
+of doc_id, so that a window is marked if a smaller document starts it, too. Adjoining marked windows are the maximal
 repeats. No pairs are made: a block or passage of a million documents costs a probe or window for each of them. Both
-rounds stream through a shard in sorted order and hold only its distinct blocks or windows. (Two of n windows of
-different words are taken for equal with a chance of n**2 / 2**65.)
+rounds stream through a shard in sorted order and hold only its distinct blocks or windows; beyond PARTS shards a task
+works through several of them, so that packed rows stay long and a task's memory doesn't grow. (Among n windows, two of
+different words are taken for equal with a chance of n**2 / 2**129: 1e-11 for 1e14 windows.)
 
 Defined results: a null text has no words; documents of fewer than WINDOW words lose none; a repeat within one document
-or between rows of one doc_id is left; a null doc_id neither loses words nor takes any from others; an empty table gives
-an empty result; further columns are left alone.
+or between rows of one doc_id is left; a null doc_id neither loses words nor takes any from others; a very long text is
+a part of its own, held as arrays of its words' hashes; an empty table gives an empty result; further columns are left
+alone.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ KEY = 5
 _LOW = np.uint64((1 << 8 * KEY) - 1)
 #: Entries of a shard that are compared at once, and text that a shard stands for. A task holds the distinct blocks or
 #: windows of a shard; each document with repeats has a row for each shard they fall into.
-CHUNK, SHARD_BYTES = 500_000, 48 << 20
+CHUNK, SHARD_BYTES, PARTS = 500_000, 48 << 20, 8192
+_ANCHORS = "shard int, kind int, docs binary, lens binary, keys binary"
+_WINDOWS = "shard int, win_id long, hashes binary, positions binary"
 
 
 def _spans(sizes: np.ndarray) -> np.ndarray:
@@ -40,6 +44,59 @@ def _spans(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, kinds = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(zip(*rows), kinds)], names=list(names))
+
+
+def _anchor_rows(kind: int, shard: np.ndarray, doc: np.ndarray, key: np.ndarray, ids: np.ndarray) -> list[tuple]:
+    """A row for each run of equal shards; doc holds ordinals in ids, in runs."""
+    rows = []
+    bounds = np.r_[runs(shard), len(shard)]
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        first = runs(doc[a:b])
+        rows.append((int(shard[a]), kind, ids[doc[a:b][first]].tobytes(), np.diff(np.r_[first, b - a]).astype("<u4").tobytes(), pack(key[a:b], KEY)))
+    return rows
+
+
+def _among(key: np.ndarray, together: int) -> np.ndarray:
+    """Which of the shards of a task a key belongs to."""
+    return (mixed(key) % np.uint64(together)).astype(np.int64)
+
+
+def _anchors_apart(together: int):
+    """Packed rows of a task to rows of its shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, kind, docs, lens, raw in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                ids, key = np.frombuffer(docs, np.int64), unpack(raw, KEY)
+                doc, shard = np.repeat(np.arange(len(ids)), np.frombuffer(lens, "<u4")), part * together + _among(key, together)
+                order = np.argsort(shard, kind="stable")
+                yield _batch(_anchor_rows(kind, shard[order], doc[order], key[order], ids), _ANCHORS)
+
+    return run
+
+
+def _windows_apart(together: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, doc_id, hashes, positions in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                full, at = np.frombuffer(hashes, np.uint64).reshape(2, -1), np.frombuffer(positions, "<u4")
+                yield _batch(_window_rows(part * together + _among(full[0], together), doc_id, full, at), _WINDOWS)
+
+    return run
+
+
+def _window_rows(shard: np.ndarray, doc_id: int, full: np.ndarray, at: np.ndarray) -> list[tuple]:
+    """A row for each shard of a document's windows: both hashes of each, and where they start."""
+    order = np.argsort(shard, kind="stable")
+    shard, full, at = shard[order], full[:, order], at[order].astype("<u4")
+    bounds = np.r_[runs(shard), len(shard)]
+    return [(int(shard[a]), doc_id, full[:, a:b].tobytes(), at[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+
+
 def _anchors(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed rows (shard, kind, docs, lens, keys): 0 blocks, 1 probes, 2 blocks once more, to learn who probed them."""
@@ -57,20 +114,19 @@ def _anchors(shards: int):
             for kind, chosen in ((1, order), (0, order[at[order] % BLOCK == 0])):
                 s, d, k = shard[chosen], doc[chosen], key[chosen]
                 fresh = np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (k[1:] != k[:-1])] if len(s) else np.zeros(0, bool)
-                s, d, k = s[fresh], d[fresh], k[fresh]
-                bounds = np.r_[runs(s), len(s)]
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    first = runs(d[a:b])
-                    row = (int(s[a]), ids[d[a:b][first]].tobytes(), np.diff(np.r_[first, b - a]).astype("<u4").tobytes(), pack(k[a:b], KEY))
-                    rows += [(row[0], kind, *row[1:])] + ([(row[0], 2, *row[1:])] if kind == 0 else [])
+                packed = _anchor_rows(kind, s[fresh], d[fresh], k[fresh], ids)
+                rows += packed + ([(r[0], 2, *r[2:]) for r in packed] if kind == 0 else [])
             if rows:
-                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "kind", "docs", "lens", "keys"])
+                yield _batch(rows, _ANCHORS)
 
     return run
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hits(together: int):
+    return lambda batches: _hits_of(batches, together)
+
+
+def _hits_of(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
     """From packed rows sorted by shard and kind to (doc_id, keys with their shard) of probes that hit smaller documents and of blocks hit by larger ones."""
     shard, held, keys, low, high = -1, [], None, None, None
     for batch in batches:
@@ -98,7 +154,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 known &= high[found] > doc
             if known.any():
-                hit_doc, hit_key = doc[known], (key[known] | (np.uint64(s) << np.uint64(8 * KEY)))
+                hit_doc, hit_key = doc[known], (key[known] | (np.uint64(s // together) << np.uint64(8 * KEY)))
                 bounds = np.r_[runs(hit_doc), len(hit_doc)]
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     out_docs.append(int(hit_doc[a]))
@@ -137,14 +193,9 @@ def _windows(shards: int):
                 if not len(at):
                     continue
                 power = np.uint64(pow(int(MUL), BLOCK, 1 << 64))
-                full = mixed(half[at] * power + half[at + BLOCK] + np.uint64(1))
-                shard = shard_of(full, shards)
-                order = np.argsort(shard, kind="stable")
-                shard, full, at = shard[order], full[order], at[order]
-                bounds = np.r_[runs(shard), len(shard)]
-                rows = [(int(shard[a]), doc_id, full[a:b].tobytes(), at[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
-                types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "win_id", "hashes", "positions"])
+                again = rolling(hashed([words(text.as_py())], 1)[0], BLOCK)
+                full = np.array([mixed(x[at] * power + x[at + BLOCK] + np.uint64(1)) for x in (half, again)])
+                yield _batch(_window_rows(shard_of(full[0], shards), doc_id, full, at), _WINDOWS)
 
     return run
 
@@ -153,9 +204,10 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From window rows sorted by shard and document to (lost_id, positions) of windows that a smaller document has."""
 
     def judge(rows: list[tuple], seen: np.ndarray) -> tuple[pa.RecordBatch | None, np.ndarray]:
-        full = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
+        # Both hashes of a window as 16 bytes, which sort as one value.
+        full = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(2, -1).T for r in rows]).astype(">u8").reshape(-1).view("S16")
         at = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
-        doc = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) // 8 for r in rows])
+        doc = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[2]) // 4 for r in rows])
         distinct, first, inverse = np.unique(full, return_index=True, return_inverse=True)  # the first holder is the smallest
         known = np.zeros(len(distinct), bool)
         if len(seen):
@@ -169,7 +221,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = pa.RecordBatch.from_arrays([pa.array(d[bounds[:-1]]), pa.array(lists, pa.binary())], names=["lost_id", "positions"])
         return out, np.union1d(seen, distinct[~known]) if not known.all() else seen
 
-    shard, rows, load, seen = -1, [], 0, np.zeros(0, np.uint64)
+    shard, rows, load, seen = -1, [], 0, np.zeros(0, "S16")
     for batch in batches:
         for s, doc, full, at in zip(*(batch.column(i).to_pylist() for i in range(4))):
             # A chunk ends between documents: later rows of a document must not meet their own windows in seen.
@@ -179,7 +231,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield out
                 rows, load = [], 0
             if s != shard:
-                shard, seen = s, np.zeros(0, np.uint64)
+                shard, seen = s, np.zeros(0, "S16")
             rows.append((doc, full, at))
             load += len(at) // 4
     if rows:
@@ -230,13 +282,21 @@ def _judged(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // SHARD_BYTES)
-    packed = texts.where("doc_id is not null").mapInArrow(_anchors(shards), "shard int, kind int, docs binary, lens binary, keys binary")
-    hits = packed.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_hits, "hit_id long, keys binary")
+    parts_ = min(shards, PARTS)
+    together = -(-shards // parts_)
+
+    def meet(rows: DataFrame, apart, schema: str, *order: str) -> DataFrame:
+        """Rows in the task of their shards; where that has several, rows of one shard each."""
+        rows = rows.repartitionById(parts_, "shard")
+        return (rows if together == 1 else rows.mapInArrow(apart(together), schema)).sortWithinPartitions("shard", *order)
+
+    packed = texts.where("doc_id is not null").mapInArrow(_anchors(parts_), _ANCHORS)
+    hits = meet(packed, _anchors_apart, _ANCHORS, "kind").mapInArrow(_hits(together), "hit_id long, keys binary")
     hits = hits.groupBy("hit_id").agg(F.collect_list("keys").alias("lists"))
     # Both joins read the same exchange of the texts.
     near = texts.join(hits, texts["doc_id"] == hits["hit_id"], "left").select("doc_id", "text", "lists")
-    windows = near.mapInArrow(_windows(shards), "shard int, win_id long, hashes binary, positions binary")
-    lost = windows.repartitionById(shards, "shard").sortWithinPartitions("shard", "win_id").mapInArrow(_marked, "lost_id long, positions binary")
+    windows = near.mapInArrow(_windows(parts_), _WINDOWS)
+    lost = meet(windows, _windows_apart, _WINDOWS, "win_id").mapInArrow(_marked, "lost_id long, positions binary")
     lost = lost.groupBy("lost_id").agg(F.collect_list("positions").alias("lists"))
     return texts.join(lost, texts["doc_id"] == lost["lost_id"], "left").select("doc_id", "text", "lists")
 

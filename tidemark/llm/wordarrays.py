@@ -7,7 +7,7 @@ their input and shard, with the entries as bytes of a few columns; Spark partiti
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +22,12 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def hashed(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def hashed(lists: list[list[bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of all words, and the number of words of each list."""
     import xxhash
 
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lists)), np.uint64, int(sizes.sum())), sizes
+    return np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(lists), repeat(seed)), np.uint64, int(sizes.sum())), sizes
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
