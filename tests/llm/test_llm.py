@@ -407,6 +407,27 @@ def test_substring_dedup_at_every_offset(spark):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("shard_bytes,parts", [(2000, 8192), (2000, 3), (500, 16)])
+def test_substring_dedup_with_many_shards(small, small_rows, monkeypatch, shard_bytes, parts):
+    """Hundreds of shards, also several to a task."""
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(substring_dedup, "PARTS", parts)
+    small = small.limit(150)
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.repeat_report(small).collect()}
+    assert got == brute_repeats(rows)
+
+
+def test_windows_that_share_a_hash_are_told_apart_by_the_other():
+    import pyarrow as pa
+
+    hashes = lambda *pairs: np.array(pairs, np.uint64).T.tobytes()
+    rows = [(0, 1, hashes((7, 1), (8, 1)), np.array([0, 1], "<u4").tobytes()), (0, 2, hashes((7, 2), (8, 1), (0, 0)), np.array([5, 6, 7], "<u4").tobytes()), (0, 3, hashes((0, 256), (0, 0)), np.array([1, 2], "<u4").tobytes())]
+    batch = substring_dedup._batch(rows, substring_dedup._WINDOWS)
+    got = {i: np.frombuffer(p, "<u4").tolist() for b in substring_dedup._marked(iter([batch])) for i, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert got == {2: [6], 3: [2]} and isinstance(batch, pa.RecordBatch)
+
+
 def test_substring_dedup_of_a_passage_in_every_document(spark):
     base = " ".join(f"h{i}" for i in range(70))
     rows = [(i, f"{base} own{i} " + ("Is onhe. " * 60 if i % 3 else "") + base) for i in range(150)]
