@@ -350,6 +350,34 @@ def test_quality_accuracy(spark, odd, nothing):
     assert quality.quality_report(spark, nothing, some).count() == 0
 
 
+def test_the_folded_score_is_that_of_the_network():
+    """Training step by step and scoring without the folded table: mean of vectors, softmax of two outputs."""
+    texts, labels = [f"good {i} fine words" if i % 2 else f"bad junk{i}" for i in range(12)], np.arange(12) % 2
+    rng, rows = np.random.default_rng(7), [Counter(np.concatenate(list(quality.features(t))).tolist()) for t in texts]
+    vectors = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (1 << quality.BITS, quality.DIM)).astype(np.float32).astype(float)
+    out, bias, done = np.zeros((2, quality.DIM)), np.zeros(2), 0
+
+    def forward(counts):
+        n = sum(counts.values())
+        mean = sum(c / n * vectors[f] for f, c in counts.items())
+        p = np.exp(out @ mean + bias)
+        return n, mean, p / p.sum()
+
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(12):
+            rate = quality.RATE * (1 - done / (quality.EPOCHS * 12))
+            done += 1
+            n, mean, p = forward(rows[i])
+            error = p - np.eye(2)[labels[i]]
+            back = error @ out
+            out, bias = out - rate * np.outer(error, mean), bias - rate * error
+            for f, c in rows[i].items():
+                vectors[f] -= rate * 40 * c / n * back
+    table, fitted = quality.train(texts, labels)
+    for t, counts in zip(texts, rows):
+        assert quality.score(t, table, fitted) == pytest.approx(forward(counts)[2][1], abs=1e-3)
+
+
 def test_a_repeated_label_trains_once(spark):
     rows = [(i, f"good words number {i}" if i % 2 else f"bad junk {i}") for i in range(40)]
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
@@ -673,6 +701,19 @@ def test_packing_round_trip(small, small_rows, odd, nothing):
     assert packing.pack(odd).agg(F.countDistinct("doc_id")).first()[0] == len(TEXTS) and packing.pack(nothing).count() == 0
 
 
+def test_scores_are_those_of_bm25():
+    rng = np.random.default_rng(5)
+    pieces = [rng.zipf(1.5, int(rng.integers(1, 80))).clip(max=50).astype(np.uint32) for _ in range(40)]
+    idf, mean = rng.random(51) * 3, 30.0
+    shard = packing.Shard(pieces, idf, mean)
+    for seed in range(40):
+        want = []
+        for ids in pieces:
+            tf, norm = Counter(ids.tolist()), packing.K1 * (1 - packing.B + packing.B * len(ids) / mean)
+            want.append(sum(idf[t] * tf[t] * (packing.K1 + 1) / (tf[t] + norm) for t in set(pieces[seed].tolist()) if t in tf))
+        assert shard.scores(seed) == pytest.approx(want)
+
+
 def test_neighbours_share_windows(spark):
     topics = [[f"topic{t}word{i}" for i in range(40)] for t in range(6)]
     rng = random.Random(1)
