@@ -70,6 +70,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.SQL,
         "op5_license_scan": license_scan.SQL,
+        "op6_substring_dedup": substring_dedup.SQL,
         "op8_decontaminate": decontaminate.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
     }

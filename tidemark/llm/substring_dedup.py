@@ -308,3 +308,27 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
 def repeat_report(docs: DataFrame) -> DataFrame:
     return _judged(docs).mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+#: For unique doc_ids: the windows themselves, without anchors.
+SQL = r"""
+with words as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+windows as (
+  select doc_id, unnest(list_transform(generate_series(1, len(w) - 49), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) as h,
+         unnest(generate_series(1, len(w) - 49)) as pos
+  from words where len(w) >= 50),
+holders as (select h, min(doc_id) as holder from windows group by h having count(distinct doc_id) > 1),
+gone as (
+  select doc_id, list_sort(list_distinct(flatten(list(generate_series(pos, pos + 49))))) as g
+  from windows join holders using (h) where holder < doc_id group by doc_id),
+marked as (
+  select w.doc_id, w.w, coalesce(g.g, []) as g from words w left join gone g on w.doc_id = g.doc_id),
+placed as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from marked),
+lost as (select doc_id, unnest(g) as pos from marked),
+kept as (
+  select p.doc_id, string_agg(p.word, ' ' order by p.pos) as text
+  from placed p where not exists (select 1 from lost l where l.doc_id = p.doc_id and l.pos = p.pos) group by p.doc_id)
+select m.doc_id, len(m.w)::bigint as n_words, len(m.g)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from marked m left join kept k on m.doc_id = k.doc_id
+"""
