@@ -287,6 +287,27 @@ def test_pipeline_drops_near_copies_of_four_fifths(spark, small, small_rows, odd
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(rows).collect()} == brute_copies([(r.doc_id, r.text) for r in rows.collect()])
 
 
+@pytest.mark.parametrize(("cell", "cell_shingles"), [(4096, 4 << 20), (7, 4 << 20), (4096, 500)])
+def test_near_copies_of_families_below_the_similarity(spark, monkeypatch, cell, cell_shingles):
+    """Families whose members share lists, but of which few are alike: rows stay fewer than pairs, and no link is lost."""
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "CELL_SHINGLES", cell_shingles)
+    rng, rows = random.Random(3), []
+    for family in range(2):
+        base = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(80):
+            own = list(base)
+            for at in rng.sample(range(120), rng.choice((1, 2, 3, 4))):
+                own[at] = f"own{len(rows)}x{at}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    records = near_copies._records(docs, 5).persist()
+    found = near_copies.links(docs, records)
+    assert found.count() < 10 * len(rows)
+    records.unpersist()
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == brute_copies(rows)
+
+
 # Classifiers
 
 
