@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, exact_dedup, langid, license_scan, line_dedup, lm_score, packing, quality, simhash_dedup, substring_dedup
+from tidemark.llm import chat_format, clustering, decontaminate, divergence, exact_dedup, langid, license_scan, line_dedup, lm_score, packing, quality, simhash_dedup, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_report(chat_format.with_conflict(table(spark, sf_dir, "conversations")))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = (
         op1_packing,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontaminate,
         op9_exact_dedup,
         op10_lm_score,
+        op11_clustering,
+        op12_chat_format,
+        op13_source_audit,
     )
     return {f.__name__: f for f in registered}
 
@@ -73,4 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.SQL,
         "op8_decontaminate": decontaminate.SQL,
         "op9_exact_dedup": exact_dedup.SQL,
+        "op11_clustering": clustering.SQL,
+        "op12_chat_format": chat_format.SQL,
+        "op13_source_audit": divergence.SQL,
     }
