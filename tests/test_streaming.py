@@ -80,3 +80,22 @@ def test_passing_failures_are_tried_again_up_to_the_bound(spark, tmp_path):
     assert got == {"e1": ("COMPLETED", 1), "e2": ("COMPLETED", 2), "e3": ("FAILED", 3), "e4": ("FAILED", 1)}
     letters = {r.key: r.error for r in spark.read.parquet(f"{tmp_path}/dlt").collect()}
     assert letters == {"k3": "target write failed (TRANSIENT)", "k4": "target write failed (PERMANENT)"}
+
+
+def test_an_event_is_not_lost_behind_a_reused_id(spark):
+    """A failed event comes again in one batch with a delivery of its id for another record, which is first."""
+    held = spark.createDataFrame([("e", "t", "c1", "FAILED", 1, None, "x", None)], EMPTY)
+    source = spark.createDataFrame([("t", "c1", "A", "L", "a@x"), ("t", "c2", "B", "L", "b@x")], SOURCE)
+    rows = [("k", event("e", "c2"), 0, 1), ("k", event("e", "c1"), 0, 2), ("k", event("e", "c1"), 0, 3)]
+    judged = inbox.judge_batch(spark.createDataFrame(rows, "key string, value string, partition int, offset long"), held, source)
+    got = sorted((r.offset, r.candidate_id, r.outcome, r.error) for r in judged.collect())
+    assert got == [(1, "c2", "DLT", "REUSED_EVENT_ID"), (2, "c1", "PROCESSED", None), (3, "c1", "DUPLICATE", None)]
+    after = inbox.inbox_after(judged.withColumn("tries", F.lit(1)), held, F.current_timestamp()).first()
+    assert (after.candidate_id, after.status, after.attempts) == ("c1", "COMPLETED", 2)
+
+
+def test_a_record_of_another_key_is_a_dead_letter(spark):
+    source = spark.createDataFrame([("t", "c1", "t", "c1", "A", "L", "a@x", None), ("t", "c2", "t", "c9", "B", "L", "b@x", None), ("t", "c3", None, None, None, None, None, "PERMANENT")], "asked_tenant string, asked_id string, " + SOURCE + ", failure string")
+    rows = [("k", event(f"e{i}", f"c{i}"), 0, i) for i in (1, 2, 3, 4)]
+    judged = inbox.judge_batch(spark.createDataFrame(rows, "key string, value string, partition int, offset long"), spark.createDataFrame([], INBOX_STATE), source)
+    assert {r.candidate_id: r.error for r in judged.collect()} == {"c1": None, "c2": "SOURCE_IDENTITY", "c3": "source read failed (PERMANENT)", "c4": "SOURCE_NOT_FOUND"}

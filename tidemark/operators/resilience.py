@@ -106,15 +106,21 @@ class Breaker:
         self.state, self.opened_at = "CLOSED", 0.0
         self.last: deque[bool] = deque(maxlen=window)
         self.trial: list[bool] = []
+        self.slots = 0
 
     def admit(self, at_s: float) -> bool:
-        """Whether a call may be made now; an open breaker lets some through once it has waited."""
+        """Whether a call may be made now; an open breaker that has waited lets through as many as it has trials."""
         if self.state == "OPEN" and at_s - self.opened_at >= self.wait_s:
-            self.state, self.trial = "HALF_OPEN", []
+            self.state, self.trial, self.slots = "HALF_OPEN", [], self.trials
+        if self.state == "HALF_OPEN":
+            self.slots -= 1
+            return self.slots >= 0
         return self.state != "OPEN"
 
     def record(self, at_s: float, failed: bool) -> None:
-        """The outcome of a call that was let through."""
+        """The outcome of a call that was let through; one that ends after others have opened the breaker changes nothing."""
+        if self.state == "OPEN":
+            return
         outcomes = self.trial if self.state == "HALF_OPEN" else self.last
         outcomes.append(failed)
         enough = self.trials if self.state == "HALF_OPEN" else self.least

@@ -1,127 +1,243 @@
-"""A Spark data source over a paged HTTP endpoint, and a read by key: transient failures tried again, behind a breaker.
-
-Options: url (with {page} and {size}), size, readers. An endpoint answers {"items": [...], "hasNext": bool}; unknown
-properties are ignored, missing items are an empty page. How many pages there are need not be known: each of the readers
-is an input partition that reads every readers-th page until one is empty or says that none follows, so that the first
-of them together read all pages and each one page beyond the end at most. Errors name the operation and the class, never
-a body.
+"""Spark data sources over an HTTP system of records: pages, records by key, and writes.
+
+Reading (format paged_http). Options: url of a page, with {page}, {size} and perhaps {tenant}; record_url of one record,
+with {id} and perhaps {tenant}; size; readers. An endpoint answers {"items": [...], "hasNext": bool}; unknown properties
+are ignored, missing items are an empty page. How many pages there are need not be known: each of the readers is an input
+partition that reads every readers-th page until one is empty or says that none follows, so that the first of them together
+read all pages and each one page beyond the end at most. An equality on tenantId goes into the address, and with an
+equality or a list of ids the pages aren't read at all: the records are got one by one. A record that is missing, empty or
+of another key than it was asked for fails the read.
+
+Writing (format records_http, mode append). Options: url with {tenant}, and with {id} for an upsert (PUT) instead of a
+creation (POST); in_flight, the calls that a task has open at a time. Columns: tenant_id, external_id, first_name,
+last_name, email. Both writes are idempotent on tenant and id, so repeated tasks do no harm. What was written is counted by
+the tasks' commit messages alone: an aborted write counts nothing.
+
+fetch_records() and send_records() are the same calls as operators on rows, which give the failures as rows instead of
+failing.
 """
 
 from __future__ import annotations
 
 import json
-import time
-import urllib.error
-import urllib.request
-from collections.abc import Callable
+import os
+import tempfile
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.types import Row, StructType
 
-from tidemark.model import TRANSIENT_STATUSES
-from tidemark.operators.resilience import Breaker
 from tidemark.operators.rules import check_page
+from tidemark.sources.calls import CallError, address, call, fetch_page, fetch_record, in_flight, invalid
 
-
-class CallError(RuntimeError):
-    """type: TRANSIENT or PERMANENT; kind: see operators.resilience.failure_kind."""
-
-    def __init__(self, operation: str, type_: str, kind: str, detail: str):
-        super().__init__(operation, type_, kind, detail)  # all arguments, so that it can be pickled
-        self.type, self.kind, self.message = type_, kind, f"{operation} failed ({type_}, {detail})"
-
-    def __str__(self) -> str:
-        return self.message
-
-
-def _once(operation: str, url: str, timeout_s: float) -> dict:
-    try:
-        with urllib.request.urlopen(url, timeout=timeout_s) as answer:
-            body = json.loads(answer.read())
-    except urllib.error.HTTPError as e:
-        raise CallError(operation, "TRANSIENT" if e.code in TRANSIENT_STATUSES else "PERMANENT", "HTTP_RESPONSE", f"HTTP {e.code}") from None
-    except ValueError:
-        raise CallError(operation, "PERMANENT", "INVALID_RESPONSE", "invalid response") from None
-    except OSError as e:
-        if isinstance(getattr(e, "reason", e), TimeoutError):
-            raise CallError(operation, "TRANSIENT", "TIMEOUT", "timeout") from None
-        raise CallError(operation, "TRANSIENT", "TRANSPORT_ERROR", "transport error") from None
-    if not isinstance(body, dict):  # null counts as an empty body
-        raise CallError(operation, "PERMANENT", "INVALID_RESPONSE", "invalid response")
-    return body
-
-
-def call(operation: str, url: str, breaker: Breaker | None = None, attempts: int = 3, initial_s: float = 0.2, timeout_s: float = 3.0, clock: Callable[[], float] = time.monotonic) -> dict:
-    """The decoded answer; only transient failures are tried again, with doubled waits of at most 2 s.
-
-    The breaker sees every attempt; only transient failures count as failures. A call that it refuses is not made and not
-    tried again.
-    """
-    for attempt in range(attempts):
-        if attempt:
-            time.sleep(min(initial_s * 2 ** (attempt - 1), 2.0))
-        if breaker and not breaker.admit(clock()):
-            raise CallError(operation, "TRANSIENT", "CIRCUIT_OPEN", "circuit breaker open")
-        try:
-            body = _once(operation, url, timeout_s)
-        except CallError as error:
-            if breaker:
-                breaker.record(clock(), error.type == "TRANSIENT")
-            if error.type == "PERMANENT" or attempt == attempts - 1:
-                raise
-        else:
-            if breaker:
-                breaker.record(clock(), False)
-            return body
-    raise ValueError("attempts must be 1 or more")
+RECORD = "id string, tenantId string, firstName string, lastName string, email string"
+REQUEST = ("tenant_id", "external_id", "first_name", "last_name", "email")
+#: Bound of the calls that a task has open.
+MAX_IN_FLIGHT = 64
 
 
-def fetch_page(url: str, breaker: Breaker | None = None, **settings: float) -> dict:
-    return call("page read", url, breaker, **settings)
+@dataclass
+class _Pages(InputPartition):
+    """The pages first, first + step, ..."""
 
+    first: int
+    step: int
 
-def fetch_record(url: str, breaker: Breaker | None = None, **settings: float) -> dict:
-    """One record by its address; an empty body is an error, as is a missing record."""
-    return call("record read", url, breaker, **settings)
 
+@dataclass
+class _Keys(InputPartition):
+    ids: list[str]
 
-class _Pages(InputPartition):
-    """The pages first, first + step, ..."""
 
-    def __init__(self, first: int, step: int):
-        self.first, self.step = first, step
+def _width(value: object) -> int:
+    if not 1 <= int(value) <= MAX_IN_FLIGHT:
+        raise ValueError(f"in_flight must be 1 to {MAX_IN_FLIGHT}")
+    return int(value)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.names = schema.names
-        self.url, self.size, self.readers = options["url"], int(options.get("size", 100)), int(options.get("readers", 8))
+        self.url, self.record_url = options.get("url"), options.get("record_url")
+        self.size, self.readers, self.width = int(options.get("size", 100)), int(options.get("readers", 8)), _width(options.get("in_flight", 8))
+        self.tenant, self.ids = options.get("tenant"), None
         check_page(0, self.size)
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes equalities on tenantId and on id where the addresses have a place for them; the others are Spark's."""
+        tenants = [f for f in filters if isinstance(f, EqualTo) and f.attribute == ("tenantId",)]
+        ids = [f for f in filters if isinstance(f, (EqualTo, In)) and f.attribute == ("id",)]
+        values = [set(f.value) if isinstance(f, In) else {f.value} for f in ids]
+        taken: list[Filter] = []
+        if len(tenants) == 1 and self.tenant in (None, tenants[0].value) and any("{tenant}" in (u or "") for u in (self.url, self.record_url)):
+            self.tenant, taken = tenants[0].value, [*taken, *tenants]
+        if ids and self.record_url and ("{tenant}" not in self.record_url or self.tenant is not None):
+            self.ids, taken = sorted(v for v in set.intersection(*values) if v is not None), [*taken, *ids]
+        return [f for f in filters if not any(f is t for t in taken)]
+
     def partitions(self) -> list[InputPartition]:
+        if self.ids is not None:
+            return [_Keys(self.ids[i :: self.readers]) for i in range(min(self.readers, max(1, len(self.ids))))]
+        if "{tenant}" in self.url and self.tenant is None:
+            raise ValueError("pages are of one tenant: filter by tenantId or set the option tenant")
         return [_Pages(i, self.readers) for i in range(self.readers)]
 
-    def read(self, partition: _Pages):
-        breaker, number = Breaker(), partition.first
+    def _row(self, item: dict) -> tuple:
+        return tuple(item.get(n) for n in self.names)
+
+    def _record(self, key: str) -> dict:
+        item = fetch_record(address(self.record_url, tenant=self.tenant, id=key))
+        if item.get("id") != key or self.tenant is not None and item.get("tenantId") != self.tenant:
+            raise invalid("record read", "record of another key")
+        return item
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if isinstance(partition, _Keys):
+            yield from map(self._row, in_flight(self._record, partition.ids, self.width))
+            return
+        number = partition.first
         while True:
-            page = fetch_page(self.url.format(page=number, size=self.size), breaker)
+            page = fetch_page(address(self.url, tenant=self.tenant, page=number, size=self.size))
             items = page.get("items") or []
             for item in items:
-                yield tuple(item.get(n) for n in self.names)
+                if self.tenant is not None and item.get("tenantId") != self.tenant:
+                    raise invalid("page read", "record of another tenant")
+                yield self._row(item)
             if not items or not page.get("hasNext"):
                 return
             number += partition.step
 
 
 class PagedHttpSource(DataSource):
-    """spark.dataSource.register(PagedHttpSource); spark.read.format("paged_http").schema(...).option(...).load()"""
+    """register(spark); spark.read.format("paged_http").option(...).load()"""
 
     @classmethod
     def name(cls) -> str:
         return "paged_http"
 
     def schema(self) -> str:
-        return "id string, tenantId string, firstName string, lastName string, email string"
+        return RECORD
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(schema, self.options)
+
+
+def send(url: str, row: Row | dict, **settings) -> None:
+    """Creates (POST) or, where the url names an id, upserts (PUT) one record; the answer's body is of no interest."""
+    body = {"externalId": row["external_id"], "firstName": row["first_name"], "lastName": row["last_name"], "email": row["email"]}
+    call("record write", address(url, tenant=row["tenant_id"], id=row["external_id"]), method="PUT" if "{id}" in url else "POST", body=body, **settings)
+
+
+@dataclass
+class Sent(WriterCommitMessage):
+    """What one task has written."""
+
+    rows: int
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, schema: StructType, options: dict):
+        if missing := set(REQUEST) - set(schema.names):
+            raise ValueError(f"columns are missing: {sorted(missing)}")
+        self.url, self.width, self.report = options["url"], _width(options.get("in_flight", 8)), options.get("report")
+
+    def write(self, iterator: Iterator[Row]) -> Sent:
+        url = self.url
+        return Sent(sum(1 for _ in in_flight(lambda row: send(url, row), iterator, self.width)))
+
+    def commit(self, messages: list[Sent | None]) -> None:
+        if self.report:
+            with open(self.report, "w") as f:
+                json.dump({"rows": sum(m.rows for m in messages if m), "tasks": len(messages)}, f)
+
+    def abort(self, messages: list[Sent | None]) -> None:
+        """Nothing is counted; what got through stays in the target and is written again to the same end."""
+        if self.report and os.path.exists(self.report):
+            os.remove(self.report)
+
+
+class RecordsHttpSink(DataSource):
+    """register(spark); df.write.format("records_http").option("url", ...).mode("append").save()"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "records_http"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("a system of records can't be overwritten as a whole: use mode append")
+        return _Writer(schema, self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes both formats known to a session, and lets filters reach the reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PagedHttpSource)
+    spark.dataSource.register(RecordsHttpSink)
+
+
+def write_records(df: DataFrame, url: str, in_flight: int = 8) -> int:
+    """Writes all rows or fails; the number of rows by the tasks' commit messages.
+
+    The driver's Python and the process that commits are on one machine: the count passes between them through a file there.
+    """
+    with tempfile.TemporaryDirectory() as folder:
+        report = os.path.join(folder, "report.json")
+        df.select(*REQUEST).write.format("records_http").option("url", url).option("in_flight", in_flight).option("report", report).mode("append").save()
+        with open(report) as f:
+            return json.load(f)["rows"]
+
+
+def _by_row(df: DataFrame, work, schema: str, width: int) -> DataFrame:
+    """work, a function of one row as a dict that returns one, with a bounded number of rows at work in each task."""
+    types = df.sparkSession.createDataFrame([], schema).schema
+    names = types.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = list(in_flight(work, batch.to_pylist(), width))
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in done], pa.string()) for n in names], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def fetch_records(keys: DataFrame, url: str, in_flight: int = 8, **settings) -> DataFrame:
+    """The records of keys (tenant_id, external_id), each got by a call of its own.
+
+    asked_tenant, asked_id, then the record as it came (tenant_id, external_id, first_name, last_name, email, null where it
+    couldn't be got), failure (TRANSIENT or PERMANENT) and detail.
+    """
+
+    def work(key: dict) -> dict:
+        out = {"asked_tenant": key["tenant_id"], "asked_id": key["external_id"]}
+        try:
+            got = fetch_record(address(url, tenant=key["tenant_id"], id=key["external_id"]), **settings)
+        except CallError as error:
+            return out | {"failure": error.type, "detail": str(error)}
+        return out | {"tenant_id": got.get("tenantId"), "external_id": got.get("id"), "first_name": got.get("firstName"), "last_name": got.get("lastName"), "email": got.get("email")}
+
+    schema = "asked_tenant string, asked_id string, tenant_id string, external_id string, first_name string, last_name string, email string, failure string, detail string"
+    return _by_row(keys.select("tenant_id", "external_id").distinct(), work, schema, _width(in_flight))
+
+
+def send_records(rows: DataFrame, url: str, in_flight: int = 8, **settings) -> DataFrame:
+    """tenant_id, external_id, failure and detail (null once written) of each row. Evaluated again, it writes again."""
+
+    def work(row: dict) -> dict:
+        out = {"tenant_id": row["tenant_id"], "external_id": row["external_id"]}
+        try:
+            send(url, row, **settings)
+        except CallError as error:
+            return out | {"failure": error.type, "detail": str(error)}
+        return out
+
+    return _by_row(rows.select(*REQUEST), work, "tenant_id string, external_id string, failure string, detail string", _width(in_flight))
+
+
+def failed_writes(url: str, in_flight: int = 8, **settings):
+    """A write for streaming.inbox and plans.service: rows to the (tenant_id, external_id, failure) of those not written."""
+    return lambda rows: send_records(rows, url, in_flight, **settings).where(F.col("failure").isNotNull()).select("tenant_id", "external_id", "failure")

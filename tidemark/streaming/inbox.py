@@ -27,9 +27,9 @@ MESSAGE = "eventId string, tenantId string, candidateId string, occurredAt times
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """key, value, partition, offset (null where the source has none) and the event's columns, null throughout for an unreadable value."""
+    """key, value, topic, partition, offset (null where the source has none) and the event's columns, null throughout for an unreadable value."""
     event = F.from_json(F.col("value").cast("string"), MESSAGE)
-    place = [(F.col(c) if c in messages.columns else F.lit(None)).cast(t).alias(c) for c, t in (("partition", "int"), ("offset", "long"))]
+    place = [(F.col(c) if c in messages.columns else F.lit(None)).cast(t).alias(c) for c, t in (("topic", "string"), ("partition", "int"), ("offset", "long"))]
     return messages.select(
         "key", "value", *place, event["eventId"].alias("event_id"), event["tenantId"].alias("tenant_id"), event["candidateId"].alias("candidate_id"), event["occurredAt"].alias("occurred_at")
     )
@@ -39,21 +39,32 @@ def judge_batch(messages: DataFrame, inbox: DataFrame, source: DataFrame) -> Dat
     """outcome (PROCESSED, DUPLICATE or DLT) and error of each message of a batch, with the source's current fields.
 
     Deliveries of an event are taken in the order of partition and offset, or of their own fields where there is none.
-    Incomplete and unreadable ones are judged beforehand: they share no id to be grouped by.
+    Incomplete and unreadable ones are judged beforehand: they share no id to be grouped by. Only deliveries of the record
+    that an event was first for can be its duplicates: one of another record takes no turn from them.
+
+    source may hold what was asked for (asked_tenant, asked_id) and why a record couldn't be got (failure), as
+    sources.rest.fetch_records gives them: then a record of another key, or none, goes to the dead letters.
     """
     complete = event_complete(F.col("event_id"), F.col("tenant_id"), F.col("candidate_id"), F.col("occurred_at"))
     events = parsed(messages).withColumn("complete", F.coalesce(complete, F.lit(False)))
-    w = Window.partitionBy("event_id").orderBy("partition", "offset", "occurred_at", "tenant_id", "candidate_id")
-    whole = events.where("complete").withColumn("rank", F.row_number().over(w)).withColumn("_first", F.first(F.struct("tenant_id", "candidate_id")).over(w))
+    order = ["partition", "offset", "occurred_at", "tenant_id", "candidate_id"]
+    w = Window.partitionBy("event_id").orderBy(*order)
+    whole = events.where("complete").withColumn("_first", F.first(F.struct("tenant_id", "candidate_id")).over(w))
     known = inbox.select(F.col("event_id").alias("_e"), F.struct("tenant_id", "candidate_id").alias("_known"), F.col("status").alias("_status"), F.col("attempts").alias("_attempts"))
-    now = source.select(F.col("tenant_id").alias("_t"), F.col("external_id").alias("_c"), "first_name", "last_name", "email", F.lit(True).alias("_found"))
+    asked = [F.col(a if a in source.columns else c) for a, c in (("asked_tenant", "tenant_id"), ("asked_id", "external_id"))]
+    failure = F.col("failure") if "failure" in source.columns else F.lit(None).cast("string")
+    own = F.struct(F.col("tenant_id").alias("tenant_id"), F.col("external_id").alias("candidate_id")).eqNullSafe(F.struct(asked[0].alias("tenant_id"), asked[1].alias("candidate_id")))
+    now = source.select(asked[0].alias("_t"), asked[1].alias("_c"), "first_name", "last_name", "email", failure.alias("_failure"), own.alias("_own"), F.lit(True).alias("_found"))
     joined = whole.join(known, whole["event_id"] == known["_e"], "left").join(now, (whole["tenant_id"] == now["_t"]) & (whole["candidate_id"] == now["_c"]), "left")
     same = F.struct("tenant_id", "candidate_id").eqNullSafe(F.coalesce("_known", "_first"))
-    fault = F.when(F.col("_found").isNull(), "SOURCE_NOT_FOUND").when(is_blank(F.col("email")), EMAIL_REQUIRED)
+    joined = joined.withColumn("_same", same).withColumn("rank", F.row_number().over(Window.partitionBy("event_id", "_same").orderBy(*order)))
+    same = F.col("_same")
+    unread = F.concat(F.lit("source read failed ("), "_failure", F.lit(")"))
+    fault = F.when(F.col("_found").isNull(), "SOURCE_NOT_FOUND").when(F.col("_failure").isNotNull(), unread).when(~F.col("_own"), "SOURCE_IDENTITY").when(is_blank(F.col("email")), EMAIL_REQUIRED)
     done = F.coalesce(F.col("_status") == "COMPLETED", F.lit(False))
     outcome = F.when(~same, "DLT").when(done, "DUPLICATE").when(fault.isNotNull(), "DLT").when(F.col("rank") > 1, "DUPLICATE").otherwise("PROCESSED")
     error = F.when(~same, "REUSED_EVENT_ID").when(~done, fault)
-    columns = ["key", "value", "event_id", "tenant_id", "candidate_id", "occurred_at", "_attempts", "first_name", "last_name", "email", "outcome", "error", "same_identity", "complete"]
+    columns = ["key", "value", "topic", "partition", "offset", "event_id", "tenant_id", "candidate_id", "occurred_at", "_attempts", "first_name", "last_name", "email", "outcome", "error", "same_identity", "complete"]
     judged = joined.withColumn("outcome", outcome).withColumn("error", error).withColumn("same_identity", same).select(*columns)
     bad = F.when(F.col("event_id").isNull(), "UNREADABLE_MESSAGE").otherwise("INCOMPLETE_EVENT")
     broken = events.where(~F.col("complete")).withColumn("outcome", F.lit("DLT")).withColumn("error", bad).withColumn("same_identity", F.lit(False))
@@ -125,7 +136,7 @@ def start_inbox(
         rows = judged.where("outcome = 'PROCESSED'").select("tenant_id", F.col("candidate_id").alias("external_id"), "first_name", "last_name", "email").dropDuplicates(["tenant_id", "external_id"])
         written = write_with_retries(materialize(rows), write or upsert_target, max_attempts)
         judged = materialize(after_writes(judged, written))
-        judged.where("outcome = 'DLT'").select("key", "value", "error").write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
+        judged.where("outcome = 'DLT'").select("key", "value", "topic", "partition", "offset", "error").write.mode("overwrite").parquet(f"{dead_letters}/batch={number}")
         seen = judged.where("complete and same_identity and outcome <> 'DUPLICATE'")
         inbox.merge(seen.select("event_id").distinct(), lambda held: inbox_after(judged, held, now))
 
