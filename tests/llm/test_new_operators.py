@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from tests.compare import assert_same
 from tests.conftest import SMALL
-from tidemark.llm import catalog, chat_format, clustering, divergence
+from tidemark.llm import catalog, chat_format, clustering, divergence, near_copies
 from tidemark.llm.common import table
 
 
@@ -210,6 +210,16 @@ def test_audit_equals_a_plain_version(spark, monkeypatch, slice_):
         assert audited(divergence.audit(documents(spark, rows), 4, top)) == plain_audit(rows, 4, top)
 
 
+def test_counts_are_handed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(divergence, "TERMS", 3)
+    held, rows = divergence._Counts(), []
+    for text in ("a b a c d b1e", "É a É", ""):
+        held.add(("en", "s"), text.encode().lower())
+        rows.append(sorted((r["term"], r["n"], r["docs"]) for b in held.batch(4) for r in b.to_pylist()))
+    assert rows == [[("a", 2, 1), ("b", 2, 1), ("c", 1, 1), ("d", 1, 1), ("e", 1, 1)], [], []]
+    assert sorted((r["term"], r["n"], r["docs"]) for b in held.batch() for r in b.to_pylist()) == [("a", 1, 1), ("É", 2, 1)] and not held.groups
+
+
 def test_audit_of_nothing(spark):
     assert divergence.audit(documents(spark, [])).count() == 0
     assert audited(divergence.audit(documents(spark, [("a", "en", "s"), (None, None, "t"), (None, None, "u")]))) == [("", "t", "pair", "u", 0, 1), ("", "u", "pair", "t", 0, 1)]
@@ -220,3 +230,17 @@ def test_equal_vectors_are_paired_once(spark):
     kept, _ = divergence.scored(documents(spark, rows), 1)
     vectors = divergence.distinct_vectors(kept).collect()
     assert sorted(r.same for r in vectors) == [1, 10]
+
+
+# Near copies: no text may be lost
+
+
+def test_one_row_of_each_component_stays_whatever_its_id(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "ABCDE"}
+    near = text["A"].replace("A30", "other")
+    rows = [(3, text["B"]), (5, text["A"]), (5, text["B"]), (7, text["C"]), (None, text["D"]), (None, text["D"]), (9, near), (None, near), (11, None), (12, ""), (13, text["E"]), (13, text["E"]), (14, text["C"])]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, row string, root int, first int")
+    kept = [(r.doc_id, r.text) for r in near_copies.keep_first(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, text["B"]), (5, text["A"]), (7, text["C"]), (None, text["D"]), (11, None), (13, text["E"])], key=str)
+    assert near_copies.keep_first(docs).columns == docs.columns
+    assert near_copies.keep_first(docs.where("false")).count() == 0

@@ -11,33 +11,75 @@ sources, at most as many as the language has (the report has the square of that)
 of their own.
 
 Defined results: null text, language and source count as ''; an empty table gives an empty report; a language without
-kept terms gives pairs of value 0; repeated rows count each. A very long text costs a task twice its words at most.
+kept terms gives pairs of value 0; repeated rows count each. A very long text is counted in parts; a task holds its
+distinct terms at most.
 Further columns are left alone.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, materialize
+from tidemark.llm.common import materialize
 
-#: What stands between terms, and the parts that shares are counted in.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term in lower-cased UTF-8 (no byte of a character beyond ASCII is below 0x80), and the parts that shares are counted in.
+_TERM = re.compile(rb"[a-z\x80-\xff]+")
 PARTS = 1_000_000_000
 SMOOTHING = 5
 #: Vectors are paired in slices of so many sources.
 SLICE = 64
+#: Counts that a task holds before it hands them on, and terms that it handles at a time.
+ENTRIES, TERMS = 600_000, 50_000
+
+
+class _Counts:
+    """Occurrences of terms, and texts with them, by group; handed on when there are many."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def add(self, group: tuple[str, str], text: bytes) -> None:
+        n, docs = self.groups.setdefault(group, (Counter(), Counter()))
+        terms, seen = (m[0] for m in _TERM.finditer(text)), set()
+        while part := list(islice(terms, TERMS)):  # a long text in parts
+            n.update(part)
+            seen.update(part)
+        docs.update(seen)
+
+    def batch(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if sum(len(n) for n, _ in self.groups.values()) < least:
+            return
+        for (lang, source), (n, docs) in self.groups.items():
+            terms = list(n)
+            for at in range(0, len(terms), TERMS):
+                part = terms[at : at + TERMS]
+                columns = [[lang] * len(part), [source] * len(part), pa.array(part, pa.binary()).cast(pa.string()), [n[t] for t in part], [docs[t] for t in part]]
+                yield pa.RecordBatch.from_pydict(dict(zip(("lang", "source", "term", "n", "docs"), columns)))
+        self.groups.clear()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = _Counts()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                held.add((lang, source), text.encode().lower())  # of bytes, A-Z alone
+            yield from held.batch(ENTRIES)
+    yield from held.batch()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with the term)."""
-    none = F.lit("")
-    words = F.filter(F.split(ascii_lower(F.coalesce("text", none)), BETWEEN), lambda w: w != "")
-    of = docs.select(F.coalesce("lang", none).alias("lang"), F.coalesce("source", none).alias("source"), words.alias("words"))
-    row = lambda n, d: lambda w: F.struct(w.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("docs"))
-    both = F.concat(F.transform("words", row(1, 0)), F.transform(F.array_distinct("words"), row(0, 1)))
-    return of.select("lang", "source", F.inline(both)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """lang, source, term, n (occurrences) and docs (documents with the term), summed in each task before they are dealt."""
+    of = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    rows = of.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
