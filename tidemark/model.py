@@ -35,6 +35,7 @@ JOB = _longs(_strings("job_id", "tenant_id", "status").add("page_size", T.Intege
 JOB = JOB.add("lease_owner", T.StringType()).add("last_error", T.StringType()).add("created_at", T.TimestampType()).add("updated_at", T.TimestampType())
 RUN = _longs(_strings("run_id", "tenant_id", "status").add("page_size", T.IntegerType()), *_RUN_COUNTS)
 RUN = RUN.add("lease_owner", T.StringType()).add("last_error", T.StringType()).add("created_at", T.TimestampType()).add("updated_at", T.TimestampType()).add("completed_at", T.TimestampType())
+RUN = RUN.add("items", T.StringType())  # where a completed run's items are
 PAGE_PROGRESS = T.StructType([T.StructField(n, T.LongType()) for n in _COUNTS])
 
 COMPARED_FIELDS = ("external_id", "first_name", "last_name", "email")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import is_blank, with_fingerprint
-from tidemark.model import DIFFERENCES
+from tidemark.model import DIFFERENCES, RESULTS
 
 KEY = ["tenant_id", "external_id"]
 
@@ -18,11 +18,17 @@ KEY = ["tenant_id", "external_id"]
 def side(df: DataFrame, *order: str) -> DataFrame:
     """tenant_id, external_id, fingerprint of the last write of each key: a page that was read again counts once.
 
-    order: the columns of the scan order; without them, or where it is equal, the greatest fingerprint stands for the key.
+    order: the columns of the scan order; of equal places the greatest fingerprint stands. Without an order, a key that was
+    read in several versions fails the query: which of them is the last one isn't known.
     The aggregation is dealt by the key that the comparison joins on, so it adds no shuffle.
     """
-    rows = with_fingerprint(df).select(*KEY, "fingerprint", *order)
-    return rows.groupBy(*KEY).agg(F.max_by("fingerprint", F.struct(*order, "fingerprint")).alias("fingerprint"))
+    order = tuple(c for c in order if c in df.columns)
+    rows = with_fingerprint(df).select(*KEY, "fingerprint", *order).groupBy(*KEY)
+    if order:
+        return rows.agg(F.max_by("fingerprint", F.struct(*order, "fingerprint")).alias("fingerprint"))
+    found = rows.agg(F.max("fingerprint").alias("fingerprint"), F.min("fingerprint").alias("_other"))
+    unclear = F.raise_error(F.lit("record read in several versions without an order of the scan"))
+    return found.select(*KEY, F.when(F.col("fingerprint") == F.col("_other"), F.col("fingerprint")).otherwise(unclear).alias("fingerprint"))
 
 
 def last_write(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -94,6 +100,24 @@ def differences(found: DataFrame, result: str | None = None) -> DataFrame:
     return found.where(F.col("result") == result if result else F.col("result").isin(*DIFFERENCES))
 
 
+def items_index(rows: DataFrame) -> DataFrame:
+    """Of files of items, each a range of ids in order: file, first and the number of rows of each result."""
+    counts = [F.count_if(F.col("result") == r).alias(r) for r in RESULTS]
+    return rows.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("external_id").alias("first"), *counts)
+
+
+def files_of_page(index: DataFrame, page: int, size: int, result: str | None = None) -> list[tuple[str, int]]:
+    """The files that hold a page of differences (or of one result) and the row behind it, in order, with the rows before each.
+
+    The index has a row for each file; those of the page are as many as it has ranges, however deep it lies.
+    """
+    n = F.col(result) if result else sum((F.col(r) for r in DIFFERENCES[1:]), F.col(DIFFERENCES[0]))
+    sized = index.select("file", "first", n.alias("n")).where("n > 0")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = sized.withColumn("before", before).where((F.col("before") < (page + 1) * size + 1) & (F.col("before") + F.col("n") > page * size))
+    return [(r.file, r.before) for r in held.orderBy("first").collect()]
+
+
 def differences_page(found: DataFrame, page: int, size: int) -> DataFrame:
     """A page of all differences with has_next in each row, without a second query: one row beyond the page is read."""
     more = differences(found).orderBy(*KEY).offset(page * size).limit(size + 1)

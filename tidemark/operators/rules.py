@@ -31,8 +31,8 @@ def job_response(jobs: DataFrame) -> DataFrame:
 
 
 def run_response(runs: DataFrame) -> DataFrame:
-    """What a client sees of a run: neither owner nor page size."""
-    return runs.drop("lease_owner", "page_size")
+    """What a client sees of a run: neither owner nor page size nor where its items are."""
+    return runs.drop("lease_owner", "page_size", "items")
 
 
 def email_error(email: Column) -> Column:

@@ -104,7 +104,7 @@ def claim_runs(runs: DataFrame) -> DataFrame:
 
 
 def heartbeat(runs: DataFrame, owner: Column, as_of: Column) -> DataFrame:
-    """updated_at moves on while the owner holds a running run."""
+    """updated_at moves on while the owner holds a running run, or job; alive tells whether it does."""
     held = F.coalesce((F.col("status") == "RUNNING") & (F.col("lease_owner") == owner), F.lit(False))
     return runs.withColumn("updated_at", F.when(held, as_of).otherwise(F.col("updated_at"))).withColumn("alive", held)
 
@@ -115,10 +115,16 @@ def resumable_jobs(jobs: DataFrame, as_of: Column, timeout: Column, limit: int)
     return jobs.where((F.col("status") == "PENDING") | stale).orderBy("updated_at", "job_id").limit(limit)
 
 
+#: Fixed value: what is stored of a run that was left.
+ABANDONED = "Abandoned: no progress within lease timeout"
+
+
 def fail_abandoned(runs: DataFrame, as_of: Column, timeout: Column) -> DataFrame:
-    """Runs with stale running ones failed; failed_now tells which."""
-    stale = (F.col("status") == "RUNNING") & is_stale(F.col("updated_at"), as_of, timeout)
-    return runs.withColumn("failed_now", stale).withColumn("status", F.when(stale, "FAILED").otherwise(F.col("status")))
+    """Runs with stale running ones failed, their lease ended and the times and error set; failed_now tells which."""
+    marked = runs.withColumn("failed_now", (F.col("status") == "RUNNING") & is_stale(F.col("updated_at"), as_of, timeout))
+    changes = {"status": F.lit("FAILED"), "last_error": F.lit(ABANDONED), "lease_owner": F.lit(None), "updated_at": as_of, "completed_at": as_of}
+    kept = [F.when(F.col("failed_now"), changes[c]).otherwise(F.col(c)).cast(runs.schema[c].dataType).alias(c) if c in changes else F.col(c) for c in runs.columns]
+    return marked.select(*kept, "failed_now")
 
 
 def pending_runs(runs: DataFrame, limit: int, order: tuple[str, ...] = ("created_at",)) -> DataFrame:
@@ -156,8 +162,9 @@ def fail_job(jobs: DataFrame, owner: Column, error: Column, as_of: Column) -> Da
 
 
 def fail_run(runs: DataFrame, owner: Column, error: Column, as_of: Column) -> DataFrame:
-    """Runs given up by their owner."""
-    return _fenced(runs, owner, status=F.lit("FAILED"), lease_owner=F.lit(None), last_error=truncate_error(error), updated_at=as_of)
+    """Runs given up by their owner; one that has a time of completion gets it."""
+    ended = {"completed_at": as_of} if "completed_at" in runs.columns else {}
+    return _fenced(runs, owner, status=F.lit("FAILED"), lease_owner=F.lit(None), last_error=truncate_error(error), updated_at=as_of, **ended)
 
 
 def finish_run(runs: DataFrame, summary: DataFrame, owner: Column, as_of: Column) -> DataFrame:

@@ -577,6 +577,20 @@ def run_fail_abandoned(jobs):
     return state.fail_abandoned(jobs, *_job_as_of()).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if("failed_now").alias("failed_now"))
 
 
+@query(
+    ("migration_job",),
+    f"""
+select job_id, case when {_JOB_STALE} then 'FAILED' else status end as status, case when {_JOB_STALE} then '{state.ABANDONED}' end as last_error,
+       case when {_JOB_STALE} then {_JOB_AS_OF} else updated_at end as updated_at, case when {_JOB_STALE} then {_JOB_AS_OF} end as completed_at,
+       case when status = 'RUNNING' and not {_JOB_STALE} then 'worker' end as lease_owner
+from migration_job
+""",
+)
+def run_fail_abandoned_fields(jobs):
+    runs = jobs.withColumn("lease_owner", F.when(F.col("status") == "RUNNING", "worker")).withColumns({"last_error": F.lit(None).cast("string"), "completed_at": F.lit(None).cast("timestamp_ntz")})
+    return state.fail_abandoned(runs, *_job_as_of()).select("job_id", "status", "last_error", "updated_at", "completed_at", "lease_owner")
+
+
 @query(("migration_job",), "select job_id, tenant_id from migration_job where status = 'PENDING' order by updated_at, job_id limit 3")
 def run_pending(jobs):
     return state.pending_runs(jobs, 3, ("updated_at", "job_id")).select("job_id", "tenant_id")
