@@ -561,11 +561,11 @@ def brute_leaks(docs, items):
         d = split(t)
         for j, u in items:
             w = split(u)
-            if len(w) < 8:
+            if not w:
                 continue
             width = min(15, len(w))
             best = max((sum(d[a + k] == w[b + k] for k in range(width)) for a in range(len(d) - width + 1) for b in range(len(w) - width + 1) if d[a : a + width]), default=0)
-            if best >= math.ceil(width * 0.8):
+            if best >= (width if width < 8 else math.ceil(width * 0.8)):
                 out[i, j] = (best, width)
     return out
 
@@ -575,11 +575,12 @@ def test_decontamination_equals_brute_force_also_with_common_phrases(spark, monk
     phrase = "which of the following statements best describes the main idea of".split()
     items = [(j, " ".join([f"i{j}x{rng.randrange(9)}" for _ in range(rng.randrange(0, 9))] + phrase[: 5 + j % 7] + [f"i{j}y{k}" for k in range(rng.randrange(2, 12))])) for j in range(40)]
     items += [(100, "eleven words of which all are to be found in here")]
+    items += [(200 + n, " ".join(phrase[:n])) for n in range(1, 8)] + [(300, "of which zz are"), (301, ""), (302, "best MAIN"), (303, "words of which all are to")]
     docs = []
     for i in range(25):
         body = []
         for _ in range(12):
-            own = (items[rng.randrange(41)][1] if rng.random() < 0.5 else " ".join(phrase)).split()
+            own = (items[rng.choice([rng.randrange(41), 41 + rng.randrange(7)])][1] if rng.random() < 0.5 else " ".join(phrase)).split()
             for _ in range(rng.randrange(4)):
                 own[rng.randrange(len(own))] = "zz"
             body += own + [f"d{i}{k}" for k in range(rng.randrange(6))]

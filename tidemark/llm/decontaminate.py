@@ -12,8 +12,10 @@ positions. Its words come from the document's block of BLOCK words, by a join: n
 and a document or block with many of them is split like any skewed key. Equality along the diagonal is one 64-bit
 number, and the best window the largest count of ones in it.
 
-Words are runs of letters and digits, lower-cased. Defined results: null and empty texts match nothing; items of
-fewer than MIN_WORDS words are no evidence and match nothing; every row is judged by its own text, also where rows share
+Items of fewer than MIN_WORDS words leave no word to ignore: they are found where all their words stand in a row.
+
+Words are runs of letters and digits, lower-cased. Defined results: null and empty texts match nothing, nor do items
+without words; every row is judged by its own text, also where rows share
 a doc_id or have none (contaminated() gives what any row of an id holds, null for those without); a very long text is
 cut into blocks; repeated rows give the result of one; empty tables give an empty result; further columns are left alone.
 """
@@ -60,16 +62,26 @@ def _matched(here: Column, item: Column, start: Column, diagonal: Column) -> tup
     return best, bits
 
 
+def _verbatim(texts: DataFrame, items: DataFrame, lengths: list[int], small) -> DataFrame:
+    """What _found() gives, for items of a few words: the mask of such an item is its length."""
+    masks = {n: tuple(range(n)) for n in lengths}
+    seed = F.coalesce(*[F.when(F.size("item_h") == n, F.xxhash64(F.lit(str(m)), *[F.get("item_h", o) for o in m])) for n, m in masks.items()])
+    theirs = items.select(seed.alias("seed"), "item_id", F.size("item_h").alias("window_words")).distinct()
+    hits = _seeds(texts, ["doc_id", "row"], tuple(masks.values())).join(small(theirs), "seed")
+    return hits.select("doc_id", "row", "item_id", "window_words", F.lit(None).cast("long").alias("bits"), F.col("window_words").alias("matched")).distinct()
+
+
 def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, row (a hash that tells rows of one doc_id apart), item_id, matched and window_words of each overlap."""
     items = benchmark.select("item_id", "text").where("item_id is not null").distinct()
-    items = items.withColumn("item_h", word_hashes(F.col("text"))).where(F.size("item_h") >= MIN_WORDS)
+    items = items.withColumn("item_h", word_hashes(F.col("text"))).where(F.size("item_h") > 0)
     about = benchmark.select(F.length("text").alias("chars"), F.size(word_hashes(F.col("text"))).alias("n"))
-    size = about.agg(F.sum("chars").alias("chars"), F.bool_or(F.col("n").between(MIN_WORDS, WINDOW - 1)).alias("short")).first()
+    few = F.sort_array(F.collect_set(F.when(F.col("n").between(1, MIN_WORDS - 1), F.col("n")))).alias("few")
+    size = about.agg(F.sum("chars").alias("chars"), F.bool_or(F.col("n").between(MIN_WORDS, WINDOW - 1)).alias("short"), few).first()
     small = F.broadcast if (size.chars or 0) <= BROADCAST_CHARS else (lambda df: df)
     theirs = _seeds(items.where(F.size("item_h") >= WINDOW), ["item_id"], LONG_MASKS)
     if size.short:
-        theirs = theirs.unionByName(_seeds(items.where(F.size("item_h") < WINDOW), ["item_id"], SHORT_MASKS))
+        theirs = theirs.unionByName(_seeds(items.where(F.size("item_h").between(MIN_WORDS, WINDOW - 1)), ["item_id"], SHORT_MASKS))
     theirs = theirs.select("seed", "item_id", F.col("pos").alias("item_pos")).distinct()
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").where("text is not null")
@@ -90,7 +102,10 @@ def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     best, bits = _matched(F.col("here"), F.col("item_h"), F.col("stretch") * STRETCH - REACH - begin, F.col("diagonal") - begin)
     width = F.least(F.lit(WINDOW), F.size("item_h"))
     judged = laid.select("doc_id", "row", "item_id", width.alias("window_words"), bits.alias("bits")).withColumn("matched", best)
-    return judged.where(F.col("matched") >= F.ceil(F.col("window_words") * F.lit(SHARE)))
+    found = judged.where(F.col("matched") >= F.ceil(F.col("window_words") * F.lit(SHARE)))
+    if not size.few:
+        return found
+    return found.unionByName(_verbatim(texts, items.where(F.size("item_h") < MIN_WORDS), size.few, small))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -113,7 +128,7 @@ with dw as (
 iw as (
   select distinct item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w
   from benchmark where item_id is not null),
-items as (select item_id, w, len(w) as n, least(15, len(w)) as width from iw where len(w) >= 8),
+items as (select item_id, w, len(w) as n, least(15, len(w)) as width from iw where len(w) > 0),
 d as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from dw),
 i as (select item_id, n, width, unnest(w) as word, generate_subscripts(w, 1) as pos from items),
 same as (
@@ -124,5 +139,5 @@ near as (
          count(*) over (partition by doc_id, item_id, diagonal order by pos range between current row and 14 following) as matched,
          n from same)
 select doc_id, item_id, max(matched)::bigint as matched_words, max(width)::bigint as window_words
-from near where matched >= ceil(width * 0.8) group by doc_id, item_id
+from near where matched >= case when width < 8 then width else ceil(width * 0.8) end group by doc_id, item_id
 """
