@@ -52,3 +52,17 @@ def test_small_functions(spark):
         F.array(*[fn.backoff_ms(F.lit(n)) for n in range(1, 7)]).alias("b"),
     ).first()
     assert len(row.e) == 1000 and row.k == "t:c" and row.p == "candidate-00007" and row.b == [200, 400, 800, 1600, 2000, 2000]
+
+
+def test_errors_are_cut_by_utf16_units(spark):
+    from tidemark.functions.canonical import truncate_error
+
+    texts = [None, "", "abc", "abcd", "abcde", "ab\U0001f600", "abc\U0001f600", "abc\U0001f600d", "\U0001f600\U0001f600\U0001f600", "é" * 9]
+
+    def cut(t):
+        units = t.encode("utf-16-be")[:8]
+        return units.decode("utf-16-be", errors="ignore")
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.cut for r in rows.select("t", truncate_error(rows["t"], 4).alias("cut")).collect()}
+    assert got == {t: t and cut(t) if t is not None else None for t in texts}

@@ -110,13 +110,14 @@ def test_pages_are_read_to_the_last_one_without_a_count(system, pages, readers):
     system.broken["page=1&"] = [503]
     df = pages.option("readers", readers).option("tenant", "t").load()
     assert sorted(r.id for r in df.collect()) == sorted(f"c{p}-{i}" for p in range(11) for i in range(2))
+    assert {(r.id, r.page, r.position) for r in df.where("id = 'c4-1'").collect()} == {("c4-1", 4, 1)}
     seen = [int(re.search(r"page=(\d+)", path)[1]) for _, path in system.calls]
     assert seen.count(1) == 2 and len(set(seen)) <= 11 + readers
 
 
 def test_an_equality_on_key_becomes_one_call(system, pages):
     df = pages.load()
-    assert [tuple(r) for r in df.where("tenantId = 't' and id = 'c7' and firstName like 'K%'").collect()] == [("c7", "t", "K", "L", "c7@x")]
+    assert [tuple(r) for r in df.where("tenantId = 't' and id = 'c7' and firstName like 'K%'").collect()] == [("c7", "t", "K", "L", "c7@x", None, None)]
     assert system.calls == [("GET", "/t/records/c7")]
     system.calls.clear()
     assert sorted(r.id for r in df.where("tenantId = 't' and id in ('a b', 'c', 'd/e')").select("id").collect()) == ["a b", "c", "d/e"]

@@ -219,3 +219,33 @@ def test_breaker_equals_an_independent_version():
             calls.append((at, rng.random() < rng.choice([0.1, 0.5, 0.9])))
         machine = Breaker()
         assert [machine.call(*c) for c in calls] == plain_breaker(calls)
+
+
+def test_pages_meet_in_any_order_and_count_once(spark, tmp_path):
+    """Pages of two runs, repeated, out of order, and with a changed record: a side never touches the other's columns."""
+    from tidemark.operators.converge import WorkingTable
+
+    table = WorkingTable(spark, "test_converge", f"file://{tmp_path}/w", 4)
+    page = lambda run, place, *rows: spark.createDataFrame([(run, k, f, place) for k, f in rows], "run_id string, external_id string, fingerprint string, place int")
+    try:
+        assert table.items().count() == 0
+        table.record("target", page("r", 1, ("b", "2"), ("c", "3")))
+        table.record("source", page("r", 2, ("c", "x"), ("d", "4")))
+        table.record("source", page("r", 1, ("a", "1"), ("b", "2"), ("c", "3")))
+        table.record("source", page("r", 1, ("a", "1"), ("b", "2"), ("c", "3")))
+        table.record("target", page("r", 2, ("d", "4"), ("e", "5")))
+        table.record("source", page("other", 1, ("a", "1")))
+        got = {r.external_id: (r.source_seen, r.target_seen, r.result) for r in table.items().where("run_id = 'r'").collect()}
+        assert got == {"a": (True, False, "MISSING_IN_TARGET"), "b": (True, True, "MATCHED"), "c": (True, True, "MISMATCHED"), "d": (True, True, "MATCHED"), "e": (False, True, "UNEXPECTED_IN_TARGET")}
+        counts = {r.run_id: r for r in table.summary().collect()}
+        row = counts["r"]
+        assert (row.source_count, row.target_count, row.matched_count, row.missing_count, row.unexpected_count, row.mismatched_count) == (4, 4, 2, 1, 1, 1)
+        assert counts["other"].missing_count == 1
+        table.record("source", page("r", 3, ("c", "3")))
+        assert table.items().where("run_id = 'r' and external_id = 'c'").first().result == "MATCHED"
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = table.items()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        table.drop()

@@ -67,9 +67,12 @@ def with_fingerprint(df, fields: tuple[str, ...] = COMPARED_FIELDS, name: str =
     return df.withColumns(norm).withColumn(name, fingerprint(*[F.col(k) for k in norm])).drop(*norm)
 
 
-def truncate_error(c: Column) -> Column:
-    """The first MAX_ERROR_CHARS code points."""
-    return F.substring(c, 1, MAX_ERROR_CHARS)
+def truncate_error(c: Column, most: int = MAX_ERROR_CHARS) -> Column:
+    """The first UTF-16 units of a text; a pair of two units at the end is left out rather than split."""
+    units = F.encode(c, "UTF-16BE")
+    last = F.hex(F.substring(units, 2 * most - 1, 1))
+    whole = F.when(last.between("D8", "DB"), 2 * most - 2).otherwise(2 * most)
+    return F.when(utf16_length(c) <= most, c).otherwise(F.decode(F.substr(units, F.lit(1), whole), "UTF-16BE"))
 
 
 def partition_key(tenant: Column, candidate: Column) -> Column:

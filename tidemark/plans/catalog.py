@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import canonical as fn
 from tidemark.model import DIFFERENCES, JOB_STATUSES, MAX_ID_CHARS
-from tidemark.operators import delta, migrate, paging, reconcile, resilience, rules, state
+from tidemark.operators import converge, delta, migrate, paging, reconcile, resilience, rules, state
 from tidemark.sources import generated
 from tidemark.sources.adapters import view, with_views
+from tidemark.sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -273,6 +274,19 @@ def reconcile_repeated_pages(source, target):
 # Scans and writes
 
 
+@query(_BOTH, _ITEMS + f"select tenant_id as run_id, {_COUNTS} from items group by tenant_id")
+def reconcile_converged_pages(source, target):
+    """Both sides' pages of every tenant, each recorded twice; the first reading of a page, which comes last, has older data."""
+    spark = source.sparkSession
+    path = shared_dir(spark)
+    table = converge.WorkingTable(spark, "converged_" + path.rsplit("-", 1)[1], path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for side, rows in (("target", target), ("source", source)):
+        once = fn.with_fingerprint(rows).select(F.col("tenant_id").alias("run_id"), "external_id", "fingerprint", F.lit(2).alias("place"))
+        table.record(side, once)
+        table.record(side, once.withColumn("fingerprint", F.lit("older")).withColumn("place", F.lit(1)))
+    return table.summary()
+
+
 @query(
     ("source_candidate",),
     """
@@ -555,14 +569,17 @@ def job_resumable(jobs):
 
 
 @query(
-    ("migration_job",),
+    ("migration_job", "migration_state"),
     """
-select job_id, case when job_id % 3 > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status
-from migration_job where status = 'RUNNING'
+select job_id, case when coalesce(n, 0) > 0 then 'COMPLETED_WITH_ERRORS' else 'COMPLETED' end as status
+from migration_job left join (select tenant_id, count(*) as n from migration_state where status = 'FAILED' group by tenant_id) using (tenant_id)
+where status = 'RUNNING'
 """,
 )
-def job_complete_status(jobs):
-    return jobs.where("status = 'RUNNING'").select("job_id", migrate.final_status(F.col("job_id") % 3).alias("status"))
+def job_complete_status(jobs, records):
+    failed = records.where("status = 'FAILED'").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("failed"))
+    done = jobs.where("status = 'RUNNING'").join(failed, "tenant_id", "left")
+    return done.select("job_id", migrate.final_status(F.coalesce("failed", F.lit(0))).alias("status"))
 
 
 @query(

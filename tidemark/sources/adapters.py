@@ -61,8 +61,7 @@ from {orders} o join {source_candidate} s on o.o_custkey = s.k""",
         ("migration_state",),
         """
 select tenant_id, source_record_id, 'new-' || cast(r.n as varchar(20)) as lease_owner, r.n as request_seq
-from {migration_state} cross join (select 1 as n union all select 2 union all select 3) r
-where cast(source_record_id as bigint) % 3 = 0""",
+from {migration_state} cross join (select 1 as n union all select 2 union all select 3) r""",
     ),
     "migration_job": (
         ("nation", "orders"),

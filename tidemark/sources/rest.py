@@ -4,7 +4,8 @@ Reading (format paged_http). Options: url of a page, with {page}, {size} and per
 with {id} and perhaps {tenant}; size; readers. An endpoint answers {"items": [...], "hasNext": bool}; unknown properties
 are ignored, missing items are an empty page. How many pages there are need not be known: each of the readers is an input
 partition that reads every readers-th page until one is empty or says that none follows, so that the first of them together
-read all pages and each one page beyond the end at most. An equality on tenantId goes into the address, and with an
+read all pages and each one page beyond the end at most. Rows carry page and position, the order of the scan, by which the
+last read of a record counts (null for records got by key). An equality on tenantId goes into the address, and with an
 equality or a list of ids the pages aren't read at all: the records are got one by one. A record that is missing, empty or
 of another key than it was asked for fails the read.
 
@@ -34,7 +35,7 @@ from pyspark.sql.types import Row, StructType
 from tidemark.operators.rules import check_page
 from tidemark.sources.calls import CallError, address, call, fetch_page, fetch_record, in_flight, invalid
 
-RECORD = "id string, tenantId string, firstName string, lastName string, email string"
+RECORD = "id string, tenantId string, firstName string, lastName string, email string, page int, position int"
 REQUEST = ("tenant_id", "external_id", "first_name", "last_name", "email")
 #: Bound of the calls that a task has open.
 MAX_IN_FLIGHT = 64
@@ -86,8 +87,9 @@ class _Reader(DataSourceReader):
             raise ValueError("pages are of one tenant: filter by tenantId or set the option tenant")
         return [_Pages(i, self.readers) for i in range(self.readers)]
 
-    def _row(self, item: dict) -> tuple:
-        return tuple(item.get(n) for n in self.names)
+    def _row(self, item: dict, page: int | None = None, position: int | None = None) -> tuple:
+        placed = item | {"page": page, "position": position}
+        return tuple(placed.get(n) for n in self.names)
 
     def _record(self, key: str) -> dict:
         item = fetch_record(address(self.record_url, tenant=self.tenant, id=key))
@@ -103,10 +105,10 @@ class _Reader(DataSourceReader):
         while True:
             page = fetch_page(address(self.url, tenant=self.tenant, page=number, size=self.size))
             items = page.get("items") or []
-            for item in items:
+            for position, item in enumerate(items):
                 if self.tenant is not None and item.get("tenantId") != self.tenant:
                     raise invalid("page read", "record of another tenant")
-                yield self._row(item)
+                yield self._row(item, number, position)
             if not items or not page.get("hasNext"):
                 return
             number += partition.step
