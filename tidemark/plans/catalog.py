@@ -13,6 +13,7 @@ from tidemark.operators import converge, delta, migrate, paging, reconcile, resi
 from tidemark.sources import generated
 from tidemark.sources.adapters import view, with_views
 from tidemark.sources.scratch import shared_dir
+from tidemark.streaming import stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -923,6 +924,26 @@ def delivery_outcomes(events):
     return events.select("event_id", "delivery_no", delta.delivery_outcome(status, e % 17 != 0, e % 5 != 0, e % 7 == 0, error).alias("outcome"))
 
 
+@query(
+    ("change_event",),
+    f"""
+with deliveries as (select *, cast(event_id as varchar) as e, event_id is not null and not {_blank("tenant_id")} and not {_blank("candidate_id")} and occurred_at is not null as complete from change_event),
+firsts as (select *, row_number() over (partition by e order by delivery_no) as n from deliveries where complete)
+select e as event_id, tenant_id, candidate_id, 'ATTEMPT' as outcome, e || '#1' as owner, cast(1 as integer) as attempts, cast(null as varchar) as error from firsts where n = 1
+union all
+select null, tenant_id, candidate_id, 'DLT', null, 0, 'INCOMPLETE_EVENT' from deliveries where not complete
+""",
+)
+def inbox_attempts(events):
+    """What the keyed inbox decides on its first batch: an attempt for the first delivery of each event; the others wait."""
+    body = F.struct(F.col("event_id").cast("string").alias("eventId"), F.col("tenant_id").alias("tenantId"), F.col("candidate_id").alias("candidateId"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurredAt"))
+    messages = events.select(fn.partition_key(F.col("tenant_id"), F.col("candidate_id")).alias("key"), F.to_json(body).alias("value"), F.lit(0).alias("partition"), F.col("delivery_no").cast("long").alias("offset"))
+    none = events.sparkSession.createDataFrame([], stateful.RESULT)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
+    _ = events.sparkSession.streams.active  # starts the coordinator of state stores, which batches need, too
+    return stateful.decisions(messages, none, stateful.Policy()).select("event_id", "tenant_id", "candidate_id", "outcome", "owner", "attempts", "error")
+
+
 @query(
     ("change_event",),
     """
