@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical as fn
@@ -875,53 +875,65 @@ def delta_attempts(events, source):
     return delta.attempts(delta.outcomes(events, source))
 
 
-@query(
-    ("change_event",),
-    f"""
-select event_id, delivery_no, case when event_id % 7 = 0 then false else n = 1 end as claimed,
-case when event_id % 7 = 0 then 2 when n = 1 then 1 end as attempts
-from (select *, row_number() over (partition by event_id order by delivery_no) as n
-from change_event)
-""",
-)
-def delta_claims(events):
-    inbox = events.where("event_id % 7 = 0 and delivery_no = 1").select("event_id", "tenant_id", "candidate_id", F.lit("COMPLETED").alias("status"), "occurred_at", F.lit(2).alias("attempts")).withColumn("updated_at", F.col("occurred_at"))
+# The inbox as it stands while its events are delivered: by the time of the event and the record's data.
+
+_INBOX = ("change_event", "inbox_state", "source_candidate")
+_INBOX_AS_OF, _LEASE = "TIMESTAMP '2024-01-31 00:00:00'", "INTERVAL '5' DAY"
+_ASKED = f"""with asked as (
+  select r.*, i.status, i.attempts, i.lease_owner,
+         i.status is null or (r.tenant_id is not distinct from i.tenant_id and r.candidate_id is not distinct from i.candidate_id) as same_identity,
+         i.status is null or i.status = 'FAILED' or (i.status = 'IN_PROGRESS' and i.updated_at < {_INBOX_AS_OF} - {_LEASE}) as free
+  from (select *, row_number() over (partition by event_id order by delivery_no) as n, count(*) over (partition by event_id) as deliveries from change_event) r
+  left join inbox_state i on r.event_id = i.event_id),
+claims as (select *, same_identity and free and n = 1 as claimed from asked)
+"""
+
+
+def _claims(events: DataFrame, inbox: DataFrame) -> DataFrame:
     asked = events.withColumn("request_seq", F.col("delivery_no"))
-    return state.claim_events(asked, inbox, *_as_of()).select("event_id", F.col("request_seq").alias("delivery_no"), "claimed", "attempts")
+    return state.claim_events(asked, inbox, F.expr(_INBOX_AS_OF.replace("TIMESTAMP", "TIMESTAMP_NTZ")), F.expr(_LEASE)).select("event_id", F.col("request_seq").alias("delivery_no"), "claimed", "attempts")
+
+
+@query(_INBOX, _ASKED + "select event_id, delivery_no, claimed, case when claimed then coalesce(attempts, 0) + 1 else attempts end as attempts from claims")
+def delta_claims(events, inbox, source):
+    return _claims(events, inbox)
 
 
 @query(
-    ("change_event",),
+    _INBOX,
     """
-select event_id, case when event_id % 2 = 0 then 'FAILED' else 'IN_PROGRESS' end as status,
-case when event_id % 2 = 0 then repeat('x', 1000) end as last_error, event_id % 2 = 0 as applied
-from change_event where delivery_no = 1
+with finishes as (
+  select f.event_id, i.status, coalesce(i.status = 'IN_PROGRESS' and i.lease_owner = 'worker-' || f.tenant_id, false) as applied
+  from change_event f left join inbox_state i on f.event_id = i.event_id)
+select event_id, case when applied then 'FAILED' else status end as status, case when applied then repeat('x', 1000) end as last_error, applied from finishes
 """,
 )
-def delta_finish(events):
-    own = events.where("delivery_no = 1")
-    inbox = own.select("event_id", F.lit("IN_PROGRESS").alias("status"), F.when(F.col("event_id") % 2 == 0, "me").otherwise("other").alias("lease_owner"))
-    return state.finish_events(own.select("event_id", F.lit("me").alias("owner"), F.lit("FAILED").alias("new_status"), F.repeat(F.lit("x"), 1200).alias("error")), inbox)
+def delta_finish(events, inbox, source):
+    asked = events.select("event_id", F.concat(F.lit("worker-"), "tenant_id").alias("owner"), F.lit("FAILED").alias("new_status"), F.repeat(F.lit("x"), 1200).alias("error"))
+    return state.finish_events(asked, inbox)
 
 
 @query(
-    ("change_event",),
-    """
-select event_id, delivery_no,
-       case when event_id % 17 = 0 then 'PERMANENT'
-            when event_id % 5 = 0 and event_id % 2 = 0 then 'DUPLICATE'
-            when event_id % 5 = 0 then 'IN_PROGRESS'
-            when event_id % 7 = 0 then 'LEASE_LOST'
-            when event_id % 3 = 0 then 'PERMANENT'
-            when event_id % 11 = 0 then 'RETRYABLE' else 'PROCESSED' end as outcome
-from change_event
+    _INBOX,
+    _ASKED + f"""
+select c.event_id, c.delivery_no,
+       case when not c.same_identity then 'PERMANENT'
+            when not c.claimed and c.status = 'COMPLETED' then 'DUPLICATE'
+            when not c.claimed then 'IN_PROGRESS'
+            when c.status = 'IN_PROGRESS' and c.deliveries > 1 then 'LEASE_LOST'
+            when s.external_id is null or {_blank("s.email")} then 'PERMANENT' else 'PROCESSED' end as outcome
+from claims c left join source_candidate s on c.tenant_id = s.tenant_id and c.candidate_id = s.external_id
 """,
 )
-def delivery_outcomes(events):
-    e = F.col("event_id")
-    status = F.when(e % 2 == 0, "COMPLETED").otherwise("IN_PROGRESS")
-    error = F.when(e % 3 == 0, "INVALID_RECORD").when(e % 11 == 0, "TRANSIENT")
-    return events.select("event_id", "delivery_no", delta.delivery_outcome(status, e % 17 != 0, e % 5 != 0, e % 7 == 0, error).alias("outcome"))
+def delivery_outcomes(events, inbox, source):
+    """A claim of an event that was in progress is lost to the delivery behind it, where there is one."""
+    held = inbox.select("event_id", F.struct("tenant_id", "candidate_id").alias("_held"), F.col("status").alias("_status"))
+    seen = delta.lookup_source(events, source).join(_claims(events, inbox).select("event_id", "delivery_no", "claimed"), ["event_id", "delivery_no"]).join(held, "event_id", "left")
+    many = F.count(F.lit(1)).over(Window.partitionBy("event_id")) > 1
+    same = F.col("_status").isNull() | F.struct("tenant_id", "candidate_id").eqNullSafe(F.col("_held"))
+    error = F.when(~F.col("found"), "SOURCE_NOT_FOUND").when(fn.is_blank(F.col("email")), "INVALID_RECORD")
+    taken = F.coalesce((F.col("_status") == "IN_PROGRESS") & many, F.lit(False))
+    return seen.select("event_id", "delivery_no", delta.delivery_outcome(F.col("_status"), same, F.col("claimed"), taken, error).alias("outcome"))
 
 
 @query(

@@ -47,6 +47,15 @@ from {events} e join {source_candidate} s on e.user_id = s.k where e.event_id %
 union all
 select e.event_id, 'tenant-reused', s.external_id, e.ts, 3
 from {events} e join {source_candidate} s on e.user_id = s.k where e.event_id % 333 = 7""",
+    ),
+    "inbox_state": (
+        ("change_event", "source_candidate"),
+        """
+select e.event_id, e.tenant_id, e.candidate_id, e.occurred_at, e.occurred_at as updated_at, cast(1 as int) as attempts,
+       case when s.email = '' then 'FAILED' when cast(e.occurred_at as date) < date '2024-01-20' then 'COMPLETED' else 'IN_PROGRESS' end as status,
+       case when s.email <> '' and cast(e.occurred_at as date) >= date '2024-01-20' then 'worker-' || e.tenant_id end as lease_owner
+from {change_event} e join {source_candidate} s on e.tenant_id = s.tenant_id and e.candidate_id = s.external_id
+where e.delivery_no = 1 and cast(e.occurred_at as date) < date '2024-01-28'""",
     ),
     "migration_state": (
         ("orders", "source_candidate"),
