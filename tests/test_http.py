@@ -170,14 +170,17 @@ def test_a_written_tenant_is_there_once(spark, system, address):
     assert system.stored["tenant-bulk", "candidate-00100"] == {"externalId": "candidate-00100", "firstName": "First100", "lastName": "Last100", "email": ""}
 
 
-def test_an_aborted_write_counts_nothing(spark, system, tmp_path):
+def test_an_aborted_write_counts_nothing(spark, system):
     rest.register(spark)
     system.broken["records/candidate-00777"] = [400, None]
-    report = tmp_path / "report.json"
-    rows = requests_of(spark).repartition(3).write.format("records_http").option("url", system.base + "/{tenant}/records/{id}").option("report", str(report))
+    report = rest.Report()
+    report.line.settimeout(1)
+    rows = requests_of(spark).repartition(3).write.format("records_http").option("url", system.base + "/{tenant}/records/{id}").option("report", report.option)
     with pytest.raises(Exception, match="record write failed .PERMANENT, HTTP 400"):
         rows.mode("append").save()
-    assert not report.exists() and system.stored
+    with pytest.raises(TimeoutError):
+        report.rows()
+    assert system.stored
     with pytest.raises(Exception, match="can't be overwritten"):
         rows.mode("overwrite").save()
     system.broken.clear()
