@@ -14,7 +14,9 @@ character, until the parser returns the source's turn. The parser takes one back
 
 Turns are sorted over ranges of (conversation, turn) and not gathered by conversation, so one with a third of all rows is
 rendered by many tasks. They are joined to pieces of about max_chars code points, which end between turns: most
-conversations are one row, and no task holds a long one. Only digests pass through a task a conversation, piece by piece.
+conversations are one row, and no task holds a long one. Only what stands at the two ends of a range may go on in another
+one: these pieces alone are dealt by conversation and joined. Digests of a conversation of several pieces pass through a
+task piece by piece.
 
 Defined results: null texts and roles are empty; turns of one number are ordered by role and the text's SHA-256, a null
 number is first; repeated rows are turns, each; rows without a conversation's id form one; an empty table gives an empty
@@ -46,7 +48,7 @@ _OPENED = {start: (role, end) for role, (start, end) in MARKS.items()}
 
 #: Rows of a batch and code points at which one is passed on: pieces are long.
 BATCH_ROWS, BATCH_CHARS = 2048, 4_000_000
-PIECE = "conv_id long, place long, formatted string, n_turns long, loss array<struct<start: long, stop: long>>"
+PIECE = "conv_id long, place long, formatted string, n_turns long, loss array<struct<start: long, stop: long>>, last boolean"
 
 
 def escape(text: str) -> str:
@@ -138,8 +140,9 @@ def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 
 _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-_PIECE = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("formatted", pa.string()), ("n_turns", pa.int64()), ("loss", _LOSS)])
-_PLACED = pa.schema([*_PIECE, ("last", pa.bool_())])
+_PIECE = pa.schema([("conv_id", pa.int64()), ("place", pa.int64()), ("formatted", pa.string()), ("n_turns", pa.int64()), ("loss", _LOSS), ("last", pa.bool_())])
+#: done: null, or of a piece at the end of a range the pieces of its conversation that stand before it.
+_OPEN = pa.schema([*_PIECE, ("done", pa.int64())])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -151,20 +154,23 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def format_conversations(conversations: DataFrame, max_chars: int = 262_144) -> DataFrame:
     """conv_id, place, formatted, n_turns, loss (start and stop of the texts to learn, in code points of the piece) and last.
 
-    place counts a conversation's pieces from 0, last marks the last of them. conversations: conv_id, turn, role, text.
+    place counts a conversation's pieces from 0, last marks the last of them. conversations: conv_id, turn, role, text. The
+    result is read from tables that are written out by then.
     """
 
     def joined(rows: Iterator[dict]) -> Iterator[dict]:
-        piece, number = None, TaskContext.get().partitionId() << 33
+        piece, number, first = None, TaskContext.get().partitionId() << 33, True
         for r in rows:
-            if piece is None or piece.conv != r["conv_id"] or piece.chars >= max_chars:
-                if piece:
-                    yield piece.row()
-                piece, number = _Piece(r["conv_id"], number), number + 1
+            same = piece is not None and piece.conv == r["conv_id"]
+            if not same or piece.chars >= max_chars:
+                if piece:  # of a range's first conversation any piece may go on from the range before
+                    yield piece.row() | ({"place": number, "done": 0, "last": False} if first else {"last": not same})
+                    number, first = number + 1, first and same
+                piece = _Piece(r["conv_id"], piece.place + 1) if same else _Piece(r["conv_id"], 0, BEGIN if piece else "")
             turn, start, stop = proven(r["role"], r["text"])
             piece.add(turn, 1, [(start, stop)] if r["role"] == ASSISTANT else [])
         if piece:
-            yield piece.row()
+            yield piece.row() | {"place": number, "done": 0 if first else piece.place, "last": False}
 
     def merged(rows: Iterator[dict]) -> Iterator[dict]:
         piece = None
@@ -173,7 +179,7 @@ def format_conversations(conversations: DataFrame, max_chars: int = 262_144) ->
             if not same or piece.chars + len(r["formatted"]) > max_chars:
                 if piece:
                     yield piece.row() | {"last": not same}
-                piece = _Piece(r["conv_id"], piece.place + 1) if same else _Piece(r["conv_id"], 0, BEGIN)
+                piece = _Piece(r["conv_id"], piece.place + 1) if same else _Piece(r["conv_id"], r["done"], BEGIN if r["bare"] else "")
             piece.add(r["formatted"], r["n_turns"], [(s["start"], s["stop"]) for s in r["loss"]])
         if piece:
             yield piece.row() | {"last": True}
@@ -183,8 +189,11 @@ def format_conversations(conversations: DataFrame, max_chars: int = 262_144) ->
     turns = conversations.select("conv_id", "turn", F.coalesce("role", none).alias("role"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("_digest"), F.monotonically_increasing_id().alias("_row"))
     # Rows that are equal but for _row are the same turn: it only lets ranges part them.
     order = ["conv_id", "turn", "role", "_digest", "_row"]
-    pieces = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(lambda b: _batches(joined(_rows(b)), _PIECE), PIECE)
-    return pieces.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(lambda b: _batches(merged(_rows(b)), _PLACED), f"{PIECE}, last boolean")
+    ranges = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text")
+    pieces = materialize(ranges.mapInArrow(lambda b: _batches(joined(_rows(b)), _OPEN), f"{PIECE}, done long"))
+    ends = pieces.where("done is not null").withColumn("bare", ~F.startswith("formatted", F.lit(BEGIN)) & (F.col("done") == 0))
+    rest = ends.repartition("conv_id").sortWithinPartitions("conv_id", "place").mapInArrow(lambda b: _batches(merged(_rows(b)), _PIECE), PIECE)
+    return pieces.where("done is null").drop("done").unionByName(materialize(rest))
 
 
 class _Digests:
@@ -241,7 +250,7 @@ def format_report(conversations: DataFrame, max_chars: int = 262_144) -> DataFra
 
     All of it is read from the formatted pieces once they are written out.
     """
-    return read_back(materialize(format_conversations(conversations, max_chars)))
+    return read_back(format_conversations(conversations, max_chars))
 
 
 def with_conflict(conversations: DataFrame) -> DataFrame:
