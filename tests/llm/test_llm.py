@@ -587,12 +587,34 @@ def test_decontamination_equals_brute_force_also_with_common_phrases(spark, monk
         docs.append((i, " ".join(body)))
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute_leaks(docs, items)
-    for block in (1024, 32):
+    for block, light in (1024, 16), (32, 16), (1024, 0), (32, 1):
         monkeypatch.setattr(decontaminate, "BLOCK", block)
+        monkeypatch.setattr(decontaminate, "LIGHT", light)
         got = {(r.doc_id, r.item_id): (r.matched_words, r.window_words) for r in decontaminate.contaminated(df, bench).collect()}
         assert got == want and len(want) > 50
 
 
+def test_a_phrase_of_items_and_documents_makes_no_pairs(spark, monkeypatch):
+    phrase = "which of the following statements best describes the main idea of".split()
+    texts = lambda n, own: [(i, " ".join([f"{own}{i}a{k}" for k in range(8)] + phrase + [f"{own}{i}b{k}" for k in range(8)])) for i in range(n)]
+    made = []
+    keep = decontaminate.materialize
+
+    def counted(df):
+        out = keep(df)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialize", counted)
+    for n in 100, 400:
+        made.append(0)
+        docs, items = texts(n, "d"), texts(n, "i")
+        docs += [(n, "d " + " ".join(items[7][1].split()[7:20])), (n + 1, " ".join([*phrase, "i3b0"]))]
+        docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        assert {(r.doc_id, r.item_id, r.matched_words) for r in decontaminate.contaminated(docs, items).collect()} == {(n, 7, 13), (n + 1, 3, 12)}
+    assert made[1] < 4.2 * made[0]
+
+
 def test_rows_without_or_with_the_same_id_are_judged_by_their_text(spark):
     item = " ".join(f"t{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
