@@ -408,6 +408,17 @@ def test_a_repeated_label_trains_once(spark):
     assert np.array_equal(a, b) and x == y
 
 
+def test_learned_texts_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} " * (400 if i % 7 == 0 else 5)) for i in range(1, 60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    few = quality.fit(docs.where("doc_id % 7 <> 0"), labels)
+    monkeypatch.setattr(quality, "MAX_TRAIN_TEXT", 100)
+    bounded = quality.fit(docs, labels)
+    assert (few[0] == bounded[0]).all() and few[1] == bounded[1] != 0
+    monkeypatch.setattr(quality, "MAX_TRAIN_CHARS", 0)
+    assert quality.fit(docs, labels)[1] == 0
+
+
 def test_stretches_change_no_feature():
     text = " ".join(f"w{i % 50}é" for i in range(400))
     whole = Counter(np.concatenate(list(quality.features(text))).tolist())

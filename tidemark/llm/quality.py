@@ -8,7 +8,8 @@ into one number, so that a score is a mean of table look-ups; the folded table o
 Only text is used for a score. Rows with crc32(doc_id as text) mod 5 equal to 0 are never learned from. Defined
 results: null and empty texts have no features and get the score of the bias alone; repeated labels of a document count
 once, with the larger value; rows without a label are only scored; with no usable label every score is 0.5; an empty
-table gives an empty result; further columns are left alone.
+table gives an empty result; further columns are left alone. A text of any length is scored, stretch by stretch; repeated
+rows get one score each; a document of several texts is learned from by the smallest one.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BITS, DIM, EPOCHS, RATE = 18, 8, 5, 0.5
 #: Bound on the labelled rows that are learned from, the first by a hash of doc_id.
 MAX_TRAIN_ROWS = 4000
+#: Bounds on their characters: of all of them, in the same order, and of one (a longer text is only scored).
+MAX_TRAIN_CHARS, MAX_TRAIN_TEXT = 1 << 26, 1 << 20
 THRESHOLD = 0.3
 SIZES = (3, 4, 5)
 #: Characters that are hashed at once; longer texts go in stretches that end at white space.
@@ -125,7 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> t
     """Learns labels (doc_id, quality) on at most max_rows rows, in one task of bounded size."""
     marked = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(marked), "doc_id")
+    known = docs.where("doc_id is not null").select("doc_id", "text")
+    chars = known.join(F.broadcast(marked), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("_chars"), F.first("_label").alias("_label"))
+    running = F.sum("_chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # max_rows numbers at most
+    marked = chars.where(F.col("_chars") <= MAX_TRAIN_TEXT).withColumn("_running", running).where(F.col("_running") <= MAX_TRAIN_CHARS).select("doc_id", "_label")
+    texts = known.join(F.broadcast(marked), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))  # repeated ids count once
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
