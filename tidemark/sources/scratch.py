@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def store(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """materialize(df), and a call that drops its folder: for loops, once nothing reads a round any more."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: _drop(spark, path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return store(df)[0]
