@@ -239,6 +239,25 @@ def test_dense_cluster_is_split_until_buckets_are_small(spark):
     assert got == {p: c for p, c in want.items() if size[c] > 1 and p != c}
 
 
+def test_a_dense_cube_makes_rows_in_proportion(spark):
+    for bits in (10, 14):
+        cube = spark.range(1 << bits).select(F.col("id").alias("fp"))
+        assert simhash_dedup.buckets(cube, 64).count() < 32 << bits
+    roots = simhash_dedup.components(simhash_dedup.links(cube, 64))
+    assert roots.select("root").distinct().collect() == [(0,)] and roots.count() == (1 << bits) - 1
+
+
+def test_dense_clusters_that_are_apart_stay_so(spark):
+    """Cubes of 8 bits in two words of a code of distance 6, and a path between two of them: settled buckets lose no link."""
+    cubes = [x | 0x3F << 20 for x in range(256)] + [x | 0x3F << 30 for x in range(256)] + [x | 0x3F << 40 for x in range(256)]
+    prints = {*cubes, 0x3F << 30 | 0x07 << 40 | 1, 0x07 << 30 | 0x3F << 40 | 1}
+    df = spark.createDataFrame([(p,) for p in prints], "fp long")
+    want = brute_components({p: p for p in prints})
+    assert 1 < len(set(want.values())) < 4
+    got = {r.node: r.root for r in simhash_dedup.components(simhash_dedup.links(df, 16)).collect()}
+    assert got == {p: c for p, c in want.items() if p != c}
+
+
 def test_search_ends_once_a_bucket_is_connected():
     prints = np.unique(np.array([1 << a | 1 << b for a in range(40) for b in range(a)], np.uint64))
     forest = simhash_dedup.Forest(np.zeros(len(prints), np.int64), prints)

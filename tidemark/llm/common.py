@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.scratch import materialize, shared_dir  # noqa: F401
+from tidemark.sources.scratch import materialize, shared_dir, store  # noqa: F401
 
 #: The white space of every contract here, as the body of a regex class and as characters.
 WS_CLASS = r"\x20\x09-\x0D"

@@ -4,7 +4,9 @@ Fingerprints are made per document in Arrow batches. Only distinct fingerprints
 bits that differ in at most four bits agree in one of five blocks of bits, so each fingerprint goes to five buckets, one
 for each block and value; a bucket of over BUCKET fingerprints is split again by five blocks of the bits in which its
 members differ, as the same argument holds for these, and so on until no bucket is larger (members that differ in four
-bits are 16 at most).
+bits are 16 at most). A bucket that is too large a second time is first told apart by a few bits, other ones each time,
+without that each member goes to five parts; where the links within these parts connect all of its members, the bucket is
+settled and not split again, so that a dense cluster's rows stay in proportion to its members.
 Each bucket is the shard of one BK-tree: children are keyed by the Hamming distance to their parent, and a search follows
 only the edges within the radius; it ends once all members of a bucket are connected. Trees are shipped to the tasks by a
 shuffle, not by a broadcast, since they grow with the data. A task passes on a spanning forest of the links of its
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, partitions
+from tidemark.llm.common import materialize, partitions, store
 from tidemark.llm.wordarrays import MUL, mixed
 
 SHINGLE, SEED, RADIUS, BUCKET = 4, 42, 4, 4096
@@ -176,39 +178,93 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*rows)], names=["bucket", "fp"])
 
 
+def _thin(limit: int):
+    """Each (bucket, fp, differ, rows) to a few (bucket, fp): parts of limit / 2 members if the bits were even.
+
+    A part's members agree in all differing bits but a run of them; the runs of all turns together are all differing bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, prints, differ = (batch.column(k).to_numpy().view(np.uint64) for k in range(3))
+            rows, out = batch.column(3).to_numpy(), []
+            order = np.argsort(bucket, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if not len(at):
+                    continue
+                own, bits = prints[at], [b for b in range(64) if int(differ[at[0]]) >> b & 1]
+                width = len(bits) - (int(np.ceil(np.log2(rows[at[0]] / limit))) + 1)
+                for start in range(0, len(bits) if width > 0 else 0, max(width, 1)):
+                    start = min(start, len(bits) - width)
+                    apart = np.uint64(sum(1 << b for b in bits[:start] + bits[start + width :]))
+                    out.append((mixed(mixed(own & apart) * MUL + mixed(bucket[at] + apart)), own))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*out)], names=["bucket", "fp"])
+
+    return run
+
+
+def _unsettled(members: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Of (bucket, fp, differ, rows) the parts (bucket, fp) of up to limit members, and the buckets (bucket) that their links don't connect."""
+    parts = materialize(members.select("bucket", "fp", "differ", "rows").mapInArrow(_thin(limit), "bucket long, fp long"))
+    small = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") <= limit)
+    parts = materialize(parts.join(small.select("bucket"), "bucket", "left_semi"))
+    roots = components(_solved(parts))
+    root = F.coalesce("root", "fp")
+    ends = members.join(roots, F.col("fp") == F.col("node"), "left").groupBy("bucket").agg(F.min(root).alias("low"), F.max(root).alias("high"))
+    return parts, materialize(ends.where("low <> high").select("bucket"))
+
+
 def buckets(prints: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """(bucket, fp), some of them twice: every two fingerprints within RADIUS meet in a bucket. mask holds the bits in which those to be split agree."""
+    """(bucket, fp), some of them twice: every two fingerprints within RADIUS meet in a bucket, or in a larger one whose
+    members are connected by the pairs of other buckets. mask holds the bits in which those to be split agree.
+    """
     level, out = prints.select("fp", F.lit(0).cast("long").alias("mask")), None
     while True:
         dealt = level.mapInArrow(_split, "bucket long, fp long")
         dealt = materialize(dealt if out is None else dealt.distinct())  # two buckets may have the same part
         differ = F.bit_or("fp").bitwiseXOR(F.bit_and("fp"))
         sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), differ.alias("differ"))
-        crowded = materialize(sizes.where((F.col("rows") > limit) & (F.bit_count("differ") > RADIUS)).select("bucket", F.bitwise_not("differ").alias("mask")))
+        crowded = materialize(sizes.where((F.col("rows") > limit) & (F.bit_count("differ") > RADIUS)))
         rest = dealt.join(crowded, "bucket", "left_anti")
-        out = rest if out is None else out.unionByName(rest)
+        again, out = out is not None, rest if out is None else out.unionByName(rest)
         if crowded.isEmpty():
             return out
-        level = dealt.join(crowded, "bucket").select("fp", "mask")
+        members = dealt.join(crowded, "bucket")
+        if again:
+            parts, unsettled = _unsettled(members, limit)
+            out, members = out.unionByName(parts), members.join(unsettled, "bucket", "left_semi")
+        level = members.select("fp", F.bitwise_not("differ").alias("mask"))
+
+
+def _solved(dealt: DataFrame) -> DataFrame:
+    rows = dealt.repartition(partitions(dealt.sparkSession), "bucket").sortWithinPartitions("bucket", "fp")
+    return rows.mapInArrow(_links, "a long, b long").distinct()
 
 
 def links(prints: DataFrame, limit: int = BUCKET) -> DataFrame:
     """Edges (a, b), a > b in no given order, that connect all distinct fingerprints within RADIUS."""
-    dealt = buckets(prints, limit).repartition(partitions(prints.sparkSession), "bucket").sortWithinPartitions("bucket", "fp")
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    return _solved(buckets(prints, limit))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge, by alternating large-star and small-star rounds until nothing changes."""
-    edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    """(node, root) for every node of an edge, by alternating large-star and small-star rounds until nothing changes.
+
+    The least neighbours are written before they are joined: both sides of a join are then plain exchanges, so that the
+    rows of a component's centre can be split among tasks. A round's tables are dropped once the next one is written.
+    """
+    edges, drop = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b"))
-        edges = materialize(small.where("a <> b").distinct())
+        low, drop_low = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large, drop_large = store(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least, drop_least = store(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).select("e.a", F.col("e.m").alias("b"))
+        edges, drop_new = store(small.where("a <> b").distinct())
+        for done in (drop, drop_low, drop_large, drop_least):
+            done()
+        drop = drop_new
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
