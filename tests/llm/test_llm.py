@@ -370,6 +370,35 @@ def test_decision_equals_brute_force(languages):
         assert f.decide(text) == (f"l{best:03}", pytest.approx(share[best] / sum(share) if share[best] else 0.0))
 
 
+def test_learning_equals_brute_force(spark, monkeypatch):
+    """The n-grams of each language counted one by one; a merge at every text, and a bound on languages."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("lang"))
+    counts = {}
+    for r in docs.where("lang is not null and text is not null").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5:
+            for gram in langid.grams(r.text):
+                counts.setdefault(r.lang, Counter()).update(gram.tolist())
+    rates = {x: {g: n / c.total() for g, n in c.items() if n >= c.total() * langid.MIN_RATE} for x, c in sorted(counts.items())}
+    most = Counter()
+    for own in rates.values():
+        for g, rate in own.items():
+            most[g] = max(most[g], rate)
+    members = [np.array([g for g, rate in own.items() if rate >= langid.NEAR_BEST * most[g]], np.uint64) for own in rates.values()]
+    want, got = langid.Filters(list(rates), members), langid.fit(docs)
+    assert got.languages == want.languages and all(np.array_equal(a, b) for a, b in zip(got.slices, want.slices, strict=True))
+    held = langid._Counts()
+    monkeypatch.setattr(langid, "MERGE", 40)
+    text = [np.array([5, 3, 5], np.uint64), np.array([9, 3] * 30, np.uint64), np.array([1, 9], np.uint64)]
+    for part in text:
+        held.add("x", part)
+    held.merge()
+    gram, n = held.counted["x"]
+    assert dict(zip(gram.tolist(), n.tolist())) == {1: 1, 3: 31, 5: 2, 9: 31} and gram.tolist() == sorted(gram.tolist())
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", len(rates) - 1)
+    with pytest.raises(ValueError, match="values to learn"):
+        langid.fit(docs)
+
+
 def test_more_than_64_languages_are_learned(spark):
     rows = [(i, f"{chr(97 + i % 70 // 3)}{chr(97 + i % 70 % 3)}{'xyz'[i % 70 % 3]} " * 9, f"l{i % 70:02}", None, 0, 0, "", 0) for i in range(700)]
     docs = spark.createDataFrame(rows, SCHEMA)
