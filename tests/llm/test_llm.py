@@ -120,6 +120,16 @@ def test_exact_dedup_keeps_one_row_of_rows_without_or_with_the_same_id(spark, tm
     assert len(got) == 303 and sum(r.kept for r in got if r.doc_id is None) == 150 and sum(r.kept for r in got if r.doc_id == 4) == 1
 
 
+def test_exact_dedup_sends_few_texts_that_are_not_compared(spark):
+    texts = spark.range(20_000).select(F.lit("f").alias("file"), F.col("id").alias("row"), F.lit("text").alias("text"))
+    wanted = texts.where("row % 10 = 0").select("file", "row")
+    near = exact_dedup._near(texts, wanted)
+    assert near.columns == texts.columns
+    assert near.join(wanted, ["file", "row"]).count() == 2_000
+    assert near.count() < 2_020
+    assert exact_dedup._near(texts, wanted.where("false")).count() == 0
+
+
 def test_exact_dedup_compares_the_texts_of_a_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, _: F.lit("00"))  # any two texts of a length share a digest
     spark.createDataFrame([(1, "abc"), (2, "abd")], "doc_id long, text string").write.parquet(f"{tmp_path}/d.parquet")

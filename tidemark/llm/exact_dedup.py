@@ -35,6 +35,8 @@ STATE_CONF = {
 }
 GROUP = ["digest", "norm_chars"]
 LOCATOR = ["file", "row"]
+#: Bits of the filter of the rows whose texts are sent to be compared (false positives only send more).
+CELLS = 1 << 25
 _CHECKED = "file string, row long"
 
 
@@ -61,6 +63,17 @@ def exactly(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
+def _near(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """At least the rows of texts whose locators are in wanted: a broadcast filter of bounded size keeps back most others.
+
+    Without it a join sends all texts through a shuffle, once wanted is too large to be broadcast.
+    """
+    cell = F.pmod(F.xxhash64(*LOCATOR), F.lit(CELLS))
+    word, bit = F.shiftright(cell, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(cell, F.lit(64)).cast("int")).alias("bit")
+    words = wanted.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return texts.select("*", word, bit).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0).select(*texts.columns)
+
+
 def _unequal(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of texts (locator, group, norm) that differ from the row that stays in their group."""
     held = texts.join(groups.select(F.col("keep_file").alias("file"), F.col("keep_row").alias("row")), LOCATOR).select(*GROUP, F.col("norm").alias("held"))
@@ -78,7 +91,8 @@ def _check(spark: SparkSession, path: str, base: str, changed: DataFrame, batch:
     holders = members.join(groups.select(F.col("keep_file").alias("file"), F.col("keep_row").alias("row")), LOCATOR, "left_semi")
     wanted = materialize(new.unionByName(holders).distinct())
     # Written out before they are compared: in one plan, the optimizer would hash all texts again, as further keys of the join.
-    texts = materialize(_located(spark.read.parquet(path)).join(wanted, LOCATOR).select(*LOCATOR, *GROUP, normalized(F.col("text")).alias("norm")))
+    near = _near(_located(spark.read.parquet(path)), wanted)
+    texts = materialize(near.join(wanted, LOCATOR).select(*LOCATOR, *GROUP, normalized(F.col("text")).alias("norm")))
     if not _unequal(texts, groups).isEmpty():
         raise ValueError("two texts share a SHA-256 digest")
     wanted.select(*LOCATOR).write.mode("overwrite").parquet(f"{base}/checked/batch={batch}")
