@@ -575,6 +575,31 @@ def same_scores(got, rows):
     assert {r.doc_id: (r.n_words, r.score) for r in got} == want
 
 
+def test_lm_ids_take_two_bytes_each_where_steps_are_short():
+    for ids in ([5], [7, 7, 8, 70_000], [-(2**63), 3], [9, 2], [2**62, 2**62 + 5], list(range(1000))):
+        assert lm_score._unpack_ids(lm_score._pack_ids(np.array(ids, np.int64))).tolist() == ids
+    assert len(lm_score._pack_ids(np.arange(1000))) == 1 + 8 + 2 * 999
+
+
+def test_parts_hold_hashes_and_no_words():
+    """The peak of a part of 400,000 words stays near the eight bytes that each takes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidemark.llm.wordarrays import hashed, parts, words
+
+    texts = [" ".join(f"w{(i * 31 + k) % 5003}" for k in range(1000)) for i in range(400)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(402), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    got = list(parts(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    h, sizes = hashed([words(t) for t in texts])
+    assert [np.concatenate(c).tolist() for c in zip(*got)] == [list(range(402)), sizes.tolist(), h.tolist()]
+    assert peak < 3 * h.nbytes
+
+
 @pytest.mark.parametrize("shard_words,parts,hot", [(4_000_000, 8192, 65_000), (3000, 8192, 65_000), (3000, 3, 200), (300, 5, 20)])
 def test_lm_scores_equal_brute_force(small, small_rows, monkeypatch, shard_words, parts, hot):
     """Also with several shards a task, and with few or many frequent words."""

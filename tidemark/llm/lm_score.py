@@ -33,7 +33,7 @@ from tidemark.llm.common import materialize
 from tidemark.llm.wordarrays import MUL, mixed, parts, runs, shard_of
 
 ALPHA, UNIT = 0.4, 1e9
-SHARD_WORDS, SLICE, PARTS = 4_000_000, 250_000, 8192
+SHARD_WORDS, SLICE, PARTS = 2_000_000, 250_000, 8192
 #: Bound on frequent words; their codes fit in two bytes.
 HOT = 65_000
 #: Code behind a last word, so that the bigrams of a word are as many as the word; never scored.
@@ -184,6 +184,20 @@ def _unpack_codes(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _pack_ids(ids: np.ndarray) -> bytes:
+    """Ascending ids as the first one and two bytes for each step, where these suffice; a byte in front tells."""
+    steps = np.diff(ids)
+    if len(steps) and 0 <= steps.min() and steps.max() < 1 << 16:
+        return b"\1" + ids[:1].tobytes() + steps.astype("<u2").tobytes()
+    return b"\0" + ids.tobytes()
+
+
+def _unpack_ids(raw: bytes | pa.Buffer) -> np.ndarray:
+    if not np.frombuffer(raw, np.uint8, 1)[0]:
+        return np.frombuffer(raw, np.int64, -1, 1)
+    return np.cumsum(np.r_[np.frombuffer(raw, np.int64, 1, 1), np.frombuffer(raw, "<u2", -1, 9)])
+
+
 def _packed(kind: int, shard: np.ndarray, doc: np.ndarray, first: np.ndarray | None, second: np.ndarray, ids: np.ndarray, together: int, own: np.ndarray | None = None) -> list[tuple]:
     """A row for every so many shards together, numbered by them, with their entries, equal ones merged; doc holds ordinals in ids."""
     if not len(shard):
@@ -205,14 +219,14 @@ def _packed(kind: int, shard: np.ndarray, doc: np.ndarray, first: np.ndarray | N
         names, ordinal = np.unique(doc[a:b], return_inverse=True)
         kind_of = "<u2" if len(names) < 1 << 16 else "<u4"
         of_first = _pack_codes(first[a:b]) if first is not None else b""
-        out.append((int(shard[a]), kind, ids[names].tobytes(), ordinal.astype(kind_of).tobytes(), of_first, _pack_codes(second[a:b]), n[a:b].astype("<u4").tobytes()))
+        out.append((int(shard[a]), kind, _pack_ids(ids[names]), ordinal.astype(kind_of).tobytes(), of_first, _pack_codes(second[a:b]), n[a:b].astype("<u4").tobytes()))
     return out
 
 
 def _entries(row: tuple) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
     """(doc ids, first words, second words, own counts) of a packed row."""
     _, _, docs, ords, first, second, own = row
-    ids, own = np.frombuffer(docs, np.int64), np.frombuffer(own, "<u4")
+    ids, own = _unpack_ids(docs), np.frombuffer(own, "<u4")
     ordinal = np.frombuffer(ords, "<u2" if len(ids) < 1 << 16 else "<u4")
     return ids[ordinal], _unpack_codes(first, len(own)) if first else None, _unpack_codes(second, len(own)), own.astype(np.int64)
 
@@ -246,19 +260,18 @@ def _sums(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _score_pairs(shared):
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Scores a shard in slices of first words, into which each row is cut once."""
-        model, shard = shared.value, rows[0][0]
-        slices = max(1, sum(len(r[6]) for r in rows) // 4 // SLICE)
-        held = []
-        while rows:
-            _, _, docs, ords, first, second, own = rows.pop()
-            ids, n = np.frombuffer(docs, np.int64), len(own) // 4
-            first = _unpack_codes(first, n)
-            part = ((mixed(first) >> np.uint64(8)) % np.uint64(slices)).astype(np.uint16)
-            order = np.argsort(part, kind="stable")
-            columns = (np.frombuffer(ords, "<u2" if len(ids) < 1 << 16 else "<u4"), first, _unpack_codes(second, n), np.frombuffer(own, "<u4"))
-            held.append((ids, *(c[order] for c in columns), np.searchsorted(part[order], np.arange(slices + 1))))
+    def cut_up(row: list[pa.Buffer], slices: int) -> tuple:
+        """The columns of a packed row, sorted by slices of first words, and where each slice begins."""
+        docs, ords, first, second, own = row
+        ids, n = _unpack_ids(docs), own.size // 4
+        first = _unpack_codes(first, n)
+        part = ((mixed(first) >> np.uint64(8)) % np.uint64(slices)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        columns = (np.frombuffer(ords, "<u2" if len(ids) < 1 << 16 else "<u4"), first, _unpack_codes(second, n), np.frombuffer(own, "<u4"))
+        return ids, *(c[order] for c in columns), np.searchsorted(part[order], np.arange(slices + 1))
+
+    def solve(model: Model, shard: int, held: list[tuple], slices: int) -> Iterator[pa.RecordBatch]:
+        """Scores a shard in slices of first words, into which each row has been cut once."""
         sums = []
         for k in range(slices):
             cut = [(ids[ords[c[k] : c[k + 1]]], *(x[c[k] : c[k + 1]] for x in (first, second, own))) for ids, ords, first, second, own, c in held]
@@ -299,20 +312,25 @@ def _score_pairs(shared):
         return known, _packed(1, model.of_word(second), ordinal, None, second, ids, model.runs, own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = -1, []
+        model = shared.value
+        slices = max(1, model.total // model.shards // SLICE)
+        shard, held = -1, []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if rows and (row[0] != shard or row[1] != 0):
-                    yield from solve(rows)
-                    rows = []
-                if row[1] == 0:
-                    shard = row[0]
-                    rows.append(row)
+            to, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in range(batch.num_rows):  # a row is read where it lies, and only its cut columns are held
+                if held and (to[k] != shard or kinds[k] != 0):
+                    yield from solve(model, shard, held, slices)
+                    held = []
+                if kinds[k] == 0:
+                    shard = int(to[k])
+                    held.append(cut_up([batch.column(c)[k].as_buffer() for c in range(2, 7)], slices))
                 else:
-                    together = shared.value.runs if row[1] == 3 else 1
-                    yield _batch([(row[0] // together, *row[1:])])
-        if rows:
-            yield from solve(rows)
+                    together = model.runs if kinds[k] == 3 else 1
+                    row = [batch.column(c)[k].as_py() for c in range(1, 7)]
+                    yield _batch([(int(to[k]) // together, *row)])
+            del batch, to, kinds
+        if held:
+            yield from solve(model, shard, held, slices)
 
     return run
 
@@ -358,7 +376,8 @@ def _back_off(shared):
                 yield pa.RecordBatch.from_arrays([home, docs, values], names=["home", "docs", "parts"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for k in range(batch.num_rows):
+                row = [batch.column(i)[k].as_py() for i in range(7)]
                 if row[0] != shard:
                     shard, table, key = row[0], [], None
                 if row[1] == 4:

@@ -32,20 +32,24 @@ def hashed(lists: list[list[bytes]], seed: int = 0) -> tuple[np.ndarray, np.ndar
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, sizes, word hashes) of bounded parts of (doc_id, text) batches."""
+
+    def joined(ids: list[int], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        out = np.array(ids, np.int64), np.fromiter(map(len, held), np.int64, len(held)), np.concatenate(held)
+        ids.clear()
+        held.clear()
+        return out
+
     for batch in batches:
-        ids, held, load = [], [], 0
+        ids, held, load = [], [], 0  # hashes are held, not words, which take several times as much
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = words(text.as_py())
+            held.append(hashed([words(text.as_py())])[0])
             ids.append(doc_id)
-            held.append(own)
-            load += 8 * len(own)
+            load += held[-1].nbytes
             if load >= PART_BYTES or len(ids) >= PART_DOCS:
-                h, sizes = hashed(held)
-                yield np.array(ids, np.int64), sizes, h
-                ids, held, load = [], [], 0
+                yield joined(ids, held)
+                load = 0
         if ids:
-            h, sizes = hashed(held)
-            yield np.array(ids, np.int64), sizes, h
+            yield joined(ids, held)
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
