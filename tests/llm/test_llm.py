@@ -316,6 +316,26 @@ def test_pipeline_drops_near_copies_of_four_fifths(spark, small, small_rows, odd
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(rows).collect()} == brute_copies([(r.doc_id, r.text) for r in rows.collect()])
 
 
+def test_near_copies_come_from_the_fingerprints_of_operator_2(spark):
+    """Without any MinHash list, the sets whose fingerprints are within four bits are linked, where they are alike."""
+    rng, rows = random.Random(5), [(1000, "a b c d e f"), (1001, "a b c d e g")]
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in range(600)]
+        for k in range(12):
+            own = list(base)
+            own[rng.randrange(600)] = f"own{k}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    records = near_copies._records(docs, 5).withColumn("keys", F.array().cast("array<long>")).persist()
+    nodes = {r.fp: r for r in records.collect()}
+    root = {r.node: r.root for r in simhash_dedup.components(near_copies.links(docs, records)).collect()}
+    records.unpersist()
+    near = [(a, b) for a, b in combinations(nodes, 2) if bin((nodes[a].print ^ nodes[b].print) & (2**64 - 1)).count("1") <= 4]
+    assert len(near) > 40
+    assert all(root.get(a, a) == root.get(b, b) for a, b in near)
+    assert not {a for a in nodes if nodes[a].doc_id >= 1000} & set(root)
+
+
 @pytest.mark.parametrize(("cell", "cell_shingles"), [(4096, 4 << 20), (7, 4 << 20), (4096, 500)])
 def test_near_copies_of_families_below_the_similarity(spark, monkeypatch, cell, cell_shingles):
     """Families whose members share lists, but of which few are alike: rows stay fewer than pairs, and no link is lost."""

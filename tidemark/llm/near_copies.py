@@ -1,8 +1,11 @@
 """Near copies: components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Equal sets are one node. The hashes of a set give BANDS bands of ROWS MinHash values; nodes of an equal band are a list.
-Two sets of similarity 0.8 share a list with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9997. First each node is
-compared with the centre of most of its lists, one pair a node, which joins the families. Then all members of a list that
+Equal sets are one node. The method is that of operator 2, with 5-word shingles: each set has a SimHash fingerprint, its
+BK-trees find the fingerprints within four bits, and their forests of links are candidates that are verified on the sets.
+At 0.8 most fingerprints lie farther apart than that, and a link of a forest may fail the similarity, so that MinHash lists
+follow for what these links leave apart. The hashes of a set give BANDS bands of ROWS MinHash values; nodes of an equal band are a list.
+Two sets of similarity 0.8 share a list with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9997. Along with the links
+of fingerprints each node is compared with the centre of most of its lists, one pair a node, which joins the families. Then all members of a list that
 are in different components are compared by their signatures, a byte of each MinHash value, in blocks of CELL members
 (a list of any size is dealt to as many tasks as it has pairs of blocks, and blocks of one component never meet). Members
 with a partner whose signature allows the similarity (2e-5 of the pairs at 0.8 are lost) get their whole sets and are
@@ -25,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import simhash_dedup
 from tidemark.llm.common import materialize, partitions
 from tidemark.llm.simhash_dedup import component_ids, components
 from tidemark.llm.wordarrays import MUL, mixed, pack, rolling, runs, unpack
@@ -77,7 +81,7 @@ def _row(docs: DataFrame) -> Column:
 
 
 def _records(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, row (a hash of the text), fp (the node), n (the size of its set), keys (its bands) and sig (its signature)."""
+    """doc_id, row (a hash of the text), fp (the node), n (the size of its set), print (its SimHash), keys (its bands) and sig (its signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +91,10 @@ def _records(docs: DataFrame, shingle: int) -> DataFrame:
                 keys, sigs = zip(*map(bands, own))
                 ends = np.cumsum([0, *map(len, keys)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
-                columns = [part.column(0), part.column(1), pa.array([node_of(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), listed, pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "n", "keys", "sig"])
+                columns = [part.column(0), part.column(1), pa.array([node_of(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), pa.array([simhash_dedup.simhash(x) for x in own], pa.int64()), listed, pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "fp", "n", "print", "keys", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), _row(docs), "text").mapInArrow(run, "doc_id long, row long, fp long, n long, keys array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), _row(docs), "text").mapInArrow(run, "doc_id long, row long, fp long, n long, print long, keys array<long>, sig binary")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +169,21 @@ def verified(pairs: DataFrame, sets: DataFrame, share: float = SHARE) -> DataFra
     return materialize(rows.select("a", "b", "own_a", "own_b").mapInArrow(_alike(share), "a long, b long"))
 
 
+def _by_fingerprint(records: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of nodes to be verified, fewer than there are nodes: those of one fingerprint with the first of them,
+    and these first ones where operator 2 links their fingerprints."""
+    nodes = records.where("n > 0").groupBy(F.col("fp").alias("id")).agg(F.first("print").alias("print"), F.first("n").alias("n"))
+    first = F.min(F.struct("id", "n")).alias("first")
+    prints = materialize(nodes.groupBy("print").agg(first))
+    same = nodes.join(prints, "print").select("id", "n", F.col("first.id").alias("other"), F.col("first.n").alias("other_n"))
+    near = simhash_dedup.links(prints.select(F.col("print").alias("fp")))
+    for end in "a", "b":
+        near = near.join(prints.select(F.col("print").alias(end), F.col("first").alias(f"first_{end}")), end)
+    near = near.select("first_a.id", "first_a.n", F.col("first_b.id").alias("other"), F.col("first_b.n").alias("other_n"))
+    may = same.unionByName(near).where(F.col("id") != F.col("other")).where(_fit("n", "other_n", share))
+    return may.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
+
+
 def _rooted(nodes: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     """nodes with the root of each id as a column; a node without a link is its own."""
     return nodes.join(roots.select(F.col("node").alias("id"), F.col("root").alias(name)), "id", "left").withColumn(name, F.coalesce(name, "id"))
@@ -287,13 +306,15 @@ def _forest(share: float):
 
 
 def links(docs: DataFrame, records: DataFrame, shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
-    """Verified edges (a, b) that connect the nodes of records (fp, n, keys, sig) of at least that similarity."""
+    """Verified edges (a, b) that connect the nodes of records (fp, n, print, keys, sig) of at least that similarity."""
     spark = docs.sparkSession
     postings = records.select(F.explode("keys").alias("s"), F.col("fp").alias("id"), "n").withColumn("turn", F.xxhash64("id", "s"))
     dealt = postings.repartition(partitions(spark), "s").sortWithinPartitions("s", "turn", "id").select("s", "id", "n")
     lists = materialize(dealt.mapInArrow(_stars, "s long, id long, n long, c long, cn long"))
     stars = lists.where(_fit("n", "cn", share)).groupBy(F.col("id").alias("a"), F.col("c").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-    tried = materialize(stars.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b")))
+    starred = stars.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
+    starred = starred.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = materialize(starred.unionByName(_by_fingerprint(records, share)).distinct())
     ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
     found = verified(tried, materialize(_sets(docs, ids, shingle)), share)
     members = lists.select("s", "id", "n").unionByName(lists.select("s", F.col("c").alias("id"), F.col("cn").alias("n")).distinct())

@@ -35,6 +35,14 @@ SHINGLE, SEED, RADIUS, BUCKET = 4, 42, 4, 4096
 CHUNK_ROWS, CHUNK_VISITS = 100_000, 4_000_000
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are set in over half of the hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes)).view(np.int64)[0])
+
+
 def fingerprint(text: str | None) -> int:
     """The signed 64-bit SimHash of a text's 4-word shingles, repeats included."""
     import xxhash
@@ -51,10 +59,7 @@ def fingerprint(text: str | None) -> int:
         np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=at[1:])
         starts, ends = at[: len(words) - SHINGLE + 1].tolist(), (at[SHINGLE:] - 1).tolist()
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes)).view(np.int64)[0])
+    return simhash(hashes)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
