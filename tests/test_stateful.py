@@ -1,6 +1,7 @@
 """The inbox as keyed state: its rules with a set clock, the processor on a state in memory, and the stream with a restart."""
 
 import json
+import random
 import time
 from types import SimpleNamespace
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import Row
 
 from tidemark.streaming import stateful
-from tidemark.streaming.stateful import InboxProcessor, Policy
+from tidemark.streaming.stateful import BucketProcessor, InboxProcessor, Pages, Policy
 
 POLICY = Policy(max_attempts=3, lease_ms=10_000)
 
@@ -152,6 +153,118 @@ def test_many_deliveries_of_one_id_wait_in_the_store():
     assert len(c.rows(c.result("e#1"))) == 500 and not c.store.entries
 
 
+class BucketStore:
+    """The parts of a state store that the processor of a bucket uses, for one bucket, and the number of calls."""
+
+    def __init__(self):
+        self.states, self.timers, self.calls = {}, set(), 0
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def getValueState(self, name, schema):
+        held = self.states.setdefault(name, {})
+        return SimpleNamespace(get=lambda: self._called(held.get(0)), update=lambda v: self._called(held.update({0: v})))
+
+    def getMapState(self, name, key, value):
+        held = self.states.setdefault(name, {})
+        return SimpleNamespace(updateValue=lambda k, v: self._called(held.update({k: v})), getValue=lambda k: self._called(held.get(k)), removeKey=lambda k: self._called(held.pop(k)))
+
+    def registerTimer(self, at):
+        assert at not in self.timers
+        self._called(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self._called(self.timers.remove(at))
+
+
+class Bucket:
+    """A processor of a bucket, its clock, and one of each id on its own that gets the same rows."""
+
+    def __init__(self):
+        self.store, self.now, self.single, self.offset = BucketStore(), 0, {}, 0
+        self.processor = BucketProcessor(POLICY)
+        self.processor.init(self.store)
+
+    def times(self):
+        return SimpleNamespace(getCurrentProcessingTimeInMs=lambda: self.now)
+
+    def delivery(self, event_id, candidate="c1"):
+        self.offset += 1
+        return dict(event_id=event_id, tenant_id="t", candidate_id=candidate, occurred_at=0, complete=True, key="k", value="v", topic="x", partition=0, offset=self.offset, owner=None, failure=None, error=None)
+
+    def result(self, event_id, owner, failure=None):
+        return dict(event_id=event_id, tenant_id=None, candidate_id=None, occurred_at=None, complete=True, key=None, value=None, topic=None, partition=None, offset=None, owner=owner, failure=failure, error=failure)
+
+    def rows(self, rows):
+        made = list(self.processor.handleInputRows((0,), (Row(row=json.dumps({k: v for k, v in r.items() if v is not None})) for r in rows), self.times()))
+        alone, by_id = [], {}
+        for r in rows:
+            by_id.setdefault(r["event_id"], []).append(Row(**r))
+        for i, mine in by_id.items():
+            one = self.single.setdefault(i, Clocked())
+            one.now = self.now
+            alone += one.processor.handleInputRows((i,), iter(mine), one.times())
+        assert sorted(map(str, made)) == sorted(map(str, alone))
+        return made
+
+    def tick(self, now):
+        made, alone = [], []
+        while due := sorted(t for t in self.store.timers if t <= now):
+            self.now = due[0]
+            info = SimpleNamespace(getExpiryTimeInMs=lambda: due[0])
+            made += self.processor.handleExpiredTimer((0,), self.times(), info)
+            self.store.timers.remove(due[0])  # as Spark does, behind the processor
+        for i, one in self.single.items():
+            while due := sorted(t for t in one.store.timers if t <= now):
+                one.now = due[0]
+                one.store.timers.discard(due[0])
+                info = SimpleNamespace(getExpiryTimeInMs=lambda: due[0])
+                alone += one.processor.handleExpiredTimer((i,), one.times(), info)
+        self.now = now
+        assert sorted(map(str, made)) == sorted(map(str, alone))
+        return made
+
+
+def test_a_bucket_answers_each_id_as_a_key_of_its_own():
+    rng, b = random.Random(5), Bucket()
+    for _ in range(150):
+        rows = [b.delivery(f"é{rng.randrange(400)}", rng.choice(["c1", "c1", "c1", "c2"])) for _ in range(rng.randrange(30))]
+        for i, one in b.single.items():
+            if one.held and one.held.status == "IN_PROGRESS" and rng.random() < 0.3:
+                owner = rng.choice([one.held.owner, one.held.owner, "late"])
+                rows.append(b.result(i, owner, rng.choice([None, "PERMANENT", "TRANSIENT"])))
+        rng.shuffle(rows)
+        b.rows(rows)
+        b.tick(b.now + rng.choice([0, 50, 300, 3_000, 11_000]))
+        assert b.store.timers == {t for one in b.single.values() for t in one.store.timers} == {k[0] for k in b.store.states["due"]}
+        assert len(b.store.states["waiting"]) == sum(len(one.store.entries) for one in b.single.values())
+    held = Pages(b.processor.size, b.processor.pages)
+    assert {i: held.get(i) for i in b.single} == {i: one.held for i, one in b.single.items()} and held.ids == len(b.single) > 300
+
+
+def test_calls_to_the_state_store_are_those_of_pages_and_not_of_ids():
+    b = Bucket()
+    assert len(b.rows([b.delivery(f"e{i}") for i in range(3_000)])) == 3_000
+    assert b.store.calls < 3_000 / 10
+    for n in range(20):
+        b.rows([b.delivery(f"f{n}-{i}") for i in range(100)])
+    b.now, b.store.calls = 1, 0
+    assert len(b.rows([b.delivery("last")])) == 1 and b.store.calls < 9
+    assert max(len(json.loads(v[0])) for v in b.store.states["pages"].values()) < 4 * stateful.PAGE
+
+
+def test_a_batch_query_decides_alike_with_buckets_and_without(spark):
+    values = [event(f"e{i % 150}", f"c{i % 7}") for i in range(400)] + ["{not json", event("x", None), event("é\u2028\"\\")]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
+    _ = spark.streams.active
+    messages = spark.createDataFrame([(f"k{i}", v, "x", i % 3, i) for i, v in enumerate(values)], stateful.MESSAGE)
+    none = spark.createDataFrame([], stateful.RESULT)
+    made = [sorted(map(str, stateful.decisions(messages, none, POLICY, n).drop("due").collect())) for n in (0, 1, 50)]
+    assert made[0] == made[1] == made[2] and len(made[0]) == 153
+
+
 SOURCE = "tenant_id string, external_id string, first_name string, last_name string, email string"
 
 

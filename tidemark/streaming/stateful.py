@@ -1,7 +1,8 @@
 """The inbox as keyed state with timers: each event id holds its status, owner and attempts in the state store.
 
-One stream of rows is grouped by event id: deliveries of messages, and results of attempts that come back. The rules answer
-with decisions: ATTEMPT (make the call now, under this owner), PROCESSED, DUPLICATE, DLT, LEASE_LOST. Calls are made outside
+One stream of rows holds deliveries of messages, and results of attempts that come back. It is grouped by buckets of event
+ids, as each group and each call to the state store has a cost of its own; within a bucket, pages hold the events, so that a
+batch reads and writes the pages of its ids, however many ids there are. The rules answer each id's rows with decisions: ATTEMPT (make the call now, under this owner), PROCESSED, DUPLICATE, DLT, LEASE_LOST. Calls are made outside
 of the state, by the batch that gets the attempts, with the bound on calls in flight that the sink has; their results are
 rows of the next batch. So a slow call blocks no other key, and a result counts only under the owner that made the attempt:
 
@@ -17,7 +18,10 @@ however many an id has. State stays for ever, as a used id must stay known. Rock
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -36,8 +40,14 @@ RESULT = "event_id string, owner string, failure string, error string"
 _ROW = f"event_id string, tenant_id string, candidate_id string, occurred_at timestamp, complete boolean, {MESSAGE}, owner string, failure string, error string"
 DECISION = f"event_id string, tenant_id string, candidate_id string, outcome string, owner string, attempts int, due long, error string, {MESSAGE}"
 _EVENT = f"tenant_id string, candidate_id string, status string, owner string, attempts int, tries int, due long, last_error string, head long, tail long, {MESSAGE}"
+_WAITING = f"tenant_id string, candidate_id string, {MESSAGE}"
 _FIELDS = ("key", "value", "topic", "partition", "offset")
 
+#: Keys of the state store. A checkpoint's number stays: another one would look for its ids elsewhere.
+BUCKETS = 16_384
+#: Ids of a page of a bucket's events.
+PAGE = 32
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -135,6 +145,85 @@ def on_due(event_id: str, event: Event | None, now: int, policy: Policy) -> Answ
     return claimed(event_id, event, event.tries + 1, now, policy)
 
 
+class Turn:
+    """One event id in one batch: its rows, then the deliveries that wait and are not held up any more.
+
+    waiting: the map state of deliveries that wait; place: what stands before the number in its keys.
+    """
+
+    def __init__(self, event_id: str, event: Event | None, waiting, place: tuple, now: int, policy: Policy):
+        self.event_id, self.before, self.event, self.waiting, self.place, self.now, self.policy = event_id, event, event, waiting, place, now, policy
+        self.first, self.behind = None, 0
+
+    def row(self, r: dict) -> list[dict]:
+        if r.get("owner") is not None:
+            self.event, out = on_result(self.event_id, self.event, r["owner"], r.get("failure"), r.get("error"), self.now, self.policy) or (self.event, [])
+            return out
+        message = tuple(map(r.get, _FIELDS))
+        if self.event is None:  # of the first batch that has the id, the first place names it
+            place = (r.get("partition") or 0, r.get("offset") or 0, r["occurred_at"], r["tenant_id"], r["candidate_id"])
+            held = place, r["tenant_id"], r["candidate_id"], message
+            if self.first is None:
+                self.first = held
+                return []
+            self.first, held = (self.first, held) if self.first[0] <= place else (held, self.first)
+            self._wait(self.behind, *held[1:])
+            self.behind += 1
+            return []
+        self.event, out, waits = on_delivery(self.event_id, self.event, r["tenant_id"], r["candidate_id"], message, self.now, self.policy)
+        if waits:
+            self._wait(self.event.tail, r["tenant_id"], r["candidate_id"], message)
+            self.event = replace(self.event, tail=self.event.tail + 1)
+        return out
+
+    def end(self) -> Iterator[dict]:
+        if self.first is not None:
+            event, out, _ = on_delivery(self.event_id, None, *self.first[1:], self.now, self.policy)
+            self.event = replace(event, tail=self.behind) if self.behind else event
+            yield from out
+        yield from self._settled()
+
+    def due(self, at: int) -> Iterator[dict]:
+        """What the timer of that time brings."""
+        found = on_due(self.event_id, self.event, max(self.now, at), self.policy)
+        if found:
+            self.event, out = found
+            yield from out
+            yield from self._settled()
+
+    def _wait(self, number: int, tenant: str, candidate: str, message: tuple) -> None:
+        self.waiting.updateValue((*self.place, number), (tenant, candidate, *message))
+
+    def _settled(self) -> Iterator[dict]:
+        """The deliveries that wait meet the event, one by one, until an attempt is at work or none waits."""
+        while self.event is not None and self.event.due is None and self.event.head < self.event.tail:
+            key = (*self.place, self.event.head)
+            tenant, candidate, *message = self.waiting.getValue(key)
+            self.waiting.removeKey(key)
+            event = replace(self.event, head=self.event.head + 1)
+            self.event, out, _ = on_delivery(self.event_id, event, tenant, candidate, tuple(message), self.now, self.policy)
+            yield from out
+
+
+def _held(value) -> Event | None:
+    if value is None:
+        return None
+    *held, head, tail = value[:10]
+    return Event(*held, tuple(value[10:]), head, tail)
+
+
+def _value(e: Event) -> tuple:
+    return (e.tenant_id, e.candidate_id, e.status, e.owner, e.attempts, e.tries, e.due, e.last_error, e.head, e.tail, *e.message)
+
+
+def _letter(r: dict) -> dict:
+    """The dead letter of a message without a whole event."""
+    tenant, candidate = r.get("tenant_id"), r.get("candidate_id")
+    nothing = tenant is None and r.get("occurred_at") is None and candidate is None
+    letter = {"event_id": None, "tenant_id": tenant, "candidate_id": candidate, "outcome": "DLT", "owner": None, "attempts": 0, "due": None, "error": "UNREADABLE_MESSAGE" if nothing else "INCOMPLETE_EVENT"}
+    return letter | {f: r.get(f) for f in _FIELDS}
+
+
 class InboxProcessor(StatefulProcessor):
     """The rules on the rows of one event id."""
 
@@ -144,94 +233,169 @@ class InboxProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.event = handle.getValueState("event", _EVENT)
-        self.waiting = handle.getMapState("waiting", "number long", f"tenant_id string, candidate_id string, {MESSAGE}")
+        self.waiting = handle.getMapState("waiting", "number long", _WAITING)
 
     def _load(self) -> Event | None:
-        if not self.event.exists():
-            return None
-        *held, head, tail = self.event.get()[:10]
-        return Event(*held, tuple(self.event.get()[10:]), head, tail)
+        return _held(self.event.get())
 
     def _store(self, before: Event | None, event: Event | None) -> None:
         if event is None or event == before:
             return
-        e = event
-        self.event.update((e.tenant_id, e.candidate_id, e.status, e.owner, e.attempts, e.tries, e.due, e.last_error, e.head, e.tail, *e.message))
+        self.event.update(_value(event))
         if event.due is not None and (before is None or before.due != event.due):
             self.handle.registerTimer(event.due)
 
-    def _wait(self, event: Event, tenant: str, candidate: str, message: tuple) -> Event:
-        self.waiting.updateValue((event.tail,), (tenant, candidate, *message))
-        return replace(event, tail=event.tail + 1)
-
-    def _settled(self, event_id: str, event: Event, now: int) -> tuple[Event, list[dict]]:
-        """The next delivery that waits meets the event once no attempt is at work; no decision if none does."""
-        if event.due is not None or event.head == event.tail:
-            return event, []
-        tenant, candidate, *message = self.waiting.getValue((event.head,))
-        self.waiting.removeKey((event.head,))
-        event, out, _ = on_delivery(event_id, replace(event, head=event.head + 1), tenant, candidate, tuple(message), now, self.policy)
-        return event, out
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        event_id, now = key[0], timerValues.getCurrentProcessingTimeInMs()
-        before = event = self._load()
-        first, behind = None, 0
-        for r in rows:
-            message = tuple(r[f] for f in _FIELDS)
-            if not r.complete:
-                nothing = r.tenant_id is None and r.occurred_at is None and r.candidate_id is None
-                letter = {"event_id": None, "tenant_id": r.tenant_id, "candidate_id": r.candidate_id, "outcome": "DLT", "owner": None, "attempts": 0, "due": None, "error": "UNREADABLE_MESSAGE" if nothing else "INCOMPLETE_EVENT"}
-                yield Row(**letter | dict(zip(_FIELDS, message)))
-            elif r.owner is not None:
-                event, out = on_result(event_id, event, r.owner, r.failure, r.error, now, self.policy) or (event, [])
-                yield from (Row(**d) for d in out)
-            elif event is None:  # of the first batch that has the id, the first place names it
-                place = (r.partition or 0, r.offset or 0, r.occurred_at, r.tenant_id, r.candidate_id)
-                held = place, r.tenant_id, r.candidate_id, message
-                if first is not None:
-                    first, held = (first, held) if first[0] <= place else (held, first)
-                    self.waiting.updateValue((behind,), (*held[1:3], *held[3]))
-                    behind += 1
-                else:
-                    first = held
-            else:
-                event, out, waits = on_delivery(event_id, event, r.tenant_id, r.candidate_id, message, now, self.policy)
-                yield from (Row(**d) for d in out)
-                event = self._wait(event, r.tenant_id, r.candidate_id, message) if waits else event
-        if first is not None:
-            event, out, _ = on_delivery(event_id, None, *first[1:], now, self.policy)
-            event = replace(event, tail=behind)
-            yield from (Row(**d) for d in out)
-        while event is not None:
-            event, out = self._settled(event_id, event, now)
-            yield from (Row(**d) for d in out)
-            if not out:
-                break
+        turn = Turn(key[0], self._load(), self.waiting, (), timerValues.getCurrentProcessingTimeInMs(), self.policy)
+        for r in map(Row.asDict, rows):
+            yield from (Row(**d) for d in (turn.row(r) if r["complete"] else [_letter(r)]))
+        yield from (Row(**d) for d in turn.end())
+        before, event = turn.before, turn.event
         if before is not None and before.due is not None and event.due != before.due:
             self.handle.deleteTimer(before.due)
         self._store(before, event)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        event_id, now = key[0], timerValues.getCurrentProcessingTimeInMs()
-        before = self._load()
-        found = on_due(event_id, before, max(now, expiredTimerInfo.getExpiryTimeInMs()), self.policy)
-        if not found:
-            return
-        event, out = found
-        while out:
-            yield from (Row(**d) for d in out)
-            event, out = self._settled(event_id, event, now)
-        self._store(before, event)
+        turn = Turn(key[0], self._load(), self.waiting, (), timerValues.getCurrentProcessingTimeInMs(), self.policy)
+        yield from (Row(**d) for d in turn.due(expiredTimerInfo.getExpiryTimeInMs()))
+        self._store(turn.before, turn.event)
 
     def close(self) -> None:
         pass
 
 
-def decisions(messages: DataFrame, results: DataFrame, policy: Policy) -> DataFrame:
+class Pages:
+    """A bucket's events as a hash table of pages: a batch reads and writes the pages of its ids, one call each.
+
+    The number of pages grows with that of ids, so that a page holds PAGE ids or twice as many, however long a stream lives.
+    A page is a JSON text, as values are handed to the state store one by one.
+    """
+
+    def __init__(self, size, pages):
+        self.size, self.pages = size, pages
+        self.ids, self.count = size.get() or (0, 1)
+        self.known, self.read = self.ids > 0, {}
+
+    def _page(self, number: int) -> dict:
+        if number not in self.read:
+            text = self.pages.getValue((number,)) if self.known else None
+            self.read[number] = json.loads(text[0]) if text else {}
+        return self.read[number]
+
+    def _number(self, event_id: str) -> int:
+        return zlib.crc32(event_id.encode()) % self.count
+
+    def get(self, event_id: str) -> Event | None:
+        return _held(self._page(self._number(event_id)).get(event_id))
+
+    def put(self, events: dict[str, Event]) -> None:
+        before, changed = self.ids, set()
+        for event_id, event in events.items():
+            number = self._number(event_id)
+            page = self._page(number)
+            self.ids += event_id not in page
+            page[event_id] = _value(event)
+            changed.add(number)
+        if self.ids > 2 * PAGE * self.count:
+            changed |= self._grown()
+        for number in sorted(changed):
+            if self.read[number]:
+                self.pages.updateValue((number,), (json.dumps(self.read[number], ensure_ascii=False),))
+            elif self.known:
+                self.pages.removeKey((number,))
+        if self.ids != before:
+            self.size.update((self.ids, self.count))
+
+    def _grown(self) -> set[int]:
+        """Deals all ids to more pages; returns those to be written."""
+        held = [self._page(n) for n in range(self.count)]
+        while self.ids > PAGE * self.count:
+            self.count *= 2
+        self.read = {n: {} for n in range(self.count)}
+        for page in held:
+            for event_id, value in page.items():
+                self.read[self._number(event_id)][event_id] = value
+        return set(self.read)
+
+
+class BucketProcessor(StatefulProcessor):
+    """The rules on the rows of a bucket of event ids. Each row is a JSON text: Spark hands rows over value by value.
+
+    A timer is that of all the bucket's ids that are due at its time; due holds them.
+    """
+
+    def __init__(self, policy: Policy):
+        self.policy = policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.size = handle.getValueState("size", "ids long, pages int")
+        self.pages = handle.getMapState("pages", "page int", "events string")
+        self.waiting = handle.getMapState("waiting", "event_id string, number long", _WAITING)
+        self.due = handle.getMapState("due", "at long", "event_ids array<string>")
+
+    def _turn(self, event_id: str, pages: Pages, now: int) -> Turn:
+        return Turn(event_id, pages.get(event_id), self.waiting, (event_id,), now, self.policy)
+
+    def _store(self, turns: Iterable[Turn], pages: Pages, fired: int | None = None) -> None:
+        """fired: the time of the timer that is at work; Spark deletes it."""
+        changed, begun, ended = {}, defaultdict(list), defaultdict(set)
+        for t in turns:
+            if t.event is None or t.event == t.before:
+                continue
+            changed[t.event_id] = t.event
+            was = t.before.due if t.before else None
+            if was != t.event.due:
+                if was is not None:
+                    ended[was].add(t.event_id)
+                if t.event.due is not None:
+                    begun[t.event.due].append(t.event_id)
+        for at in sorted(begun.keys() | ended.keys()):
+            (held,) = (self.due.getValue((at,)) if pages.known else None) or ([],)
+            ids = [i for i in held if i not in ended[at]] + begun[at]
+            if ids:
+                self.due.updateValue((at,), (ids,))
+                if not held:
+                    self.handle.registerTimer(at)
+            elif held:
+                self.due.removeKey((at,))
+                if at != fired:
+                    self.handle.deleteTimer(at)
+        pages.put(changed)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now, pages, turns = timerValues.getCurrentProcessingTimeInMs(), Pages(self.size, self.pages), {}
+        for packed in rows:
+            r = json.loads(packed.row)
+            if not r["complete"]:
+                yield Row(**_letter(r))
+                continue
+            event_id = r["event_id"]
+            turn = turns.get(event_id)
+            if turn is None:
+                turn = turns[event_id] = self._turn(event_id, pages, now)
+            yield from (Row(**d) for d in turn.row(r))
+        for turn in turns.values():
+            yield from (Row(**d) for d in turn.end())
+        self._store(turns.values(), pages)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, at, pages = timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs(), Pages(self.size, self.pages)
+        (ids,) = self.due.getValue((at,)) or ([],)
+        turns = [self._turn(i, pages, now) for i in ids]
+        for turn in turns:
+            yield from (Row(**d) for d in turn.due(at))
+        self._store(turns, pages, at)
+
+    def close(self) -> None:
+        pass
+
+
+def decisions(messages: DataFrame, results: DataFrame, policy: Policy, buckets: int = BUCKETS) -> DataFrame:
     """The stream of decisions on messages and on the results of attempts; columns: see DECISION.
 
     Messages without a whole event have no id to be grouped by: each gets one of its own and leaves no state.
+    buckets: 0 makes each id a key of the state store, as in checkpoints from before there were buckets.
     """
     events = parsed(messages)
     complete = F.coalesce(event_complete(F.col("event_id"), F.col("tenant_id"), F.col("candidate_id"), F.col("occurred_at")), F.lit(False))
@@ -243,7 +407,12 @@ def decisions(messages: DataFrame, results: DataFrame, policy: Policy) -> DataFr
         "event_id", *none("tenant_id", "candidate_id"), F.lit(None).cast("timestamp").alias("occurred_at"), F.lit(True).alias("complete"), *none("key", "value", "topic"),
         F.lit(None).cast("int").alias("partition"), F.lit(None).cast("long").alias("offset"), "owner", "failure", "error",
     )
-    return deliveries.unionByName(back).groupBy("event_id").transformWithState(InboxProcessor(policy), DECISION, "append", "processingTime")
+    rows = deliveries.unionByName(back)
+    if not buckets:
+        return rows.groupBy("event_id").transformWithState(InboxProcessor(policy), DECISION, "append", "processingTime")
+    bucket = F.pmod(F.xxhash64("event_id"), F.lit(buckets)).cast("int").alias("bucket")
+    packed = F.to_json(F.struct(*rows.columns)).alias("row")
+    return rows.withColumn("occurred_at", F.unix_micros("occurred_at")).select(bucket, packed).groupBy("bucket").transformWithState(BucketProcessor(policy), DECISION, "append", "processingTime")
 
 
 def attempted(attempts: DataFrame, read_source: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -276,9 +445,12 @@ def start_stateful_inbox(
     base: str,
     policy: Policy | None = None,
     interval: str = "200 milliseconds",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """A query that goes on until it is stopped. Below base: log (the checkpoint), results, decisions and dead_letters.
 
+    buckets: see decisions.
+
     A batch's folders are written over when it is repeated; results that have been read are deleted by the source.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -298,5 +470,5 @@ def start_stateful_inbox(
         if not attempts.isEmpty():
             attempted(attempts, read_source, write).write.mode("overwrite").parquet(f"{base}/results/batch={number}")
 
-    stream = decisions(messages, results, policy or Policy()).writeStream.foreachBatch(batch)
+    stream = decisions(messages, results, policy or Policy(), buckets).writeStream.foreachBatch(batch)
     return stream.outputMode("append").option("checkpointLocation", f"{base}/log").trigger(processingTime=interval).start()
