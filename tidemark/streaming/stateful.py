@@ -45,7 +45,7 @@ _FIELDS = ("key", "value", "topic", "partition", "offset")
 
 #: Keys of the state store. A checkpoint's number stays: another one would look for its ids elsewhere.
 BUCKETS = 16_384
-#: Ids of a page of a bucket's events.
+#: Ids of a page of a bucket's events once they are dealt anew.
 PAGE = 32
 
 
@@ -267,7 +267,7 @@ class InboxProcessor(StatefulProcessor):
 class Pages:
     """A bucket's events as a hash table of pages: a batch reads and writes the pages of its ids, one call each.
 
-    The number of pages grows with that of ids, so that a page holds PAGE ids or twice as many, however long a stream lives.
+    The number of pages grows with that of ids, so that a page holds twice PAGE ids on average at most, however long a stream lives.
     A page is a JSON text, as values are handed to the state store one by one.
     """
 
